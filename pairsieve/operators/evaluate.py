@@ -1,0 +1,164 @@
+"""Evaluation loops: mode x seed, budget and cost sensitivity, component ablation.
+
+All seeds of a run share one plan: the seed is a column, the splits are ranked per seed, the
+logistic fits run together, and the budgets are tested on one ranking.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from pairsieve import columns as C
+from pairsieve.config import Settings
+from pairsieve.functions.rates import f_beta, precision, recall
+from pairsieve.functions.values import ref
+from pairsieve.operators.calibrate import fit_platt, sigmoid, stub_probability
+from pairsieve.functions.values import clip
+from pairsieve.operators.metrics import review_outcome_counts, summarize_runs
+from pairsieve.operators.ranking import rank_by_hash
+from pairsieve.operators.split import holdout_size
+from pairsieve.operators.triage import score_decisions, selection_rank
+from pairsieve.session import small_table
+
+# Weight of recall per mode; any other mode has weight 1.
+BETA = {"vigilancia": 2.0, "confirmacao": 0.5}
+
+
+def mode_beta(mode: str) -> float:
+    return BETA.get(mode.strip().lower(), 1.0)
+
+
+def seeded_splits(
+    df: DataFrame, label: str, key: str, seeds: list[int], share: float, split_by: str = "row",
+    stratify: bool = True,
+) -> DataFrame:
+    """Every row once per seed, with ``seed`` and ``split``; row or group membership."""
+    column = {"row": None, "comprec": C.LEFT, "refrec": C.RIGHT}[split_by]
+    seed_list = F.array(*[F.lit(int(s)) for s in seeds])
+    if column is None:
+        rows = df.withColumn("seed", F.explode(seed_list))
+        ranked = rank_by_hash(rows, ["seed", label], F.col("seed"), key, "_rank", "_size")
+        test = F.col("_rank") <= holdout_size(F.col("_size"), share)
+        return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_size")
+    groups = df.groupBy(ref(column).cast("string").alias("_g")).agg(F.max(ref(label)).alias("_y"))
+    groups = groups.withColumn("seed", F.explode(seed_list))
+    strata = ["seed", "_y"] if stratify else ["seed"]
+    ranked = rank_by_hash(groups, strata, F.col("seed"), "_g", "_rank", "_size")
+    test = F.col("_rank") <= holdout_size(F.col("_size"), share)
+    sides = ranked.select("_g", "seed", F.when(test, "test").otherwise("train").alias("split"))
+    return df.join(sides, ref(column).cast("string") == F.col("_g")).drop("_g")
+
+
+def calibrated_test_rows(
+    df: DataFrame, settings: Settings, key: str, seeds: list[int], share: float, split_by: str,
+    method: str = "stub", stratify: bool = True,
+) -> DataFrame:
+    """Test rows of every seed with ``p_cal`` fitted on that seed's training rows."""
+    split = seeded_splits(df, C.TARGET, key, seeds, share, split_by, stratify)
+    test = split.filter("split = 'test'")
+    cal = settings.calibration
+    score = ref(C.SCORE)
+    if method == "stub":
+        return test.withColumn("p_cal", stub_probability(score, cal))
+    if method != "platt":
+        raise ValueError("method must be stub or platt; forests are fitted one run at a time")
+    fits = fit_platt(split.filter("split = 'train'"), C.SCORE, C.TARGET, cal, ["seed"])
+    rows = [(int(k[0]), m.intercept, m.slope) for k, m in fits.items()]
+    models = small_table(df.sparkSession, rows, "seed int, platt_intercept double, platt_slope double")
+    joined = test.join(F.broadcast(models), "seed")
+    z = F.col("platt_intercept") + F.col("platt_slope") * score
+    return joined.withColumn("p_cal", clip(sigmoid(z), cal.clip_min, cal.clip_max))
+
+
+def run_records(
+    ranked: DataFrame, settings: Settings, mode: str, groups: list[str], budgets: list[int],
+) -> DataFrame:
+    """One record per group and budget from rows ranked by review order.
+
+    The rows shrink to counts per group, band, label, action and number of budgets that leave
+    them out; only that small table is repeated per budget.
+    """
+    limits = sorted(int(b) for b in budgets)
+    left_out = " + ".join(f"CAST(review_rank > {b} AS INT)" for b in limits)
+    cells = ranked.groupBy(
+        *groups, "band", C.TARGET, "action", "review_requested",
+        F.expr(f"coalesce({left_out}, {len(limits)})").alias("_out"),
+    ).agg(F.count("*").alias("_n"))
+    listed = F.array(*[F.lit(b) for b in limits])
+    rows = cells.select("*", F.posexplode(listed).alias("_i", "llm_max")).withColumn(
+        "action", F.expr("CASE WHEN _i >= _out THEN 'LLM_REVIEW' ELSE action END")
+    )
+    counts = review_outcome_counts(
+        rows, C.TARGET, settings.band_errors(), [*groups, "llm_max"], "_n"
+    )
+    return with_run_metrics(counts, mode)
+
+
+def with_run_metrics(counts: DataFrame, mode: str) -> DataFrame:
+    beta = mode_beta(mode)
+    out = {"llm_used": F.col("review_selected"),
+           "auto_coverage": (F.col("n_test") - F.col("review_selected")) / F.col("n_test"),
+           "mode": F.lit(mode), "beta": F.lit(beta)}
+    for prefix in ("auto_", "oracle_", "exp_"):
+        tp, fp, fn = (F.col(prefix + c) for c in ("tp", "fp", "fn"))
+        out[f"{prefix}precision"] = precision(tp, fp)
+        out[f"{prefix}recall"] = recall(tp, fn)
+        out[f"{prefix}f1"] = f_beta(tp, fp, fn)
+        out[f"{prefix}fbeta"] = f_beta(tp, fp, fn, beta)
+    return counts.withColumns(out)
+
+
+def evaluate(
+    ready: DataFrame, settings: Settings, key: str, modes: list[str] | None = None,
+    seeds: list[int] | None = None, share: float | None = None, split_by: str | None = None,
+    method: str = "platt", budgets: list[int] | None = None,
+) -> DataFrame:
+    """Split, calibrate, triage and measure for every mode and seed.
+
+    ``ready`` holds features, band, guardrail and ``TARGET``.  The seeds travel as a column, so
+    a mode costs one plan whatever the number of seeds or budgets.
+    """
+    ev = settings.evaluation
+    seeds = list(seeds or ev.seeds)
+    rows = calibrated_test_rows(
+        ready, settings, key, seeds, ev.test_size if share is None else share,
+        split_by or ev.split_by, method, ev.group_stratify,
+    )
+    records = None
+    for mode in modes or list(settings.modes):
+        scored = score_decisions(rows, settings.mode(mode), settings.band_errors())
+        ranked = selection_rank(scored, key, ["seed"])
+        limits = budgets if budgets is not None else [settings.budget(mode)]
+        record = run_records(ranked, settings, mode, ["seed"], limits)
+        records = record if records is None else records.unionByName(record)
+    return records
+
+
+def cost_sensitivity(
+    rows: DataFrame, settings: Settings, key: str, mode: str, ratios: list[float],
+) -> DataFrame:
+    """Records per FP/FN cost ratio; the false-negative cost stays as configured.
+
+    The ratio is a column: all ratios are scored and ranked in one plan.
+    """
+    fn = float(settings.mode(mode).false_negative)
+    varied = rows.withColumn("fp_fn_ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+    varied = varied.withColumns({"_cost_fp": F.col("fp_fn_ratio") * fn, "_cost_fn": F.lit(fn)})
+    scored = score_decisions(
+        varied, settings.mode(mode), settings.band_errors(), ("_cost_fp", "_cost_fn")
+    )
+    ranked = selection_rank(scored, key, ["seed", "fp_fn_ratio"])
+    return run_records(ranked, settings, mode, ["seed", "fp_fn_ratio"], [settings.budget(mode)])
+
+
+def mean_points(records: DataFrame, by: list[str]) -> DataFrame:
+    """Mean quality and review use per setting, over the seeds."""
+    metrics = ["exp_precision", "exp_recall", "exp_f1", "exp_fbeta", "llm_used", "review_requested"]
+    return summarize_runs(records, by, metrics)
+
+
+def without_birth_distance(df: DataFrame) -> DataFrame:
+    """Drop the birth-distance features, as an ablation with them off requires."""
+    from pairsieve.operators.features import BIRTH_DISTANCE
+
+    return df.drop(*BIRTH_DISTANCE)

@@ -6,13 +6,13 @@ to the number of thresholds they reach, which leaves a table of at most (thresho
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairsieve.config import ErrorRate
 from pairsieve.functions import rates as R
-from pairsieve.functions.values import flag, ref
+from pairsieve.functions.values import flag, quoted, ref
 from pairsieve.operators.ranking import value_bin
 from pairsieve.operators.triage import with_error_rates
 
@@ -213,40 +213,42 @@ def select_model(models: DataFrame, metric: str = "precision", name: str = "mode
 
 
 def review_outcome_counts(
-    decided: DataFrame, label: str, error_rates: dict[str, ErrorRate],
-    groups: list[str] | None = None,
+    decided: DataFrame, label: str, error_rates: Mapping[str, ErrorRate],
+    groups: list[str] | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Automatic, oracle and expected confusion counts of triaged pairs in one aggregation.
 
     Expected: a reviewed positive counts ``1 - e_fn`` as found and ``e_fn`` as missed, a
-    reviewed negative ``e_fp`` as a false alarm and ``1 - e_fp`` as dismissed.
+    reviewed negative ``e_fp`` as a false alarm and ``1 - e_fp`` as dismissed.  ``weight`` is
+    the row count of an already compacted table.
     """
-    yes = ref(label) == 1
-    match, non = F.col("action") == "MATCH", F.col("action") == "NONMATCH"
-    review = F.col("action") == "LLM_REVIEW"
-    decided = with_error_rates(decided, error_rates)
-    e_fp, e_fn = F.col("e_fp"), F.col("e_fn")
-
-    def expected(auto: Column, positive: bool, share: Column) -> Column:
-        side = yes if positive else ~yes
-        return F.sum(F.when(auto & side, 1.0).when(review & side, share).otherwise(0.0))
-
-    def certain(condition: Column) -> Column:
-        return F.sum(F.when(condition, 1.0).otherwise(0.0))
-
-    return decided.groupBy(*[ref(g) for g in groups or []]).agg(
-        F.count("*").alias("n_test"),
-        F.sum(yes.cast("bigint")).alias("pos_test"),
-        F.sum(F.col("review_requested").cast("bigint")).alias("review_requested"),
-        F.sum(review.cast("bigint")).alias("review_selected"),
-        certain(match & yes).alias("auto_tp"), certain(match & ~yes).alias("auto_fp"),
-        certain(non & yes).alias("auto_fn"), certain(non & ~yes).alias("auto_tn"),
-        certain((match | review) & yes).alias("oracle_tp"), certain(match & ~yes).alias("oracle_fp"),
-        certain(non & yes).alias("oracle_fn"), certain((non | review) & ~yes).alias("oracle_tn"),
-        expected(match, True, 1.0 - e_fn).alias("exp_tp"),
-        expected(match, False, e_fp).alias("exp_fp"),
-        expected(non, True, e_fn).alias("exp_fn"),
-        expected(non, False, 1.0 - e_fp).alias("exp_tn"),
+    rows = with_error_rates(decided, error_rates)
+    w = quoted(weight) if weight else "1"
+    y, n = f"{quoted(label)} = 1", f"{quoted(label)} <> 1"
+
+    def number_of(condition: str, name: str) -> Column:
+        return F.expr(f"CAST(sum(CASE WHEN {condition} THEN {w} ELSE 0 END) AS BIGINT)").alias(name)
+
+    def certain(condition: str, name: str) -> Column:
+        return F.expr(f"sum(CASE WHEN {condition} THEN CAST({w} AS DOUBLE) ELSE 0D END)").alias(name)
+
+    def expected(act: str, side: str, share: str, name: str) -> Column:
+        return F.expr(
+            f"sum(CASE WHEN action = '{act}' AND {side} THEN CAST({w} AS DOUBLE) "
+            f"WHEN action = 'LLM_REVIEW' AND {side} THEN {w} * ({share}) ELSE 0D END)"
+        ).alias(name)
+
+    match, non, review = (f"action = '{a}'" for a in ("MATCH", "NONMATCH", "LLM_REVIEW"))
+    return rows.groupBy(*[ref(g) for g in groups or []]).agg(
+        number_of("true", "n_test"), number_of(y, "pos_test"),
+        number_of("review_requested", "review_requested"), number_of(review, "review_selected"),
+        certain(f"{match} AND {y}", "auto_tp"), certain(f"{match} AND {n}", "auto_fp"),
+        certain(f"{non} AND {y}", "auto_fn"), certain(f"{non} AND {n}", "auto_tn"),
+        certain(f"({match} OR {review}) AND {y}", "oracle_tp"),
+        certain(f"{match} AND {n}", "oracle_fp"), certain(f"{non} AND {y}", "oracle_fn"),
+        certain(f"({non} OR {review}) AND {n}", "oracle_tn"),
+        expected("MATCH", y, "1D - e_fn", "exp_tp"), expected("MATCH", n, "e_fp", "exp_fp"),
+        expected("NONMATCH", y, "e_fn", "exp_fn"), expected("NONMATCH", n, "1D - e_fp", "exp_tn"),
     )
 
 

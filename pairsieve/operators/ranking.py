@@ -16,7 +16,7 @@ from pairsieve.session import materialise
 # Up to this many rows a top-k is kept by each task and merged; beyond it the order is sorted
 # across the cluster and only one cut-off row is looked up.
 TOP_K_ROWS = 100_000
-KEY_BINS = 4096
+KEY_BINS_PER_E = 65_536
 PER_OCTAVE = 512
 
 
@@ -79,39 +79,43 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, condition).drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
-def key_bin(df: DataFrame, key: str) -> Column:
-    """A monotone bin of a numeric row key over its own range."""
-    span = df.agg(F.min(ref(key)).alias("low"), F.max(ref(key)).alias("high"))
-    bounds = span.select(F.struct("low", "high")).scalar()
-    low, high = bounds["low"].cast("double"), bounds["high"].cast("double")
-    return F.floor((ref(key) - low) * (KEY_BINS - 1) / F.greatest(high - low, F.lit(1.0)))
+def key_bin(key: Column) -> Column:
+    """A monotone bin of a numeric row key, tens of thousands of bins per doubling."""
+    size = F.floor(F.log1p(F.abs(key.cast("double"))) * KEY_BINS_PER_E).cast("bigint")
+    return F.when(key < 0, -size).otherwise(size)
 
 
 def rank_by_value(
     df: DataFrame, groups: list[str], value: str, key: str, out: str = "rank",
-    size_out: str | None = None,
+    leading: list[str] | None = None,
 ) -> DataFrame:
-    """Exact position by (value ascending, numeric key ascending) inside each group."""
-    rows = df.withColumn("_v", ref(value).cast("double")).withColumn("_vb", value_bin(F.col("_v")))
-    rows = rows.withColumn("_kb", key_bin(df, key))
-    cells = rows.groupBy(*[ref(g) for g in groups], "_vb", "_v", "_kb").agg(
-        F.count("*").alias("_n")
+    """Exact position by (leading columns, value, numeric key), ascending, inside each group.
+
+    Two passes over the rows: one counts them per distinct value and key bin, one joins the
+    running totals of those counts back and orders the rows of a single cell.
+    """
+    leading = leading or []
+    rows = df.withColumns({
+        "_v": ref(value).cast("double"), "_kb": key_bin(ref(key)),
+    }).withColumn("_vb", value_bin(F.col("_v")))
+    outer = [*groups, *leading]
+    cells = rows.groupBy(*[ref(g) for g in outer], "_vb", "_v", "_kb").agg(F.count("*").alias("_n"))
+    before = W.unboundedPreceding
+    in_bin = W.partitionBy(*[ref(g) for g in outer], "_vb").orderBy("_v", "_kb").rowsBetween(before, -1)
+    bins = cells.groupBy(*[ref(g) for g in outer], "_vb").agg(F.sum("_n").alias("_n"))
+    over_bins = (
+        W.partitionBy(*[ref(g) for g in groups] or [F.lit(0)])
+        .orderBy(*[ref(c) for c in leading], "_vb").rowsBetween(before, -1)
     )
-    in_bin = W.partitionBy(*[ref(g) for g in groups], "_vb").orderBy("_v", "_kb")
-    cells = cells.withColumn(
-        "_before", F.sum("_n").over(in_bin.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    bins = bins.withColumn("_bin_before", F.coalesce(F.sum("_n").over(over_bins), F.lit(0))).drop("_n")
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(in_bin), F.lit(0))).drop("_n")
+    cells = _null_safe_join(cells, bins, [*outer, "_vb"]).withColumn(
+        "_before", F.col("_before") + F.col("_bin_before")
     )
-    bins = bin_offsets(rows, groups, {"_n": F.count("*")}, descending=False)
-    if size_out:
-        bins = bins.withColumn(
-            size_out, F.sum("_n").over(W.partitionBy(*[ref(g) for g in groups] or [F.lit(0)]))
-        )
-    bins = bins.drop("_n").withColumnRenamed("_n_before", "_bin_before")
-    cells = _null_safe_join(cells.drop("_n"), bins, [*groups, "_vb"])
-    joined = _null_safe_join(rows, cells.drop("_vb"), [*groups, "_v", "_kb"])
-    inside = W.partitionBy(*[ref(g) for g in groups], "_v", "_kb").orderBy(ref(key))
-    position = F.col("_bin_before") + F.col("_before") + F.row_number().over(inside)
-    return joined.withColumn(out, position).drop("_v", "_vb", "_kb", "_before", "_bin_before")
+    joined = _null_safe_join(rows, cells.drop("_vb", "_bin_before"), [*outer, "_v", "_kb"])
+    inside = W.partitionBy(*[ref(g) for g in outer], "_v", "_kb").orderBy(ref(key))
+    position = F.col("_before") + F.row_number().over(inside)
+    return joined.withColumn(out, position).drop("_v", "_vb", "_kb", "_before")
 
 
 def bin_offsets(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsieve.config import ErrorRate, Mode, Settings
 from pairsieve.functions.values import quoted, ref, true_or_false
 from pairsieve.operators.guardrails import MATCH, NONMATCH, REVIEW
-from pairsieve.operators.ranking import _null_safe_join, first_k, rank_by_value
+from pairsieve.operators.ranking import first_k, rank_by_value
 from pairsieve.session import small_table
 
 
@@ -29,9 +29,13 @@ def with_error_rates(df: DataFrame, rates: Mapping[str, ErrorRate]) -> DataFrame
     )
 
 
-def loss_sql(mode: Mode, p: str = "p_cal") -> dict[str, str]:
-    """Expected loss of each decision, given the band's error rates."""
-    fp, fn = f"{float(mode.false_positive)!r}D", f"{float(mode.false_negative)!r}D"
+def loss_sql(mode: Mode, p: str = "p_cal", costs: tuple[str, str] | None = None) -> dict[str, str]:
+    """Expected loss of each decision, given the band's error rates.
+
+    ``costs`` names columns that hold the two error costs instead of the mode's.
+    """
+    fixed = (f"{float(mode.false_positive)!r}D", f"{float(mode.false_negative)!r}D")
+    fp, fn = costs or fixed
     return {
         "match": f"(1D - {p}) * {fp}",
         "nonmatch": f"{p} * {fn}",
@@ -39,7 +43,9 @@ def loss_sql(mode: Mode, p: str = "p_cal") -> dict[str, str]:
     }
 
 
-def score_decisions(df: DataFrame, mode: Mode, rates: Mapping[str, ErrorRate]) -> DataFrame:
+def score_decisions(
+    df: DataFrame, mode: Mode, rates: Mapping[str, ErrorRate], costs: tuple[str, str] | None = None
+) -> DataFrame:
     """Add base choice, losses, value of review, the request flag and the selection tier.
 
     Tier 1 is a forced review, 2 a broken automatic limit, 3 a positive value of review;
@@ -48,7 +54,7 @@ def score_decisions(df: DataFrame, mode: Mode, rates: Mapping[str, ErrorRate]) -
     new = ["base_choice", "base_loss", "loss_llm", "evr", "review_requested", "tier", "action"]
     kept = [quoted(n) for n in df.columns if n not in new]
     guard = "guardrail" if "guardrail" in df.columns else "CAST(NULL AS STRING)"
-    loss = loss_sql(mode)
+    loss = loss_sql(mode, costs=costs)
     limits = []
     if mode.min_auto_match is not None:
         limits.append(f"(base_choice = 'MATCH' AND p_cal < {mode.min_auto_match!r}D)")
@@ -105,19 +111,12 @@ def selection_rank(scored: DataFrame, key: str, groups: list[str] | None = None)
     Several budgets can then be tested on one ranking.  ``key`` is numeric; equal values of
     review may be shared by any share of the rows without one task holding them all.
     """
-    groups = groups or []
     waiting = scored.filter(F.col("tier").isNotNull()).withColumn("_cost", -F.col("evr"))
-    per_tier = waiting.groupBy(*[ref(g) for g in groups], "tier").agg(F.count("*").alias("_n"))
-    window = W.partitionBy(*[ref(g) for g in groups] or [F.lit(0)]).orderBy("tier")
-    before = F.coalesce(F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    tiers = per_tier.withColumn("_tier_before", before).drop("_n")
-    ranked = rank_by_value(waiting, [*groups, "tier"], "_cost", key, "review_rank")
-    ranked = _null_safe_join(ranked, tiers, [*groups, "tier"])
-    ranked = ranked.withColumn("review_rank", F.col("review_rank") + F.col("_tier_before"))
+    ranked = rank_by_value(waiting, groups or [], "_cost", key, "review_rank", leading=["tier"])
     rest = scored.filter(F.col("tier").isNull()).withColumn(
         "review_rank", F.lit(None).cast("bigint")
     )
-    return ranked.drop("_cost", "_tier_before").unionByName(rest)
+    return ranked.drop("_cost").unionByName(rest)
 
 
 def action_counts(decided: DataFrame, by: list[str] | None = None) -> DataFrame:
