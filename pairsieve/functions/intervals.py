@@ -7,6 +7,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 
 def z_value(alpha: float = 0.05) -> float:
@@ -66,31 +67,42 @@ def chi_square(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Colu
     return statistic, smallest
 
 
-@F.pandas_udf("double")
-def chi_square_p(statistic: pd.Series) -> pd.Series:
+# The two functions below run on aggregated 2x2 rows only.  They are built on use, so that the
+# workers receive them by value and need no installed package.
+
+
+def chi_square_p(statistic: Column) -> Column:
     """Upper tail with one degree of freedom."""
-    from math import erfc, sqrt
 
-    return statistic.map(lambda x: erfc(sqrt(x / 2.0)), na_action="ignore").astype("float64")
+    @F.pandas_udf(T.DoubleType())
+    def tail(values: pd.Series) -> pd.Series:
+        from math import erfc, sqrt
+
+        return values.map(lambda x: erfc(sqrt(x / 2.0)), na_action="ignore").astype("float64")
 
+    return tail(statistic)
 
-@F.pandas_udf("double")
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+
+def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided exact test: total probability of the tables no more likely than the observed."""
-    from math import lgamma
-
-    def log_choose(n, k):
-        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-
-    def one(w, x, y, z):
-        if pd.isna(w):
-            return np.nan
-        w, x, y, z = int(w), int(x), int(y), int(z)
-        first, second, column = w + x, y + z, w + y
-        cells = range(max(0, column - second), min(first, column) + 1)
-        logs = np.array([log_choose(first, i) + log_choose(second, column - i) for i in cells])
-        logs -= log_choose(first + second, column)
-        seen = logs[w - cells.start]
-        return float(min(1.0, np.exp(logs[logs <= seen + 1e-7]).sum()))
-
-    return pd.Series([one(*row) for row in zip(a, b, c, d)], index=a.index, dtype="float64")
+
+    @F.pandas_udf(T.DoubleType())
+    def exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        from math import lgamma
+
+        def log_choose(n, k):
+            return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+        def one(w, x, y, z):
+            if pd.isna(w):
+                return np.nan
+            first, second, column = int(w + x), int(y + z), int(w + y)
+            cells = range(max(0, column - second), min(first, column) + 1)
+            logs = np.array([log_choose(first, i) + log_choose(second, column - i) for i in cells])
+            logs -= log_choose(first + second, column)
+            seen = logs[int(w) - cells.start]
+            return float(min(1.0, np.exp(logs[logs <= seen + 1e-7]).sum()))
+
+        return pd.Series([one(*row) for row in zip(a, b, c, d)], index=a.index, dtype="float64")
+
+    return exact(a, b, c, d)
