@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairsieve import columns as C
 from pairsieve.functions.values import number, ref, total
 from pairsieve.operators.histograms import histogram, running_totals, with_totals
-from pairsieve.operators.ranking import _null_safe_join, rank_by_value
+from pairsieve.operators.ranking import rank_by_value
+from pairsieve.session import materialise
 
 FAMILIES = ["nome_total", "mae_total", "dtnasc_total", "local_total", "endereco_total", "nota_final"]
 
@@ -29,43 +30,70 @@ def _bin(rank: Column, q: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil((rank - 1) * q / F.greatest(n - 1, F.lit(1)))).cast("int")
 
 
-def rank_bins(df: DataFrame, value: str, key: str, counts: list[int], prefix: str) -> DataFrame:
-    """First-come rank bins of a column for several bin counts: ``<prefix>_q<count>``.
+def _last_ranks(low: Column, high: Column, size: Column, cap: Column, first: Column) -> Column:
+    """Ranks inside a value, 1-based, of the last row of every bin it leaves."""
+    return F.transform(
+        F.sequence(low, high - 1),
+        lambda j: (F.floor(j * (size - 1) / cap) + 2 - first).cast("bigint"),
+    )
+
 
-    Missing is 0; the bin count is capped by the number of distinct values.  Most values fall
-    into one bin whole and are decided from the value's rank range; only rows of a value that
-    straddles a cut are ranked one by one, by (value, key).
+def bin_facts(df: DataFrame, values: list[str], key: str, counts: list[int]) -> DataFrame:
+    """Per column and distinct value: the bin of its first row and the keys where bins change.
+
+    A column's rank bins are decided by its value counts alone, except for the few values that
+    straddle a cut (at most one per cut).  Only for those the rows are ranked by key, to find
+    the last key before each cut.
     """
-    rows = df.withColumn("_v", F.coalesce(ref(value).cast("double"), F.lit(0.0)))
-    hist = running_totals(histogram(rows, "_v"), [], ["n"], False)
-    hist = with_totals(hist.withColumn("one", F.lit(1)), [], ["n", "one"])
-    last, first = F.col("n_to"), F.col("n_to") - F.col("n") + 1
+    cells = ", ".join(f"struct('{v}' AS col, coalesce(CAST({v} AS DOUBLE), 0D) AS v)" for v in values)
+    long = df.select(ref(key), F.expr(f"inline(array({cells}))"))
+    hist = running_totals(histogram(long, "v", ["col"]), ["col"], ["n"], False)
+    hist = with_totals(hist.withColumn("one", F.lit(1)), ["col"], ["n", "one"])
+    last, first, size = F.col("n_to"), F.col("n_to") - F.col("n") + 1, F.col("n_all")
+    picked = []
     for q in counts:
         cap = F.least(F.lit(q), F.col("one_all").cast("int"))
-        size = F.col("n_all")
-        hist = hist.withColumns({f"_a{q}": _bin(first, cap, size), f"_b{q}": _bin(last, cap, size)})
-    split = F.lit(False)
+        low, high = _bin(first, cap, size), _bin(last, cap, size)
+        cuts = F.when(low < high, _last_ranks(low, high, size, cap, first)).otherwise(
+            F.array().cast("array<bigint>"))
+        picked += [low.alias(f"a{q}"), cuts.alias(f"cut{q}")]
+    facts = materialise(hist.select("col", "value", *picked))
+    wanted = None
     for q in counts:
-        split = split | (F.col(f"_a{q}") != F.col(f"_b{q}"))
-    facts = hist.select(
-        F.col("value").alias("_v"), split.alias("_split"), (first - 1).alias("_start"),
-        F.col("n_all").alias("_size"), F.col("one_all").cast("int").alias("_distinct"),
-        *[f"_a{q}" for q in counts],
-    )
-    joined = _null_safe_join(rows, facts, ["_v"])
-    whole = joined.filter(~F.col("_split")).withColumns(
-        {f"{prefix}_q{q}": F.concat(F.lit("Q"), F.col(f"_a{q}").cast("string")) for q in counts}
-    )
-    ranked = rank_by_value(joined.filter("_split"), ["_v"], "_v", key, "_r")
-    position = F.col("_start") + F.col("_r")
-    cut = ranked.withColumns({
-        f"{prefix}_q{q}": F.concat(
-            F.lit("Q"), _bin(position, F.least(F.lit(q), F.col("_distinct")), F.col("_size")).cast("string")
+        part = facts.select("col", "value", F.lit(q).alias("q"), F.explode(f"cut{q}").alias("_rank"))
+        wanted = part if wanted is None else wanted.unionByName(part)
+    straddling = wanted.select("col", F.col("value").alias("v")).distinct()
+    rows = long.join(straddling, ["col", "v"], "left_semi")
+    ranked = rank_by_value(rows.withColumn("value", F.col("v")), ["col", "value"], "v", key, "_rank")
+    keys = ranked.join(wanted, ["col", "value", "_rank"]).groupBy("col", "value").agg(*[
+        F.collect_list(F.when(F.col("q") == q, ref(key))).alias(f"k{q}") for q in counts
+    ])
+    return materialise(facts.join(keys, ["col", "value"], "left").select(
+        "col", "value", *[f"a{q}" for q in counts], *[f"k{q}" for q in counts]
+    ))
+
+
+def rank_bins(df: DataFrame, values: list[str], key: str, counts: list[int]) -> DataFrame:
+    """First-come rank bins ``<value>_q<count>`` of every column and bin count.
+
+    Missing is 0; the bin count is capped by the number of distinct values; ties are cut in
+    key order.
+    """
+    facts = bin_facts(df, values, key, counts)
+    out = df
+    for value in values:
+        mine = facts.filter(F.col("col") == value).select(
+            F.col("value").alias("_v"), *[F.col(f"{c}{q}").alias(f"_{c}{q}") for q in counts for c in "ak"]
         )
-        for q in counts
-    })
-    keep = [*df.columns, *[f"{prefix}_q{q}" for q in counts]]
-    return whole.select(*[ref(c) for c in keep]).unionByName(cut.select(*[ref(c) for c in keep]))
+        out = out.join(mine, F.coalesce(ref(value).cast("double"), F.lit(0.0)) == F.col("_v"))
+        labels = {
+            f"{value}_q{q}": F.concat(F.lit("Q"), (
+                F.col(f"_a{q}") + F.coalesce(F.size(F.filter(f"_k{q}", lambda x: x < ref(key))), F.lit(0))
+            ).cast("string"))
+            for q in counts
+        }
+        out = out.withColumns(labels).drop("_v", *[f"_{c}{q}" for q in counts for c in "ak"])
+    return out
 
 
 def group_statistics(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -86,9 +114,7 @@ def smallest_groups(df: DataFrame, by: list[str], top: int = 20, weight: str | N
 
 def finest_cells(df: DataFrame, key: str, step: str, values: list[str], counts: list[int]) -> DataFrame:
     """All bin columns of all values, reduced to one row per combination with its count."""
-    rows = df
-    for value in values:
-        rows = rank_bins(rows, value, key, counts, value)
+    rows = rank_bins(df, values, key, counts)
     columns = [f"{v}_q{q}" for v in values for q in counts]
     return rows.groupBy(ref(step), *columns).agg(F.count("*").alias("n"))
 
@@ -142,3 +168,18 @@ def best_schema(
     return named.orderBy(
         F.desc("groups"), F.desc("columns"), F.desc("bins"), F.desc("_present"), "schema"
     ).limit(1).drop("_present")
+
+
+def generalisation_ladder(df: DataFrame, key: str, step: str) -> DataFrame:
+    """Group statistics of two stages: all sub-scores in quartiles, then the family sums.
+
+    The third stage, the mixed schema, is ``best_schema``.
+    """
+    renamed = df.select(ref(key), ref(step), *[number(df, n, 0.0).alias(f"s{i}") for i, n in enumerate(C.ALL_SCORES)])
+    scores = [f"s{i}" for i in range(len(C.ALL_SCORES))]
+    first = group_statistics(rank_bins(renamed, scores, key, [4]), [step, *[f"{x}_q4" for x in scores]])
+    family = rank_bins(families(df, [key, step]), FAMILIES, key, [4])
+    second = group_statistics(family, [step, *[f"{v}_q4" for v in FAMILIES]])
+    return first.withColumns({"stage": F.lit("all scores"), "n_features": F.lit(len(scores))}).unionByName(
+        second.withColumns({"stage": F.lit("family sums"), "n_features": F.lit(len(FAMILIES))})
+    )

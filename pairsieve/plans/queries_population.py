@@ -271,7 +271,7 @@ bins AS (SELECT k, passo, {', '.join(_bin_sql(v, q) for v in VALUES for q in QS)
 @register("quantile_bins", f"{BIN_SQL} SELECT k, nome_total_q2, nome_total_q3, nome_total_q4 FROM bins")
 def quantile_bins(spark, sf_dir):
     fam = K.families(pairs(spark, sf_dir), ["k"])
-    return K.rank_bins(fam, "nome_total", "k", QS, "nome_total").select("k", *[f"nome_total_q{q}" for q in QS])
+    return K.rank_bins(fam, ["nome_total"], "k", QS).select("k", *[f"nome_total_q{q}" for q in QS])
 
 
 def cells(spark, sf_dir):
@@ -310,4 +310,9 @@ def schema_search(spark, sf_dir):
     return K.best_schema(cells(spark, sf_dir), "passo", VALUES, QS)
 
 
+@register("generalisation_ladder")
+def generalisation_ladder(spark, sf_dir):
+    return K.generalisation_ladder(pairs(spark, sf_dir).withColumnRenamed("PASSO", "passo"), "k", "passo")
+
+
 __all__ = ["default_settings"]
