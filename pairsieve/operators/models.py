@@ -292,12 +292,12 @@ def permutation_importance(model, df: DataFrame, key: str, n_features: int, name
     The new value of a row is that of the next row in a hashed order, joined by position, so
     the whole column is permuted without leaving the cluster.
     """
-    rows = rank_by_hash(df.select(key, "features", "y"), [], seed, key, "_i", "_n").persist()
+    rows = rank_by_hash(df.select(key, "features", "y"), [], seed, key, "_i", "_size").persist()
     base = ranking_quality(scored(model, rows), "p", "y").first()["average_precision"]
     out = None
-    values = rows.select("_i", "_n", vector_to_array("features").alias("_x"))
+    values = rows.select("_i", "_size", vector_to_array("features").alias("_x"))
     for i in range(n_features):
-        donor = values.select((F.col("_i") % F.col("_n") + 1).alias("_i"), F.col("_x")[i].alias("_v"))
+        donor = values.select((F.col("_i") % F.col("_size") + 1).alias("_i"), F.col("_x")[i].alias("_v"))
         mixed = F.transform(vector_to_array("features"), lambda v, j: F.when(j == i, F.col("_v")).otherwise(v))
         moved = rows.join(donor, "_i").withColumn("features", array_to_vector(mixed))
         part = ranking_quality(scored(model, moved), "p", "y").select(
