@@ -114,12 +114,16 @@ def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> Da
     }).drop("_a")
 
 
-def _agent(parsed: DataFrame, agent: str, prefix: str, key: str) -> DataFrame:
-    names = ["decision", "confidence", "reason_codes", "evidence_summary", "quality_flags",
-             "latency_s", "tokens"]
-    return parsed.filter(F.col("agent") == agent).select(
-        key, *[F.col(n).alias(f"{prefix}_{n}") for n in names if n in parsed.columns]
-    )
+def _side_by_side(parsed: DataFrame, key: str, agents: tuple[str, str, str]) -> DataFrame:
+    """Each pair's three answers as prefixed columns: one shuffle, one mergeable aggregate."""
+    names = ["confidence", "decision", "reason_codes", "evidence_summary", "quality_flags", "latency_s", "tokens"]
+    names = [n for n in names if n in parsed.columns]
+    answer = F.struct(*names)
+    rows = parsed.groupBy(key).agg(*[
+        F.max(F.when(F.col("agent") == who, answer)).alias(f"_{p}") for who, p in zip(agents, ("a", "b", "arb"))
+    ])
+    both = rows.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    return both.select(key, *[F.col(f"_{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b", "arb") for n in names])
 
 
 def consensus(
@@ -133,8 +137,7 @@ def consensus(
     confidence and join the codes; without an arbiter the pair is UNSURE.  ``binary``: as batch
     with all codes in order, pairs without an arbiter are errors.
     """
-    a, b, c = (_agent(parsed, who, p, key) for who, p in zip(agents, ("a", "b", "arb")))
-    rows = a.join(b, key).join(c, key, "left")
+    rows = _side_by_side(parsed, key, agents)
     agree = F.col("a_decision") == F.col("b_decision")
     arbiter = ~agree & F.col("arb_decision").isNotNull()
     first = F.col("a_confidence") >= F.col("b_confidence")

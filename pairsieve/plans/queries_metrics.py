@@ -222,7 +222,7 @@ def study_cells(df):
     """Decision inputs rounded down to the thresholds in use, then counted."""
     def floor_to(name):
         steps = CUTS[name]
-        reached = M.steps_reached(F.col(name), steps)
+        reached = M.steps_reached(name, steps)
         return F.element_at(F.array(F.lit(-1.0), *[F.lit(s) for s in steps]), reached + 1)
 
     cut = df.select(F.col("target"), *[floor_to(n).alias(n) for n in CUTS])

@@ -10,7 +10,7 @@ from pairsieve.operators import review as R
 from pairsieve.operators import text as X
 from pairsieve.plans.queries_metrics import round_all
 from pairsieve.plans.queries_triage import decided
-from pairsieve.plans.registry import register, table
+from pairsieve.plans.registry import register, spread, table
 from pairsieve.plans.views import GUARD_SQL, PAIRS_SQL, answers_sql, pairs, triage_sql
 from pairsieve.sources.scans import not_yet_done
 
@@ -21,7 +21,7 @@ def answers(spark, sf_dir):
     """Raw answers of three agents on every pair."""
     text = f"{BASE_SQL} {answers_sql('base')}".replace("{", "{{").replace("}", "}}")
     text = text.replace("FROM orders", "FROM {orders}").replace("AS VARCHAR(20)", "AS STRING")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(text, orders=spread(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def parsed(spark, sf_dir, binary: bool = False):
@@ -170,7 +170,7 @@ def tex(spark, sf_dir):
     d = F.col("doc_id")
     cite = F.concat(F.lit(" \\cite{k"), (d % 50).cast("string"), F.lit(", k"), (d % 31).cast("string"), F.lit("}. "))
     body = F.concat(F.lit("\\section{S"), (d % 7).cast("string"), F.lit("}\n"), F.replace(F.col("text"), F.lit(". "), cite))
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", body.alias("text"))
 
 
 LINES_SQL = f"WITH {TEX_SQL}, l AS (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS line, GENERATE_SUBSCRIPTS(STRING_SPLIT(text, CHR(10)), 1) AS n FROM tex)"
@@ -196,7 +196,7 @@ g AS (SELECT doc_id, island, MIN(n) AS start, MAX(n) AS stop, STRING_AGG(line, C
 SELECT doc_id, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, CAST(LENGTH(REGEXP_REPLACE(body, '[\s\v]+', '', 'g')) AS INT) AS chars FROM g
 WHERE LENGTH(REGEXP_REPLACE(body, '[\s\v]+', '', 'g')) >= 220 AND NOT STARTS_WITH(LTRIM(body), '%')""")
 def uncited_blocks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     return X.uncited_blocks(docs).select("doc_id", "start", F.col("end").alias("stop"), "chars")
 
 
@@ -212,7 +212,7 @@ SELECT doc_id, CASE WHEN size > 0 THEN ROUND(CAST(shared AS DOUBLE) / size, 6) E
 def keyword_overlap(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     size = items.agg(F.count("*").alias("n")).scalar()
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", (F.col("doc_id") % size).alias("item"), X.topic_words(F.col("text")).alias("w"))
     joined = docs.join(items.select(F.col("item_id").alias("item"), X.topic_words(F.col("text")).alias("a")), "item")
     overlap, score = X.keyword_verdict(F.col("w"), F.col("a"), F.lit("BACKGROUND"))

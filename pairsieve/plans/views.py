@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairsieve import columns as C
-from pairsieve.plans.registry import table
+from pairsieve.plans.registry import spread, table
 
 _STEP = "CASE WHEN {test} THEN 1.0E0 ELSE 0.0E0 END AS {name}"
 _FRACTION = "CAST((k * {m}) % {n} AS DOUBLE) / {d} AS {name}"
@@ -88,7 +88,7 @@ SHORT = {v: k for k, v in NAMES.items()}
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate-pair view under the comparator's column names; ``k`` is the row key."""
     view = spark.sql(PAIRS_SQL.replace("FROM orders", "FROM {orders}"),
-                     orders=table(spark, sf_dir, "orders"))
+                     orders=spread(table(spark, sf_dir, "orders"), "o_orderkey"))
     return view.withColumnsRenamed(NAMES)
 
 
