@@ -82,6 +82,8 @@ def main(argv: list[str]) -> int:
     spark, con = local_session(), connect(folder)
     queries, sqls = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not argv or any(a in n for a in argv)]
+    if os.environ.get("ONLY_SQL"):
+        names = [n for n in names if n in sqls]
     bad = 0
     for name in names:
         start = time.time()
