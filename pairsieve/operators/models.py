@@ -289,21 +289,20 @@ def band_importances(df: DataFrame, features: list[str], band: str, label: str,
 def permutation_importance(model, df: DataFrame, key: str, n_features: int, names: list[str], seed: int = 7) -> DataFrame:
     """Drop in average precision when one feature's values are dealt out anew.
 
-    The new value of a row is that of the next row in a hashed order, joined by position, so
-    the whole column is permuted without leaving the cluster.
+    The new value of a row is that of the next row in a hashed order, joined by position once
+    for all features; the permuted rows of every feature are scored and measured in one plan.
     """
     rows = rank_by_hash(df.select(key, "features", "y"), [], seed, key, "_i", "_size").persist()
     base = ranking_quality(scored(model, rows), "p", "y").first()["average_precision"]
-    out = None
-    values = rows.select("_i", "_size", vector_to_array("features").alias("_x"))
-    for i in range(n_features):
-        donor = values.select((F.col("_i") % F.col("_size") + 1).alias("_i"), F.col("_x")[i].alias("_v"))
-        mixed = F.transform(vector_to_array("features"), lambda v, j: F.when(j == i, F.col("_v")).otherwise(v))
-        moved = rows.join(donor, "_i").withColumn("features", array_to_vector(mixed))
-        part = ranking_quality(scored(model, moved), "p", "y").select(
-            F.lit(names[i]).alias("feature"), (F.lit(base) - F.col("average_precision")).alias("importance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = rows.select("_i", "y", vector_to_array("features").alias("_x"))
+    donor = rows.select(
+        (F.col("_i") % F.col("_size") + 1).alias("_i"), vector_to_array("features").alias("_d"))
+    listed = F.array(*[F.lit(n) for n in names[:n_features]])
+    spread = own.join(donor, "_i").select("y", "_x", "_d", F.posexplode(listed).alias("_f", "feature"))
+    mixed = F.transform("_x", lambda v, j: F.when(j == F.col("_f"), F.element_at("_d", j + 1)).otherwise(v))
+    moved = scored(model, spread.select("y", "feature", array_to_vector(mixed).alias("features")))
+    return ranking_quality(moved.select("feature", "y", "p"), "p", "y", ["feature"]).select(
+        "feature", (F.lit(base) - F.col("average_precision")).alias("importance"))
 
 
 def fold_study(rows: DataFrame, key: str, builders: dict, folds: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
