@@ -87,7 +87,7 @@ def training(spark, sf_dir):
     wide = wide.join(df.select("k", rule_score(df).alias("rules")), "k")
     rows = L.assemble(wide.withColumn("band", T.range_label(F.col("`nota final`"))), FEATURES, ["k", "y", "rules", "band"])
     split = stratified_holdout(rows.withColumn("id", F.col("k")), "y", "k")
-    split = K.balanced_weights(split, "y")
+    split = K.balanced_weights(split, "y").persist()
     return split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
 
 
