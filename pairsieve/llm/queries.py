@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairsieve.llm.common import documents
 from pairsieve.llm.exact import exact_dedup
+from pairsieve.llm.grammar import grammar_round_trip
 from pairsieve.llm.mixing import mix_sources
+from pairsieve.llm.packing import best_fit_packing
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +19,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_round_trip(documents(spark, sf_dir))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_grammar_files": op3_grammar_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 SQL = {
