@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pairsieve.llm.common import documents
 from pairsieve.llm.exact import exact_dedup
 from pairsieve.llm.grammar import grammar_round_trip
+from pairsieve.llm.langid import language_id
 from pairsieve.llm.mixing import mix_sources
 from pairsieve.llm.packing import best_fit_packing
+from pairsieve.llm.phrases import fingerprints
+from pairsieve.llm.secrets import find_secrets
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +30,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
+def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_grammar_files": op3_grammar_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_id": op7_language_id,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_phrase_fingerprints": op10_phrase_fingerprints,
 }
 
 SQL = {
