@@ -76,7 +76,7 @@ def _rank(bounds: list[int], value: Column) -> Column:
     """How many of the sorted bounds are not above the value, by bisection in the plan."""
     if not bounds:
         return F.lit(0)
-    edges, steps = F.array(*[F.lit(b) for b in bounds]), [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    edges, steps = F.array(*[F.lit(b).cast("long") for b in bounds]), [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, s: F.when((at + s <= len(bounds)) & (F.get(edges, at + s - 1) <= value), at + s).otherwise(at))
@@ -92,11 +92,14 @@ def in_order_with_next(docs: DataFrame, text: str, doc_id: str, parts: int) -> D
     given = docs.select(
         ref(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), value.alias("v"),
         ref(doc_id).isNotNull().alias("named"), F.xxhash64(text_of(text)).alias("tie"))
-    fractions = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    found = docs.select(ref(doc_id).isNotNull().alias("named"), value.alias("v")).groupBy("named").agg(
-        F.min("v").alias("least"), F.percentile_approx("v", fractions, F.lit(10_000)).alias("at")).collect()
-    bounds = {r["named"]: sorted({r["least"], *(r["at"] if parts > 1 else [])}) for r in found}
-    nameless, named = bounds.get(False, []), bounds.get(True, [])
+    keys = docs.select(ref(doc_id).isNotNull().alias("named"), value.alias("v"))
+    fractions = F.array(*[F.lit(i / parts) for i in range(1, max(parts, 2))])
+    near = {r["named"]: sorted({int(b) for b in r["at"]}) for r in keys.groupBy("named").agg(
+        F.percentile_approx("v", fractions, F.lit(10_000)).alias("at")).collect()}
+    # quantiles are rounded beyond 53 bits; the least id of each stretch is one that occurs
+    stretch = F.when(F.col("named"), _rank(near.get(True, []), F.col("v"))).otherwise(_rank(near.get(False, []), F.col("v")))
+    least = keys.groupBy("named", stretch.alias("stretch")).agg(F.min("v").alias("v")).collect()
+    nameless, named = (sorted(r["v"] for r in least if r["named"] == kind) for kind in (False, True))
     last = len(nameless) + len(named) - 1
     part = F.when(F.col("named"), F.lit(len(nameless)) + _rank(named, F.col("v"))).otherwise(_rank(nameless, F.col("v"))) - 1
     edges = F.array(*[F.lit(b).cast("long") for b in [*nameless, *named]]) if last >= 0 else F.array(F.lit(0).cast("long"))
