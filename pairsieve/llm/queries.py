@@ -8,12 +8,17 @@ from pairsieve.llm.common import documents
 from pairsieve.llm.exact import exact_dedup
 from pairsieve.llm.grammar import grammar_round_trip
 from pairsieve.llm.langid import language_id
+from pairsieve.llm.lm import score_documents
 from pairsieve.llm.mixing import mix_sources
 from pairsieve.llm.packing import best_fit_packing
 from pairsieve.llm.phrases import fingerprints
 from pairsieve.llm.secrets import find_secrets
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_mix_sources": op2_mix_sources,
     "op3_grammar_files": op3_grammar_files,
     "op4_exact_dedup": op4_exact_dedup,
