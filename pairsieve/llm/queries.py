@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairsieve.llm.common import documents
 from pairsieve.llm.exact import exact_dedup
 from pairsieve.llm.grammar import grammar_round_trip
+from pairsieve.llm.jaccard import jaccard_components
 from pairsieve.llm.langid import language_id
 from pairsieve.llm.lm import score_documents
 from pairsieve.llm.mixing import mix_sources
@@ -39,6 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_phrase_fingerprints": op10_phrase_fingerprints,
 }
