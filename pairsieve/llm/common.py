@@ -95,3 +95,23 @@ def prefix_sums(
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_chunk", "_before", "_local", *by)
     )
+
+
+#: Bits of a filter that holds rows back before a shuffle.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``keys``, and a few others: a cheap filter in front of a join.
+
+    The filter is a bit map of the keys' hashes in ``FILTER_BITS`` / 64 rows at most, so it can be
+    broadcast however many keys there are; when it fills up it only lets more rows pass.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    bits = (
+        keys.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_place"))
+        .agg(F.bit_or(bit).alias("_bits"))
+    )
+    marked = rows.withColumn("_slot", slot).withColumn("_place", F.expr("_slot div 64"))
+    return marked.join(F.broadcast(bits), "_place").filter(bit.bitwiseAND(F.col("_bits")) != 0).drop("_slot", "_place", "_bits")

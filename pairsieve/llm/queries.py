@@ -14,6 +14,7 @@ from pairsieve.llm.mixing import mix_sources
 from pairsieve.llm.packing import best_fit_packing
 from pairsieve.llm.phrases import fingerprints
 from pairsieve.llm.secrets import find_secrets
+from pairsieve.llm.suffixes import remove_repeats
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_grammar_files": op3_grammar_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
