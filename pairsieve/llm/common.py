@@ -101,12 +101,7 @@ def prefix_sums(
 FILTER_BITS = 1 << 26
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in ``keys``, and a few others: a cheap filter in front of a join.
-
-    The filter is a bit map of the keys' hashes in ``FILTER_BITS`` / 64 rows at most, so it can be
-    broadcast however many keys there are; when it fills up it only lets more rows pass.
-    """
+def _filter_bits(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, Column]:
     slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
     bits = (
@@ -114,4 +109,20 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         .agg(F.bit_or(bit).alias("_bits"))
     )
     marked = rows.withColumn("_slot", slot).withColumn("_place", F.expr("_slot div 64"))
-    return marked.join(F.broadcast(bits), "_place").filter(bit.bitwiseAND(F.col("_bits")) != 0).drop("_slot", "_place", "_bits")
+    return marked, F.broadcast(bits), bit.bitwiseAND(F.col("_bits")) != 0
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``keys``, and a few others: a cheap filter in front of a join.
+
+    The filter is a bit map of the keys' hashes in ``FILTER_BITS`` / 64 rows at most, so it can be
+    broadcast however many keys there are; when it fills up it only lets more rows pass.
+    """
+    marked, bits, hit = _filter_bits(rows, keys, key)
+    return marked.join(bits, "_place").filter(hit).drop("_slot", "_place", "_bits")
+
+
+def not_in_filter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The other rows of ``maybe_in``: certainly not in ``keys``."""
+    marked, bits, hit = _filter_bits(rows, keys, key)
+    return marked.join(bits, "_place", "left").filter(~F.coalesce(hit, F.lit(False))).drop("_slot", "_place", "_bits")

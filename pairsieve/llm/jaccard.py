@@ -32,7 +32,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsieve.functions.values import ref
-from pairsieve.llm.common import ascii_lower, join_facts, keep, text_of
+from pairsieve.llm.common import ascii_lower, join_facts, keep, maybe_in, not_in_filter, text_of
 from pairsieve.llm.components import components
 from pairsieve.llm.lm import token_index
 
@@ -43,8 +43,6 @@ REGION = 0.23
 #: Members compared with one copy of their leader, and sets per cell of a large block.
 GROUP = 512
 CELL = 1024
-#: Bits of the filter that holds back texts that are no candidates before they are shuffled.
-FILTER_BITS = 1 << 25
 _FACTORS = np.random.default_rng(8).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -210,14 +208,9 @@ def _text_key(text: str) -> Column:
 def _candidate_texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """``key``, ``text`` of the candidates, one row per text.
 
-    A bit map of the keys' hashes (bounded, so broadcast) holds most other texts back before the
-    shuffle; the join after it is exact.
+    A filter holds most other texts back before the shuffle; the join after it is exact.
     """
-    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    bits = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("place")).agg(F.bit_or(bit).alias("bits"))
-    given = docs.select(text_of(text).alias("text"), _text_key(text).alias("key")).withColumn("slot", slot)
-    passed = given.withColumn("place", F.expr("slot div 64")).join(F.broadcast(bits), "place").filter(bit.bitwiseAND(F.col("bits")) != 0)
+    passed = maybe_in(docs.select(text_of(text).alias("text"), _text_key(text).alias("key")), keys, "key")
     return keep(passed.groupBy("key", "text").agg(F.lit(1).alias("one")).drop("one").join(keys, "key", "left_semi"), "texts")
 
 
@@ -303,17 +296,41 @@ def jaccard_components(
     final = components(links.unionByName(more), "final").withColumnRenamed("node", "at")
 
     rows = join_facts(
-        shingled.filter("digest IS NOT NULL").select("row", "doc_id", "n", "digest"), same, ["digest"], "copies", total)
+        shingled.filter("digest IS NOT NULL").select("row", "doc_id", "n", "key", "digest"), same, ["digest"], "copies", total)
     placed_rows = keep(rows.join(final, rows["node"] == final["at"], "left").select(
-        "row", "doc_id", "n", F.coalesce("component", "node").alias("component")), "placed")
+        "row", "doc_id", "n", "key", F.coalesce("component", "node").alias("component")), "placed")
     least = placed_rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
     linked = join_facts(placed_rows, least, ["component"], "members", total)
     alone = shingled.filter("digest IS NULL").select(
-        "row", "doc_id", "n", F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
-    return linked.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id").unionByName(
+        "row", "doc_id", "n", "key", F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
+    return linked.select("row", "doc_id", F.col("n").alias("n_shingles"), "key", "component", "component_id").unionByName(
         alone.withColumnRenamed("n", "n_shingles"))
 
 
+def one_per_component(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents with one of each component left: the one with the least id.
+
+    A null id comes after any other; rows that agree in id and words count as repeats of one row, of
+    which one stays.  Only documents of components with several members are shuffled with their text.
+    """
+    rows = jaccard_components(docs, text, doc_id, **options).filter("n_shingles > 0")
+    found = keep(rows.select("component", "doc_id", _identity(F.col("doc_id"), F.col("key")).alias("_who")), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_who")
+    keepers = found.groupBy("component").agg(F.count("*").alias("members"), F.min(order).alias("least")).filter("members > 1").select(
+        "component", "members", F.col("least._who").alias("keeper"))
+    actions = keep(join_facts(found, keepers, ["component"], "members", found.count()).select(
+        "_who", (F.col("_who") == F.col("keeper")).alias("_stays")).distinct(), "actions")
+    named = docs.withColumn("_who", _identity(ref(doc_id).cast("long"), _text_key(text)))
+    touched, clear = maybe_in(named, actions, "_who"), not_in_filter(named, actions, "_who")
+    decided = touched.join(actions, "_who", "left").filter("_stays IS NULL OR _stays")
+    once = decided.filter("_stays").dropDuplicates(["_who"])
+    return clear.unionByName(decided.filter("_stays IS NULL").unionByName(once).drop("_stays")).drop("_who")
+
+
+def _identity(doc_id: Column, key: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.hex(key))))
+
+
 def _cells(members: DataFrame, cell: int, percent: int) -> DataFrame:
     """Places of block members: the block itself, or for a large one every compatible pair of cells.
 
