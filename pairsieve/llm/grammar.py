@@ -24,9 +24,11 @@ from pairsieve.llm.tokens import crc_of, encoder
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Ids per grammar, the count that makes a pair frequent, and the first nonterminal.
+#: Ids per grammar, the count that makes a pair frequent, the factor within which counts are
+#: taken as equal, and the first nonterminal.
 SHARD_TOKENS = 1 << 19
-FREQUENT = 4
+FREQUENT = 16
+CLASS = 64
 FIRST_RULE = 1 << 17
 #: Stands for a null document id in a shard.
 NO_ID = -(2**63)
@@ -41,10 +43,28 @@ class Grammar:
     symbols: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
+    _table: np.ndarray | None = None
+    _begins: np.ndarray | None = None
 
     def expand(self, begin: int = 0, end: int | None = None) -> np.ndarray:
-        """The ids under symbols ``begin`` to ``end``: nonterminals unfold until none is left."""
-        out = self.symbols[begin:end]
+        """The ids under symbols ``begin`` to ``end``, copied from the rules' expansions."""
+        if self._table is None:
+            self._table = self._unfold(np.arange(FIRST_RULE, FIRST_RULE + len(self.rules), dtype=np.uint32))
+            self._begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        symbols = self.symbols[begin:end].astype(np.int64)
+        rule = symbols >= FIRST_RULE
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[rule] = self.lengths[symbols[rule] - FIRST_RULE]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        out[ends[~rule] - 1] = symbols[~rule]
+        sizes, places = sizes[rule], (ends - sizes)[rule]
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(places, sizes) + inner] = self._table[np.repeat(self._begins[symbols[rule] - FIRST_RULE], sizes) + inner]
+        return out
+
+    def _unfold(self, out: np.ndarray) -> np.ndarray:
+        """Nonterminals give way to their pairs until none is left."""
         while len(out) and out.max() >= FIRST_RULE:
             pair = out >= FIRST_RULE
             places = np.cumsum(1 + pair) - (1 + pair)
@@ -74,7 +94,7 @@ class Grammar:
 def compress(ids: np.ndarray, begins: np.ndarray, frequent: int = FREQUENT) -> tuple[Grammar, np.ndarray]:
     """Re-Pair of the ids; ``begins``: where documents start.  Also where they start in the symbols.
 
-    Each pass takes the pairs within a factor of four of the most frequent one together, replaces
+    Each pass takes the pairs within a factor ``CLASS`` of the most frequent one together, replaces
     them from left to right without overlap, and counts anew.
     """
     symbols = ids.astype(np.uint32)
@@ -93,20 +113,25 @@ def compress(ids: np.ndarray, begins: np.ndarray, frequent: int = FREQUENT) -> t
         most = counts.max()
         if most < frequent:
             break
-        chosen = found[edge[:-1]][counts >= max(frequent, most // 4)]
-        spot = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
-        hit = inside & (chosen[spot] == codes)
+        chosen = found[edge[:-1]][counts >= max(frequent, most // CLASS)]
+        firsts, seconds = np.zeros((2, FIRST_RULE + len(rules)), bool)
+        firsts[chosen >> np.uint64(32)] = seconds[chosen & np.uint64(0xFFFFFFFF)] = True
+        at = np.flatnonzero(firsts[symbols[:-1]] & seconds[symbols[1:]] & inside)
+        spot = np.minimum(np.searchsorted(chosen, codes[at]), len(chosen) - 1)
+        real = chosen[spot] == codes[at]
+        at, spot = at[real], spot[real]
         # in a run of neighbouring hits every other one is replaced
-        at = np.arange(len(hit))
-        fresh = hit & ~np.concatenate([[False], hit[:-1]])
-        hit &= (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
-        used, which = np.unique(spot[hit], return_inverse=True)
+        run = np.cumsum(np.diff(at, prepend=-2) != 1) - 1
+        fresh = np.flatnonzero(np.diff(run, prepend=-1))
+        odd = (np.arange(len(at)) - fresh[run]) % 2 == 1
+        at, spot = at[~odd], spot[~odd]
+        used, which = np.unique(spot, return_inverse=True)
         pairs = np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         size = np.where(pairs >= FIRST_RULE, lengths[np.maximum(pairs.astype(np.int64) - FIRST_RULE, 0)] if len(lengths) else 1, 1)
         symbols = symbols.copy()
-        symbols[np.flatnonzero(hit)] = FIRST_RULE + len(rules) + which
+        symbols[at] = FIRST_RULE + len(rules) + which
         stay = np.ones(len(symbols), bool)
-        stay[np.flatnonzero(hit) + 1] = False
+        stay[at + 1] = False
         symbols, starts = symbols[stay], starts[stay]
         rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, size.sum(1).astype(np.uint32)])
     return Grammar(symbols, rules, lengths), np.flatnonzero(starts)

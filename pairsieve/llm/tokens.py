@@ -9,15 +9,18 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Letters that the tokenizer's lower-casing and normalisation leave alone (fixed values).
-PLAIN = re.compile("[a-zà-öø-ÿ]+")
-#: Distinct words remembered per worker; only speed depends on it.
-REMEMBERED = 300_000
+#: Characters that the tokenizer's lower-casing and normalisation leave alone, and the units it
+#: makes of them: letters together, digits one by one, other signs together (fixed values).
+PLAIN = re.compile(r"[a-zà-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
+UNITS = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-;=-@\[-`{-~]+")
+#: Distinct units remembered per worker; only speed depends on it.
+REMEMBERED = 600_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -55,36 +58,45 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.stop = {mark: tuple(self._encode(mark)) for mark in ".,"}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # ids of letters and of signs, as the bytes of unsigned 32-bit numbers
+        self.letters: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.stops = {mark: self._unit(mark, self.signs) for mark in ".,"}
 
-    def _encode(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         """Ids of one stretch without ASCII white space.
 
-        A plain lower-cased word is one unit for the tokenizer and goes straight to its model;
-        everything else takes the full path.
+        The units of a plain lower-cased stretch go straight to the tokenizer's model; everything
+        else, apostrophes and angle brackets included, takes the full path.
         """
-        mark = self.stop.get(word[-1:], ())
-        core = (word[:-1] if mark else word).lower()
-        if not PLAIN.fullmatch(core):
-            return tuple(self._encode(word))
-        ids = self.cache.get(core)
+        plain, letters = word.lower(), self.letters
+        if plain in letters:
+            return letters[plain]
+        stop = self.stops.get(plain[-1:], b"")
+        core = plain[:-1] if stop else plain
+        if core in letters:
+            return letters[core] + stop
+        if core.isascii() and core.isalpha():
+            return self._unit(core, letters) + stop
+        if not PLAIN.fullmatch(plain):
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join([letters.get(u) or self._unit(u, letters if u.isalpha() else self.signs) for u in UNITS.findall(plain)])
+
+    def _unit(self, unit: str, known: dict[str, bytes]) -> bytes:
+        ids = known.get(unit)
         if ids is None:
-            if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
-            units = core if core.isascii() else self.bytes.pre_tokenize_str(core)[0][0]
-            ids = self.cache[core] = tuple(t.id for t in self.model.tokenize(units))
-        return ids + mark if mark else ids
+            if len(known) >= REMEMBERED:
+                known.clear()
+            shown = unit if unit.isascii() else self.bytes.pre_tokenize_str(unit)[0][0]
+            ids = known[unit] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text begins (one more entry)."""
         words, per_text = split_words(texts)
-        known = [self.word(w) for w in words.dictionary.to_pylist()]
-        lengths = np.fromiter((len(k) for k in known), np.int64, len(known))
-        flat = np.fromiter((i for k in known for i in k), np.uint32, int(lengths.sum()))
+        known = list(map(self.word, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(known) else np.zeros(0, np.int64)
         index = words.indices.to_numpy(zero_copy_only=False)
         sizes = lengths[index] if len(known) else np.zeros(0, np.int64)
