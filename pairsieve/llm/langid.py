@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pairsieve.functions.values import ref
+from pairsieve.llm.arrow import portions
 from pairsieve.llm.common import in_fold
 
 DEPTH = 3
@@ -144,7 +145,7 @@ def train(docs: DataFrame, text: str, doc_id: str, lang: str, sample_docs: int =
     sample = labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < limit).select(number.alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             data, begins = bytes_of(batch.column(1))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(begins))
             padded = np.zeros(len(data) + DEPTH * batch.num_rows, np.int64)
@@ -188,7 +189,7 @@ def identify(
             _scorers[id(known)] = Scorer(known)
         scorer = _scorers[id(known)]
         names = np.array([*known.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in portions(batches, 1):
             texts = batch.column(1)
             bits, sizes = scorer.totals(texts)
             letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
