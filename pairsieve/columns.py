@@ -16,7 +16,15 @@ NAME_SCORES = [
     "NOME qtd frag muito parec",
     "NOME qtd frag abrev",
 ]
-MOTHER_SCORES = [name.replace("NOME", "NOMEMAE", 1) for name in NAME_SCORES]
+MOTHER_SCORES = [
+    "NOMEMAE prim frag igual",
+    "NOMEMAE ult frag igual",
+    "NOMEMAE qtd frag iguais",
+    "NOMEMAE qtd frag raros",
+    "NOMEMAE qtd frag comuns",
+    "NOMEMAE qtd frag muito parec",
+    "NOMEMAE qtd frag abrev",
+]
 BIRTH_SCORES = [
     "DTNASC dt iguais",
     "DTNASC dt ap 1digi",

@@ -136,16 +136,11 @@ def _request(rows: DataFrame, prefix: str, system: str, content: Column, max_tok
 
 
 def claim_prompt(abstract: Column, sentence: Column, paragraph: Column, claim: Column) -> Column:
-    """Request text asking whether an abstract supports a claim; inputs cut at fixed lengths.
-
-    The cuts (2000, 500, 1000 characters) are part of the request's format.
-    """
+    """Request text asking whether an abstract supports a claim, with the inputs whole."""
     return F.format_string(
         "Does the abstract of the cited work support the claim?\nClaim type: %s\nSentence: %s\n"
         "Paragraph: %s\nAbstract: %s\nAnswer in JSON with verdict, confidence and justification.",
-        claim, F.substring(F.coalesce(sentence, F.lit("")), 1, 500),
-        F.substring(F.coalesce(paragraph, F.lit("")), 1, 1000),
-        F.substring(F.coalesce(abstract, F.lit("")), 1, 2000),
+        claim, *[F.coalesce(c, F.lit("")) for c in (sentence, paragraph, abstract)],
     )
 
 

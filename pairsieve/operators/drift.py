@@ -41,7 +41,8 @@ def psi(
 
     counts = side(baseline, "e").unionByName(side(current, "a"))
     if groups:
-        rows = counts.join(edges, groups)
+        rows = counts.join(edges, _same(counts, edges, groups), "left").select(counts["*"], "edges")
+        rows = rows.withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))
     else:
         rows = counts.withColumn("edges", edges.select("edges").scalar())
     v, e = F.col("value"), F.col("edges")
@@ -70,6 +71,14 @@ def psi(
     return collected.select(*[ref(g) for g in groups], F.when(usable, total).otherwise(0.0).alias("psi"))
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Equality of the named columns with NULL equal to NULL."""
+    condition = F.lit(True)
+    for n in names:
+        condition = condition & left[n].eqNullSafe(right[n])
+    return condition
+
+
 def ks(
     baseline: DataFrame, current: DataFrame, value: str = "value", groups: list[str] | None = None
 ) -> DataFrame:

@@ -32,15 +32,20 @@ def seeded_splits(
     df: DataFrame, label: str, key: str, seeds: list[int], share: float, split_by: str = "row",
     stratify: bool = True,
 ) -> DataFrame:
-    """Every row once per seed, with ``seed`` and ``split``; row or group membership."""
+    """Every row once per seed, with ``seed`` and ``split``; row or group membership.
+
+    As for a single split, a class of one row and a missing group are errors.
+    """
     column = {"row": None, "comprec": C.LEFT, "refrec": C.RIGHT}[split_by]
     seed_list = F.array(*[F.lit(int(s)) for s in seeds])
     if column is None:
         rows = df.withColumn("seed", F.explode(seed_list))
         ranked = rank_by_hash(rows, ["seed", label], F.col("seed"), key, "_rank", "_size")
-        test = F.col("_rank") <= holdout_size(F.col("_size"), share)
+        lone = F.when(F.col("_size") < 2, F.raise_error(F.lit("a class needs at least two rows")))
+        test = F.col("_rank") <= F.coalesce(lone.cast("bigint"), holdout_size(F.col("_size"), share))
         return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_size")
-    groups = df.groupBy(ref(column).cast("string").alias("_g")).agg(F.max(ref(label)).alias("_y"))
+    named = F.when(ref(column).isNull(), F.raise_error(F.lit("a group is missing"))).otherwise(ref(column).cast("string"))
+    groups = df.groupBy(named.alias("_g")).agg(F.max(ref(label)).alias("_y"))
     groups = groups.withColumn("seed", F.explode(seed_list))
     strata = ["seed", "_y"] if stratify else ["seed"]
     ranked = rank_by_hash(groups, strata, F.col("seed"), "_g", "_rank", "_size")

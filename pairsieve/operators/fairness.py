@@ -19,9 +19,13 @@ WIDE_BANDS = ["0-6", "6-11", "11-25", ">25"]
 
 # Two-digit state codes per region of the national geography.
 REGIONS = {
-    "NORTE": range(11, 18), "NORDESTE": range(21, 30), "SUDESTE": (31, 32, 33, 35),
-    "SUL": (41, 42, 43), "CENTRO_OESTE": range(50, 54),
+    "NORTE": [11, 12, 13, 14, 15, 16, 17],
+    "NORDESTE": [21, 22, 23, 24, 25, 26, 27, 28, 29],
+    "SUDESTE": [31, 32, 33, 35],
+    "SUL": [41, 42, 43],
+    "CENTRO_OESTE": [50, 51, 52, 53],
 }
+# The hypotheses as reports name them.
 NULL_HYPOTHESIS = {
     "tpr": "P(y_hat=1 | y=1, g=a) = P(y_hat=1 | y=1, g=b)",
     "ppv": "P(y=1 | y_hat=1, g=a) = P(y=1 | y_hat=1, g=b)",

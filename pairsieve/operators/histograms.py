@@ -20,7 +20,7 @@ def histogram(
     groups = groups or []
     extra = [c.alias(name) for name, c in (sums or {}).items()]
     return (
-        df.filter(ref(value).isNotNull())
+        df.filter(ref(value).isNotNull() & ~F.isnan(ref(value).cast("double")))
         .groupBy(*[ref(g) for g in groups], ref(value).cast("double").alias("value"))
         .agg(F.count("*").alias("n"), *extra)
     )
@@ -30,7 +30,7 @@ def running_totals(
     hist: DataFrame, groups: list[str], measures: list[str], descending: bool
 ) -> DataFrame:
     """Add ``<measure>_to``, the total up to and including each value in the chosen order."""
-    binned = hist.withColumn("_vb", value_bin(F.col("value")))
+    binned = value_bin(hist, "value")
     bins = bin_offsets(binned, groups, {m: F.sum(m) for m in measures}, descending)
     bins = bins.drop(*measures)
     order = F.desc("value") if descending else F.asc("value")

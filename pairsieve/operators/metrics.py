@@ -165,7 +165,7 @@ def pareto_front(
     over bins of recall and inside each bin, so no window spans all points.
     """
     per_recall = points.groupBy(ref(recall).alias("_r")).agg(F.max(ref(precision)).alias("_p"))
-    per_recall = per_recall.withColumn("_b", value_bin(F.col("_r")))
+    per_recall = value_bin(per_recall, "_r", "_b")
     bins = per_recall.groupBy("_b").agg(F.max("_p").alias("_m"))
     over_bins = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     bins = bins.select("_b", F.max("_m").over(over_bins).alias("_outer"))

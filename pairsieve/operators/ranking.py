@@ -11,23 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairsieve.functions.values import ref
-from pairsieve.session import materialise
 
-# Up to this many rows a top-k is kept by each task and merged; beyond it the order is sorted
-# across the cluster and only one cut-off row is looked up.
-TOP_K_ROWS = 100_000
 KEY_BINS_PER_E = 65_536
-PER_OCTAVE = 512
+# Value bins are stretches between this many quantiles of the distinct values.
+BINS = 1024
 
 
-def value_bin(value: Column) -> Column:
-    """A monotone integer bin of a double: 512 bins per factor e, on either side of zero.
+def value_bin(rows: DataFrame, value: str, out: str = "_vb") -> DataFrame:
+    """Add a monotone integer bin: how many quantiles of the column are not above the value.
 
-    Needs no knowledge of the data's range, so it is the same in every plan that uses it and
-    an outlier does not squeeze the other values into one bin.
+    The quantiles come from the rows themselves, in one small aggregate, so every bin holds a
+    like share of them whatever their scale, and infinities are values like any other.
     """
-    size = F.floor(F.log(F.abs(value)) * PER_OCTAVE).cast("int") + F.lit(400_000)
-    return F.when(value > 0, size).when(value < 0, -size).when(value == 0, F.lit(0))
+    points = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    edges = rows.agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(ref(value).cast("double"), points, F.lit(8 * BINS)))).alias("edges")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in range(BINS.bit_length() - 1, -1, -1)])
+
+    def climb(at: Column, step: Column) -> Column:
+        return F.when(F.get(F.col("_edges"), at + step - 1) <= ref(value), at + step).otherwise(at)
+
+    return rows.withColumn("_edges", edges).withColumn(out, F.aggregate(steps, F.lit(0), climb)).drop("_edges")
 
 
 def hashed(seed: int | str | Column, *keys: Column) -> Column:
@@ -95,9 +99,8 @@ def rank_by_value(
     running totals of those counts back and orders the rows of a single cell.
     """
     leading = leading or []
-    rows = df.withColumns({
-        "_v": ref(value).cast("double"), "_kb": key_bin(ref(key)),
-    }).withColumn("_vb", value_bin(F.col("_v")))
+    rows = df.withColumns({"_v": ref(value).cast("double"), "_kb": key_bin(ref(key))})
+    rows = value_bin(rows, "_v")
     outer = [*groups, *leading]
     cells = rows.groupBy(*[ref(g) for g in outer], "_vb", "_v", "_kb").agg(F.count("*").alias("_n"))
     before = W.unboundedPreceding
@@ -136,23 +139,21 @@ def bin_offsets(
 def cutoff(rows: DataFrame, order: Column, k: int) -> DataFrame:
     """One row ``(last, taken)``: the k-th smallest order value and how many rows reach it.
 
-    ``order`` must be unique per row.  Small k uses a top-k; a larger one sorts across the
-    cluster, numbers the rows inside each sorted partition and looks the k-th one up.
+    ``order`` must be unique per row.  The order values alone are range-partitioned across the
+    cluster; partition sizes say which partition holds the k-th, and only that one is sorted.
+    Both steps read the same exchange.  One path for every k.
     """
-    keys = rows.select(order.alias("o"))
-    if k <= TOP_K_ROWS:
-        return keys.orderBy("o").limit(k).agg(F.max("o").alias("last"), F.count("*").alias("taken"))
-    numbered = materialise(keys.orderBy("o").withColumn("i", F.monotonically_increasing_id()))
-    part, row = F.shiftright("i", 33), F.col("i").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    running = W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    sizes = sizes.withColumn("end", F.sum("n").over(running)).withColumn(
-        "start", F.col("end") - F.col("n")
-    )
-    position = numbered.select("o", part.alias("p"), row.alias("r")).join(sizes, "p")
-    return position.filter(F.col("start") + F.col("r") < k).agg(
-        F.max("o").alias("last"), F.count("*").alias("taken")
-    )
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(order.alias("o")).repartitionByRange(parts, "o").withColumn("p", F.spark_partition_id())
+    sizes = keys.groupBy("p").agg(F.count("*").alias("n"))
+    running = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    wanted = F.least(F.lit(k), F.col("start") + F.col("n")).alias("taken")
+    holder = starts.filter(F.col("start") < k).select("p", "start", wanted).agg(
+        F.max(F.struct("p", "start", "taken")).alias("h")).select("h.*")
+    inside = keys.join(F.broadcast(holder), "p").withColumn(
+        "at", F.col("start") + F.row_number().over(W.partitionBy("p").orderBy("o")))
+    return inside.filter(F.col("at") == F.col("taken")).agg(F.max("o").alias("last"), F.coalesce(F.max("taken"), F.lit(0)).alias("taken"))
 
 
 def first_k(df: DataFrame, eligible: Column, order: Column, k: int, out: str) -> DataFrame:

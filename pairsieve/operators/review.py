@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from pairsieve.functions.intervals import wilson_of_rate
 from pairsieve.functions.rates import ratio
@@ -27,58 +25,51 @@ ANSWER_SCHEMA = (
 )
 
 
-def _rescued(text: Column) -> Column:
-    """A fenced object, else the brace-balanced object around the decision key.
+# Fixed value: a code fence around an answer.
+FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 
-    For answers whose outermost braces do not hold valid JSON; all others arrive as NULL.
-    """
-
-    @F.pandas_udf(T.StringType())
-    def scan(texts: pd.Series) -> pd.Series:
-        import json
-        import re
 
-        fence = re.compile(r"```(?:json)?\s*\n?(.*?)\n?```", re.DOTALL)
+def _object(text: Column) -> Column:
+    """The text if it is one valid JSON object, else NULL."""
+    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text)
 
-        def readable(value):
-            try:
-                return value if isinstance(json.loads(value), dict) else None
-            except ValueError:
-                return None
 
-        def balanced(value):
-            at = value.find('"decision"')
-            start = value.rfind("{", 0, at) if at > 0 else -1
-            depth = 0
-            for i in range(start, len(value)) if start >= 0 else ():
-                depth += (value[i] == "{") - (value[i] == "}")
-                if depth == 0:
-                    return value[start:i + 1]
-            return ""
+def _balanced(text: Column) -> Column:
+    """The brace-balanced stretch that holds the decision key.
 
-        def one(value):
-            if value is None:
-                return None
-            fenced = fence.search(value)
-            return (readable(fenced.group(1).strip()) if fenced else None) or readable(balanced(value))
+    An object that begins with the key comes before one that has it further inside; the depth of
+    braces is followed character by character up to the closing one.
+    """
+    first = F.locate('{"decision"', text)
+    before = F.substring_index(text, '"decision"', 1)
+    inner = F.when(F.locate('"decision"', text) > 0, F.length(F.substring_index(before, "{", -1)))
+    start = F.when(first > 0, first).otherwise(F.length(before) - inner)
+    rest = F.substring(text, start, F.length(text))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-        return texts.map(one)
+    def follow(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (depth == 0), s["at"] + 1).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end"))
 
-    return scan(text)
+    end = F.aggregate(F.split(rest, ""), state, follow, lambda s: s["end"])
+    return F.when(inner.isNotNull() & F.contains(before, F.lit("{")) | (first > 0), F.substring(rest, F.lit(1), end))
 
 
 def extract_json(answers: DataFrame, raw: str = "raw", out: str = "json") -> DataFrame:
     """The answer's JSON object as text, NULL when there is none.
 
     Thinking blocks go first.  The outermost braces cover a plain answer, one in a code fence and
-    one amid prose; only rows where they hold no valid JSON reach the Python scan.
+    one amid prose; where they hold no valid JSON, a fenced object and then the braces around the
+    decision key are tried.
     """
     stripped = F.regexp_replace(ref(raw), r"(?s)<think>.*?</think>", "")
     rows = answers.withColumn("_s", stripped).withColumn("_t", F.regexp_extract("_s", r"(?s)\{.*\}", 0))
-    rows = rows.withColumn("_ok", F.try_parse_json(F.when(F.length("_t") > 0, F.col("_t"))).isNotNull())
-    rest = F.when(~F.col("_ok") & F.contains("_s", F.lit("{")), F.col("_s"))
-    rows = rows.withColumn("_r", _rescued(rest))
-    return rows.withColumn(out, F.when(F.col("_ok"), F.col("_t")).otherwise(F.col("_r"))).drop("_s", "_t", "_ok", "_r")
+    rows = rows.withColumn("_o", _object(F.col("_t")))
+    tail = F.substring(F.col("_s"), F.locate("{", F.col("_s")), F.length("_s"))
+    fenced = F.trim(F.regexp_extract(tail, FENCE, 1))
+    rescued = F.when(F.contains("_s", F.lit("{")), F.coalesce(_object(fenced), _object(_balanced(tail))))
+    return rows.withColumn(out, F.when(F.col("_o").isNotNull(), F.col("_o")).otherwise(rescued)).drop("_s", "_t", "_o")
 
 
 def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> DataFrame:
@@ -104,7 +95,7 @@ def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> Da
         valid = F.filter(codes, lambda c: c.isin(*REASON_CODES))
         codes = F.when(F.size(valid) > 0, valid).otherwise(F.array(F.lit("INSUFFICIENT_EVIDENCE")))
     lists = F.struct(*[
-        F.slice(F.coalesce(F.col(f"_a.evidence_summary.{e}"), F.array().cast("array<string>")), 1, 10).alias(e)
+        F.coalesce(F.col(f"_a.evidence_summary.{e}"), F.array().cast("array<string>")).alias(e)
         for e in EVIDENCE
     ])
     flags = F.struct(*[F.coalesce(F.col(f"_a.quality_flags.{q}"), F.lit(False)).alias(q) for q in QUALITY])
@@ -115,12 +106,17 @@ def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> Da
 
 
 def _side_by_side(parsed: DataFrame, key: str, agents: tuple[str, str, str]) -> DataFrame:
-    """Each pair's three answers as prefixed columns: one shuffle, one mergeable aggregate."""
+    """Each pair's three last answers as prefixed columns: one shuffle, one mergeable aggregate.
+
+    The last is the one with the greatest ``attempt``, where that column exists.
+    """
     names = ["confidence", "decision", "reason_codes", "evidence_summary", "quality_flags", "latency_s", "tokens"]
     names = [n for n in names if n in parsed.columns]
     answer = F.struct(*names)
+    latest = F.col("attempt") if "attempt" in parsed.columns else F.lit(0)
     rows = parsed.groupBy(key).agg(*[
-        F.max(F.when(F.col("agent") == who, answer)).alias(f"_{p}") for who, p in zip(agents, ("a", "b", "arb"))
+        F.max_by(answer, F.when(F.col("agent") == who, latest)).alias(f"_{p}")
+        for who, p in zip(agents, ("a", "b", "arb"))
     ])
     both = rows.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return both.select(key, *[F.col(f"_{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b", "arb") for n in names])

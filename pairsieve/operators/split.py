@@ -152,7 +152,9 @@ def bootstrap_weights(key: Column, replicate: Column, seed: int = 0) -> Column:
 
     u = hash_uniform(hashed(seed, key, replicate))
     chain, total = None, 0.0
-    for n in range(8):
+    n = 0
+    while 1 - total > 16.0**-7:  # one step of the hash
         total += exp(-1.0) / factorial(n)
         chain = F.when(u < total, n) if chain is None else chain.when(u < total, n)
-    return chain.otherwise(8)
+        n += 1
+    return chain.otherwise(n)

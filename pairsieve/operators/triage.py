@@ -134,9 +134,12 @@ def consistent_per_left(
     """Per left record: the best pair, or a review of the top two when they are close.
 
     A left record with a third of all pairs must not sit in one task, so the top two are kept
-    by a mergeable aggregate (``max_by`` with k) instead of a window over the group.
+    by mergeable aggregates instead of a window over the group.  Pairs without a left record
+    compete with nothing and are kept.
     """
     order = F.struct(ref(probability).alias("p"), (-ref(key)).alias("k"))
+    nameless = df.filter(ref(left).isNull()).withColumn("consistency", F.lit("KEEP"))
+    df = df.filter(ref(left).isNotNull())
     tops = df.groupBy(ref(left)).agg(F.max(order).alias("_first"))
     flagged = df.join(tops, left)
     second = flagged.filter(order < F.col("_first")).groupBy(ref(left)).agg(
@@ -146,4 +149,4 @@ def consistent_per_left(
     close = true_or_false(F.col("_first.p") - F.col("_second.p") < margin)
     top, runner = order == F.col("_first"), true_or_false(order == F.col("_second"))
     status = F.when(close & (top | runner), "REVIEW").when(top, "KEEP").otherwise("DROP")
-    return joined.withColumn("consistency", status).drop("_first", "_second")
+    return joined.withColumn("consistency", status).drop("_first", "_second").unionByName(nameless)

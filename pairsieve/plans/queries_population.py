@@ -98,10 +98,10 @@ def group_metrics(spark, sf_dir):
                      ["rate", "wilson_low", "wilson_high"])
 
 
-PAIR_SQL = f"""{METRIC_SQL}, pairs2 AS (SELECT a.dimension, a.metric, a."group" AS group_a, b."group" AS group_b,
+PAIR_SQL = f"""{METRIC_SQL.replace(" AS (", " AS MATERIALIZED (")}, pairs2 AS MATERIALIZED (SELECT a.dimension, a.metric, a."group" AS group_a, b."group" AS group_b,
   CAST(a.num AS DOUBLE) AS a, CAST(a.den - a.num AS DOUBLE) AS b, CAST(b.num AS DOUBLE) AS c, CAST(b.den - b.num AS DOUBLE) AS d
   FROM rates a JOIN rates b ON a.dimension = b.dimension AND a.metric = b.metric AND a."group" < b."group"),
-odds AS (SELECT *, CASE WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN 0.5E0 ELSE 0 END AS h,
+odds AS MATERIALIZED (SELECT *, CASE WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN 0.5E0 ELSE 0 END AS h,
   (a + b > 0 AND c + d > 0) AS usable,
   LEAST((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / (a + b + c + d) AS expected,
   (a + b) * (c + d) * (a + c) * (b + d) AS product, (a + b + c + d) * (a * d - b * c) * (a * d - b * c) AS top FROM pairs2)"""

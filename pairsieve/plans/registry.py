@@ -34,12 +34,3 @@ def register(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a scan over the cores when it has fewer partitions than there are cores.
-
-    One small file is one partition however much work each of its rows is; a large table has
-    more partitions than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
