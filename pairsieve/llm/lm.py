@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairsieve.functions.values import ref
+from pairsieve.llm.arrow import portions
 from pairsieve.llm.common import in_fold, keep
 from pairsieve.llm.tokens import split_words
 
@@ -37,11 +38,11 @@ CONTEXT = 4
 SIZE = 16
 NOISE = 32
 BATCH = 2048
-#: Steps taken on every Arrow batch at least: a small one is gone over more than once.
-LEAST_STEPS = 200
+#: Steps taken on every portion of the texts at least: a small one is gone over more than once.
+LEAST_STEPS = 100
 ROUNDS = 2
 RATE = 0.2
-BLOCK = 2048
+BLOCK = 512
 
 
 @dataclass
@@ -76,16 +77,21 @@ class Model:
     def log_probabilities(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the normalised probability of each word after its context."""
         out = np.empty(len(words))
+        weights = np.column_stack([self.outputs, self.bias]).T.copy()
+        ones, room = np.ones(len(self.bias), np.float32), np.empty((BLOCK, len(self.bias)), np.float32)
         for first in range(0, len(words), BLOCK):
             part = slice(first, first + BLOCK)
             guess = self.predicted(contexts[part])
-            scores = guess @ self.outputs.T
-            scores += self.bias
-            own = scores[np.arange(len(scores)), words[part]].astype(np.float64)
-            top = scores.max(1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            out[part] = own - top - np.log(scores.sum(1, dtype=np.float64))
+            guess = np.column_stack([guess, np.ones(len(guess), np.float32)])
+            np.matmul(guess, weights, out=(scores := room[:len(guess)]))
+            own, top = scores[np.arange(len(scores)), words[part]].astype(np.float64), 0.0
+            with np.errstate(over="ignore"):
+                whole = np.exp(scores, out=scores) @ ones
+            if not np.isfinite(whole).all():  # beyond what single precision can hold
+                scores = guess @ weights
+                top = scores.max(1)
+                whole = np.exp(scores - top[:, None]) @ ones
+            out[part] = own - top - np.log(whole.astype(np.float64))
         return out
 
 
@@ -152,7 +158,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     """``word``, ``n`` over all given documents, the end counted once per document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             names, index, per_text = token_index(batch.column(0))
             n = np.bincount(index, minlength=len(names)).astype(np.int64)
             used = np.flatnonzero(n)
@@ -221,7 +227,7 @@ def train(docs: DataFrame, text: str, head: list[str], share: np.ndarray, rounds
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = None, 0
-            for batch in batches:
+            for batch in portions(batches, 0):
                 own = own or Trainer(Model.from_rows(start.copy(), n), share, TaskContext.get().partitionId())
                 tokens = Sequences(batch.column(0), words, n - 1)
                 steps = -(-len(tokens.owner) // BATCH)
@@ -273,7 +279,7 @@ def score_documents(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_of, own = sent.value
-        for batch in batches:
+        for batch in portions(batches, 1):
             tokens = Sequences(batch.column(1), words, model_words)
             docs_in, owner = batch.num_rows, tokens.owner
             guess = np.concatenate([
