@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsieve.functions.intervals import wilson_of_rate
@@ -29,31 +31,40 @@ ANSWER_SCHEMA = (
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _object(text: Column) -> Column:
     """The text if it is one valid JSON object, else NULL."""
-    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text)
+    return _let(text, lambda t: F.when(t.startswith("{") & F.try_parse_json(t).isNotNull(), t))
 
 
 def _balanced(text: Column) -> Column:
-    """The brace-balanced stretch that holds the decision key.
+    """The brace-balanced stretch that holds the decision key, else NULL.
 
     An object that begins with the key comes before one that has it further inside; the depth of
     braces is followed character by character up to the closing one.
     """
-    first = F.locate('{"decision"', text)
-    before = F.substring_index(text, '"decision"', 1)
-    inner = F.when(F.locate('"decision"', text) > 0, F.length(F.substring_index(before, "{", -1)))
-    start = F.when(first > 0, first).otherwise(F.length(before) - inner)
-    rest = F.substring(text, start, F.length(text))
-    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
     def follow(s: Column, c: Column) -> Column:
         depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        end = F.when((s["end"] == 0) & (depth == 0), s["at"] + 1).otherwise(s["end"])
-        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end"))
+        return _let(depth, lambda d: F.struct(
+            d.alias("depth"), (s["at"] + 1).alias("at"),
+            F.when((s["end"] == 0) & (d == 0), s["at"] + 1).otherwise(s["end"]).alias("end")))
+
+    def closed(rest: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+        return F.substring(rest, F.lit(1), F.aggregate(F.split(rest, ""), start, follow, lambda s: s["end"]))
+
+    def opened(t: Column) -> Column:
+        direct = F.position(F.lit('{"decision"'), t)
+        before = F.substring_index(t, '"decision"', 1)
+        inner = F.when(F.contains(t, F.lit('"decision"')) & F.contains(before, F.lit("{")),
+                       F.length(before) - F.length(F.substring_index(before, "{", -1)))
+        return F.when(direct > 0, direct).otherwise(inner)
 
-    end = F.aggregate(F.split(rest, ""), state, follow, lambda s: s["end"])
-    return F.when(inner.isNotNull() & F.contains(before, F.lit("{")) | (first > 0), F.substring(rest, F.lit(1), end))
+    return _let(text, lambda t: _let(F.substring(t, opened(t), F.length(t)), closed))
 
 
 def extract_json(answers: DataFrame, raw: str = "raw", out: str = "json") -> DataFrame:
@@ -66,9 +77,9 @@ def extract_json(answers: DataFrame, raw: str = "raw", out: str = "json") -> Dat
     stripped = F.regexp_replace(ref(raw), r"(?s)<think>.*?</think>", "")
     rows = answers.withColumn("_s", stripped).withColumn("_t", F.regexp_extract("_s", r"(?s)\{.*\}", 0))
     rows = rows.withColumn("_o", _object(F.col("_t")))
-    tail = F.substring(F.col("_s"), F.locate("{", F.col("_s")), F.length("_s"))
-    fenced = F.trim(F.regexp_extract(tail, FENCE, 1))
-    rescued = F.when(F.contains("_s", F.lit("{")), F.coalesce(_object(fenced), _object(_balanced(tail))))
+    tail = F.substring(F.col("_s"), F.position(F.lit("{"), F.col("_s")), F.length("_s"))
+    rescued = F.when(F.contains("_s", F.lit("{")), _let(tail, lambda t: F.coalesce(
+        _object(F.trim(F.regexp_extract(t, FENCE, 1))), _object(_balanced(t)))))
     return rows.withColumn(out, F.when(F.col("_o").isNotNull(), F.col("_o")).otherwise(rescued)).drop("_s", "_t", "_o")
 
 
