@@ -80,7 +80,7 @@ def _spread(rows: DataFrame, near: DataFrame, minority: DataFrame, copies: DataF
     step = hash_uniform(draw, 9)
     moved = F.zip_with("x", "n_x", lambda a, b: a + (b - a) * F.col("_step"))
     return plan.withColumn("_step", step).join(other, "n_id").select(
-        F.col("id"), moved.alias("x"), F.lit(1).alias("y"), F.lit(True).alias("synthetic"))
+        F.col("id"), moved.alias("x"), F.lit(1).alias("y"), F.lit(True).alias("synthetic"), "copy")
 
 
 def _wanted(rows: DataFrame, ratio: float) -> tuple[int, int]:
@@ -95,15 +95,21 @@ def _even_copies(rows: DataFrame, n_new: int, n_rows: int, seed: int) -> DataFra
 
 
 def _with_real(rows: DataFrame, new: DataFrame) -> DataFrame:
-    return rows.select("id", "x", "y", F.lit(False).alias("synthetic")).unionByName(new)
+    return rows.select("id", "x", "y", F.lit(False).alias("synthetic")).unionByName(new.drop("copy"))
 
 
-def smote(rows: DataFrame, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
-    """Grow class 1 to ``ratio`` of class 0 with points between minority neighbours."""
+def _grown(rows: DataFrame, ratio: float, k: int, seed: int) -> tuple[DataFrame, int]:
+    """The synthetic rows with the number of their copy, and how many copies a row has at most."""
     minority = rows.filter("y = 1")
     n_new, n_rows = _wanted(rows, ratio)
     near = neighbours(minority, minority, k)
-    return _with_real(rows, _spread(minority, near, minority, _even_copies(minority, n_new, n_rows, seed), k, seed))
+    copies = _even_copies(minority, n_new, n_rows, seed)
+    return _spread(minority, near, minority, copies, k, seed), n_new // max(1, n_rows) + 1
+
+
+def smote(rows: DataFrame, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
+    """Grow class 1 to ``ratio`` of class 0 with points between minority neighbours."""
+    return _with_real(rows, _grown(rows, ratio, k, seed)[0])
 
 
 def borderline_smote(rows: DataFrame, ratio: float = 1.0, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
@@ -144,10 +150,14 @@ def without_tomek_links(rows: DataFrame) -> DataFrame:
 
 
 def smote_tomek(rows: DataFrame, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
-    grown = smote(rows, ratio, k, seed)
-    numbered = grown.withColumn("id", F.when(
-        F.col("synthetic"), -F.abs(F.xxhash64("x")) - 1).otherwise(F.col("id")))
-    return without_tomek_links(numbered)
+    """SMOTE, then without Tomek links.
+
+    Real ids are not negative; a synthetic row gets a negative id made of its source and copy, so
+    equal points stay apart.
+    """
+    new, most = _grown(rows, ratio, k, seed)
+    numbered = new.withColumn("id", -(F.col("id") * (most + 1) + F.col("copy")) - 1)
+    return without_tomek_links(_with_real(rows, numbered))
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -59,33 +61,36 @@ def add_tidy_aliases(df: DataFrame) -> DataFrame:
     return df.withColumns(aliases) if aliases else df
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """Column names from the first line of the export; one row is read."""
-    one = spark.read.csv(path, sep=";", header=True, encoding=encoding)
-    return one.columns
-
-
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line decodes as UTF-8; checked where the lines are."""
-    lines = spark.read.text(path)
-    return lines.filter(~F.is_valid_utf8("value")).limit(1).isEmpty()
-
-
 def read_text_table(
     spark: SparkSession, path: str, encoding: str | None = None
 ) -> DataFrame:
-    """A semicolon-separated export with every column as text and missing marks as NULL."""
+    """A semicolon-separated export with every column as text and missing marks as NULL.
+
+    One scan of lines.  Without a given encoding each line is read as UTF-8 where it is valid and
+    as Latin-1 where it is not, so files of either kind can be mixed.  The header is the first
+    line; files that repeat it are fine, records that span lines are not.
+    """
+    value = F.col("value")
     if encoding is None:
-        encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    names = _header(spark, path, encoding)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, sep=";", header=True, encoding=encoding, schema=schema)
-    return raw.select(*[_present(n).alias(n) for n in raw.columns])
+        line = F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
+    else:
+        line = F.decode(value.cast("binary"), encoding)
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace(line, "^\ufeff|\r$", "")).alias("line"))
+    first = lines.first()
+    header = first["line"] if first else ""
+    names = next(csv.reader([header], delimiter=";"), [])
+    rows = lines.filter((F.col("line") != header) & (F.col("line") != "")).select(
+        F.from_csv("line", _ddl(names), {"sep": ";"}).alias("r"))
+    return rows.select(*[_present("r", n).alias(n) for n in names])
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
 
 
-def _present(name: str):
-    value = F.trim(ref(name))
-    return F.when(~value.isin(*MISSING), ref(name))
+def _present(record: str, name: str):
+    value = F.col(record).getField(name)
+    return F.when(~F.trim(value).isin(*MISSING), value)
 
 
 def numbers_from_text(df: DataFrame, names: list[str]) -> DataFrame:
