@@ -9,9 +9,11 @@ on a prefix shingle are ever compared; most documents have none in common with o
 shingle groups it shares most often.  Large groups of near copies become one component here, at
 one comparison each.
 
-*The rest.*  Prefix shingles whose documents already are in one component are settled.  Documents
-that still meet on an unsettled one form blocks; large blocks are cut into cells by set size, and
-pairs of cells whose sizes are compatible are compared.
+*The rest.*  Prefix shingles whose documents already are in one component are settled.  Documents of
+different components that meet on an unsettled one are paired where few do; since everything beyond
+the shorter prefix cannot make up for it, a pair must share a certain number of prefix shingles, and
+most pairs fall there.  Where many meet, they form blocks; large blocks are cut into cells by set
+size, and pairs of cells whose sizes are compatible are compared.
 
 *Comparison.*  A task stores the sets of its group in a path-compressed trie, most frequent
 shingles first, so that near copies share their paths.  A query set walks down once: overlaps
@@ -44,6 +46,8 @@ REGION = 0.23
 #: Members compared with one copy of their leader, and sets per cell of a large block.
 GROUP = 512
 CELL = 1024
+#: Documents on one prefix shingle up to which they are paired.
+FEW = 64
 _FACTORS = np.random.default_rng(8).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -271,29 +275,38 @@ def jaccard_components(
     )
     chosen = keep(meets.groupBy("node", "key").agg(
         F.max(F.struct("times", -F.col("leader"))).alias("best")).select("node", "key", (-F.col("best.col2")).alias("leader")), "leaders")
-    known = prefixes.select("node", "key").distinct()
-    salted = chosen.groupBy("leader").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / group).cast("int"))
-    spot = lambda salt: F.concat_ws(":", F.col("leader"), salt)
-    member_places = chosen.join(salted, "leader").select(
-        "key", "node", F.lit(0).alias("side"), spot(F.pmod(F.xxhash64("node"), F.col("salts"))).alias("place"))
-    leader_places = salted.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(
-        known.withColumnRenamed("node", "leader"), "leader").select(
-        "key", F.col("leader").alias("node"), F.lit(1).alias("side"), spot(F.col("salt")).alias("place"))
     met = prefixes.join(leaders.filter("members > 1").select("token"), "token", "left_semi").select("key").distinct()
     texts = _candidate_texts(docs, text, keep(met, "keys"))
-    links = _compare(texts, member_places.unionByName(leader_places), width, percent)
+    keys_of = prefixes.select("node", "key").distinct()
+    links = _compare(texts, _star_places(chosen, keys_of, group), width, percent)
     absorbed = keep(components(links), "absorbed")
 
     # prefix shingles that still hold documents of different components
     placed = prefixes.join(absorbed, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     open_members = keep(placed.join(open_tokens, "token").select("token", "node", "component", "n", "key"), "open")
-    tokens = open_members.groupBy("token").agg(F.min("node").alias("pivot"))
-    star = open_members.join(tokens, "token").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    # few documents on a shingle: pairs, thinned by how many prefix shingles they share
+    sizes = open_members.groupBy("token").agg(F.count("*").alias("members"))
+    few = open_members.join(sizes.filter(F.col("members") <= FEW).select("token"), "token")
+    many = open_members.join(sizes.filter(F.col("members") > FEW).select("token"), "token")
+    left = few.select("token", F.col("node").alias("leader"), F.col("component").alias("c"), F.col("n").alias("leader_n"))
+    pairs = left.join(few, "token").filter((F.col("leader") < F.col("node")) & (F.col("c") != F.col("component")) & size_ok)
+    counted = pairs.groupBy("leader", "node", "leader_n", "n").agg(F.count("*").alias("shared"))
+    elsewhere = keep(many.groupBy("node").agg(F.count("*").alias("more")), "elsewhere")
+    needed = F.expr(f"({percent} * (n + leader_n) + {99 + percent}) div {100 + percent} - (greatest(n, leader_n) * {percent} + 99) div 100 + 1")
+    likely = keep(
+        counted.join(elsewhere, "node", "left")
+        .join(elsewhere.select(F.col("node").alias("leader"), F.col("more").alias("leader_more")), "leader", "left")
+        .filter(F.col("shared") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("leader_more", F.lit(0))) >= needed)
+        .select("leader", "node").join(keys_of, "node"), "likely")
+    pairwise = _compare(texts, _star_places(likely, keys_of, group), width, percent)
+
+    # many documents on a shingle: blocks and cells
+    tokens = many.groupBy("token").agg(F.min("node").alias("pivot"))
+    star = many.join(tokens, "token").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     blocks = components(star, "blocks").select("node", F.col("component").alias("block"))
-    members = keep(open_members.select("node", "component", "n", "key").distinct().join(blocks, "node"), "members")
-    places = _cells(members, cell, percent)
-    more = _compare(texts, places, width, percent)
+    members = keep(many.select("node", "component", "n", "key").distinct().join(blocks, "node"), "members")
+    more = pairwise.unionByName(_compare(texts, _cells(members, cell, percent), width, percent))
     final = components(links.unionByName(more), "final").withColumnRenamed("node", "at")
 
     rows = join_facts(
@@ -332,6 +345,18 @@ def _identity(doc_id: Column, key: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.hex(key))))
 
 
+def _star_places(pairs: DataFrame, keys_of: DataFrame, group: int) -> DataFrame:
+    """Places where leaders meet their members (``leader``, ``node``, ``key``), ``group`` at most each."""
+    salted = pairs.groupBy("leader").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / group).cast("int"))
+    spot = lambda salt: F.concat_ws(":", F.col("leader"), salt)
+    members = pairs.join(salted, "leader").select(
+        "key", "node", F.lit(0).alias("side"), spot(F.pmod(F.xxhash64("node"), F.col("salts"))).alias("place"))
+    leaders = salted.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(
+        keys_of.withColumnRenamed("node", "leader"), "leader").select(
+        "key", F.col("leader").alias("node"), F.lit(1).alias("side"), spot(F.col("salt")).alias("place"))
+    return members.unionByName(leaders)
+
+
 def _cells(members: DataFrame, cell: int, percent: int) -> DataFrame:
     """Places of block members: the block itself, or for a large one every compatible pair of cells.
 

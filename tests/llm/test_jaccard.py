@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pairsieve.llm import jaccard
 from pairsieve.llm.components import components
 from pairsieve.llm.jaccard import Trie, jaccard_components, links_within, ranked, shingle_sets
 
@@ -64,8 +65,9 @@ def corpus(seed, families, members, length):
     return [(i * 2 + 5, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,group,cell", [(1, 512, 1024), (2, 3, 6)])
-def test_components(spark, seed, group, cell):
+@pytest.mark.parametrize("seed,group,cell,few", [(1, 512, 1024, 64), (2, 3, 6, 2), (5, 512, 1024, 0)])
+def test_components(spark, monkeypatch, seed, group, cell, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     rows = corpus(seed, 30, 9, 120)
     docs = spark.createDataFrame([(*r, "n", "k") for r in rows], "doc_id long, text string, node string, key string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, group=group, cell=cell).collect()}
