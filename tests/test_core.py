@@ -53,16 +53,15 @@ def greedy(rows, mode: Mode, rates, budget):
     return [k for _, _, k in sorted(scored)][:budget]
 
 
-@pytest.mark.parametrize("limit", [100_000, 5])
-def test_triage_equals_greedy_loop(spark, monkeypatch, limit):
-    """Both the top-k and the sorted cut-off path."""
-    monkeypatch.setattr(K, "TOP_K_ROWS", limit)
+@pytest.mark.parametrize("left", [70, 3])
+def test_triage_equals_greedy_loop(spark, left):
+    """The cut-off far inside the order and near its start."""
     df, rows = candidates(spark)
     s = default_settings()
-    want = greedy(rows, s.mode("vigilancia"), s.band_errors(), 70)
-    got = triage(df, s, "vigilancia", "k", budget=80, used=10).filter("action = 'LLM_REVIEW'")
+    want = greedy(rows, s.mode("vigilancia"), s.band_errors(), left)
+    got = triage(df, s, "vigilancia", "k", budget=left + 10, used=10).filter("action = 'LLM_REVIEW'")
     assert sorted(r["k"] for r in got.collect()) == sorted(want)
-    ranked = selection_rank(score_decisions(df, s.mode("vigilancia"), s.band_errors()), "k").filter("review_rank <= 70")
+    ranked = selection_rank(score_decisions(df, s.mode("vigilancia"), s.band_errors()), "k").filter(f"review_rank <= {left}")
     assert [r["k"] for r in ranked.orderBy("review_rank").collect()] == want
 
 
