@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 #: Characters that the tokenizer's lower-casing and normalisation leave alone, and the units it
 #: makes of them: letters together, digits one by one, other signs together (fixed values).
-PLAIN = re.compile(r"[a-zà-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
-UNITS = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-;=-@\[-`{-~]+")
+PLAIN = re.compile(r"[a-zà-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
+UNITS = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 #: Distinct units remembered per worker; only speed depends on it.
 REMEMBERED = 600_000
 
