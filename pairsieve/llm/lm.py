@@ -7,14 +7,19 @@ vocabulary; scoring does, with one matrix product per block of tokens, so probab
 normalised.  Every task trains on its own documents from the same start and the parameters are
 averaged by a distributed aggregation, once per round.
 
-The model's vocabulary is the ``MODEL_WORDS`` most frequent words and one class for all others; a
-word of that class has the class's probability times its smoothed share of the class.  Exact
-counts of all words are kept in a table: those of the most frequent ones travel to the tasks, the
-others meet their occurrences by a shuffle.
+The model's vocabulary follows the counts: every word seen ``LEAST_COUNT`` times has its own input
+and output vector, up to ``MODEL_WORDS`` words, which bounds a task's model to some 40 MB.  All
+other words share up to ``RARE`` hashed symbols, each with vectors of its own; such a word has its
+symbol's probability times its smoothed share of the symbol's counts.  Symbols lie in classes of
+``CLASS`` in order of frequency.  A probability is that of the class times that of the symbol within
+the class, so normalising costs two short matrix products.  Exact counts of all words are kept in a
+table: those of the most frequent ones travel to the tasks, the others meet their occurrences by a
+shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +36,12 @@ from pairsieve.llm.tokens import split_words
 
 #: The end of a document among the words; no word is empty.
 END = ""
-MODEL_WORDS = 1024
+#: Words with vectors of their own: those seen so often, and at most so many.
+LEAST_COUNT = 4
+MODEL_WORDS = 1 << 17
+#: Hashed symbols for all other words, and symbols per class.
+RARE = 4096
+CLASS = 256
 #: Words whose counts are sent to every task: at most so many.
 HEAD_WORDS = 1 << 19
 CONTEXT = 4
@@ -41,101 +51,123 @@ BATCH = 2048
 #: Steps taken on every portion of the texts at least: a small one is gone over more than once.
 LEAST_STEPS = 100
 ROUNDS = 2
-RATE = 0.2
+RATE = 0.05
+#: Where the sums of squared slopes begin.
+SQUARE = 1e-7
 BLOCK = 512
+#: Tokens that are sorted by class together when they are scored.
+SORTED = 1 << 18
+
+
+def _log_softmax(guess: np.ndarray, table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probability of row ``own`` among the rows of a table, for each predicted vector."""
+    out, weights = np.empty(len(own)), np.ascontiguousarray(table.T)
+    ones = np.ones(len(table), np.float32)
+    for first in range(0, len(own), BLOCK):
+        part = slice(first, first + BLOCK)
+        scores = guess[part] @ weights
+        mine, top = scores[np.arange(len(scores)), own[part]].astype(np.float64), 0.0
+        with np.errstate(over="ignore"):
+            whole = np.exp(scores, out=scores) @ ones
+        if not (np.isfinite(whole) & (whole > 0)).all():  # beyond what single precision can hold
+            scores = guess[part] @ weights
+            top = scores.max(1)
+            whole = np.exp(scores - top[:, None]) @ ones
+        out[part] = mine - top - np.log(whole.astype(np.float64))
+    return out
 
 
 @dataclass
 class Model:
-    """Input vectors (words, the other-class, the start), output vectors, biases, position weights."""
+    """Input vectors (symbols, the start), output vectors of symbols and classes, position weights.
+
+    The last number of a predicted vector is always one, so the last of an output vector is a bias.
+    """
 
     inputs: np.ndarray
     outputs: np.ndarray
-    bias: np.ndarray
+    classes: np.ndarray
     weights: np.ndarray
 
     @classmethod
     def start(cls, share: np.ndarray, seed: int = 7) -> "Model":
         rng, n = np.random.default_rng(seed), len(share)
-        draw = lambda k: rng.normal(0, 0.1, (k, SIZE)).astype(np.float32)
-        return cls(draw(n + 1), draw(n), np.log(share).astype(np.float32), np.ones((CONTEXT, SIZE), np.float32))
+        draw = lambda last: np.column_stack([rng.normal(0, 0.1, (len(last), SIZE)), last]).astype(np.float32)
+        return cls(draw(np.full(n + 1, 1 / CONTEXT)), draw(np.log(share)), draw(np.log(class_shares(share))),
+                   np.ones((CONTEXT, SIZE + 1), np.float32))
 
-    def rows(self) -> np.ndarray:
-        """All parameters as rows of ``SIZE`` numbers."""
-        pad = -len(self.bias) % SIZE
-        return np.concatenate([self.inputs, self.outputs, np.pad(self.bias, (0, pad)).reshape(-1, SIZE), self.weights])
+    def tables(self) -> list[np.ndarray]:
+        return [self.inputs, self.outputs, self.classes, self.weights]
 
-    @classmethod
-    def from_rows(cls, rows: np.ndarray, n: int) -> "Model":
-        rows = rows.astype(np.float32)
-        bias_rows = -(-n // SIZE)
-        return cls(rows[:n + 1], rows[n + 1:2 * n + 1], rows[2 * n + 1:2 * n + 1 + bias_rows].reshape(-1)[:n].copy(), rows[-CONTEXT:])
+    def copy(self) -> "Model":
+        return Model(*[t.copy() for t in self.tables()])
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         return np.einsum("bcd,cd->bd", self.inputs[contexts], self.weights)
 
     def log_probabilities(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural log of the normalised probability of each word after its context."""
-        out = np.empty(len(words))
-        weights = np.column_stack([self.outputs, self.bias]).T.copy()
-        ones, room = np.ones(len(self.bias), np.float32), np.empty((BLOCK, len(self.bias)), np.float32)
-        for first in range(0, len(words), BLOCK):
-            part = slice(first, first + BLOCK)
-            guess = self.predicted(contexts[part])
-            guess = np.column_stack([guess, np.ones(len(guess), np.float32)])
-            np.matmul(guess, weights, out=(scores := room[:len(guess)]))
-            own, top = scores[np.arange(len(scores)), words[part]].astype(np.float64), 0.0
-            with np.errstate(over="ignore"):
-                whole = np.exp(scores, out=scores) @ ones
-            if not np.isfinite(whole).all():  # beyond what single precision can hold
-                scores = guess @ weights
-                top = scores.max(1)
-                whole = np.exp(scores - top[:, None]) @ ones
-            out[part] = own - top - np.log(whole.astype(np.float64))
+        """Natural log of the normalised probability of each symbol after its context."""
+        guess = np.empty((len(words), SIZE + 1), np.float32)
+        for first in range(0, len(words), 1 << 14):
+            guess[first:first + (1 << 14)] = self.predicted(contexts[first:first + (1 << 14)])
+        kinds = words // CLASS
+        out = _log_softmax(guess, self.classes, kinds)
+        order = np.argsort(kinds.astype(np.uint16), kind="stable")
+        cuts = np.flatnonzero(np.diff(kinds[order], prepend=-1))
+        for begin, end in zip(cuts, [*cuts[1:], len(words)]):
+            part = order[begin:end]
+            first = int(kinds[part[0]]) * CLASS
+            out[part] += _log_softmax(guess[part], self.outputs[first:first + CLASS], words[part] - first)
         return out
 
 
-def _summed(index: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-    """Rows of ``values`` added up by index."""
-    out = np.zeros((count, values.shape[1]), np.float32)
-    order = np.argsort(index.astype(np.uint16), kind="stable")
-    sorted_index = index[order]
-    cuts = np.flatnonzero(np.diff(sorted_index, prepend=-1))
-    out[sorted_index[cuts]] = np.add.reduceat(values[order], cuts, axis=0)
-    return out
+def class_shares(share: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(share, np.arange(0, len(share), CLASS))
 
 
 class Trainer:
-    """Noise-contrastive estimation with per-parameter step sizes."""
+    """Noise-contrastive estimation of symbols and of classes, with per-parameter step sizes."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int):
-        self.m, self.n = model, len(share)
-        self.log_noise = np.log(share * NOISE).astype(np.float32)
-        self.cumulative, self.rng = np.cumsum(share), np.random.default_rng(seed)
-        self.squares = [np.full(a.shape, 1e-2, np.float32) for a in (model.inputs, model.outputs, model.bias, model.weights)]
+        self.m, self.rng = model, np.random.default_rng(seed)
+        shares = [share, class_shares(share)]
+        self.log_noise = [np.log(s * NOISE).astype(np.float32) for s in shares]
+        self.cumulative = [np.cumsum(s) for s in shares]
+        self.squares = [np.full(t.shape, SQUARE, np.float32) for t in model.tables()]
+        #: How often each row of each table was part of a step.
+        self.times = [np.zeros(len(t), np.int64) for t in model.tables()]
 
     def step(self, contexts: np.ndarray, words: np.ndarray) -> None:
         m = self.m
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.n - 1)
         given = m.inputs[contexts]
         guess = np.einsum("bcd,cd->bd", given, m.weights)
-        own = m.outputs[words]
-        true = np.einsum("bd,bd->b", guess, own) + m.bias[words] - self.log_noise[words]
-        false = guess @ m.outputs[noise].T + m.bias[noise] - self.log_noise[noise]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        to_guess = up[:, None] * own - down @ m.outputs[noise]
-        outputs, bias = _summed(words, up[:, None] * guess, self.n), np.bincount(words, up, self.n)
-        np.subtract.at(outputs, noise, down.T @ guess)
-        np.subtract.at(bias, noise, down.sum(0))
+        to_guess, updates = np.zeros_like(guess), []
+        for k, (table, mine) in enumerate(((m.outputs, words), (m.classes, words // CLASS))):
+            log_noise, cumulative = self.log_noise[k], self.cumulative[k]
+            noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(table) - 1)
+            own, others = table[mine], table[noise]
+            true = np.einsum("bd,bd->b", guess, own) - log_noise[mine]
+            false = guess @ others.T - log_noise[noise]
+            up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
+            down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+            to_guess += up[:, None] * own - down @ others
+            updates.append((k + 1, np.concatenate([mine, noise]), np.concatenate([up[:, None] * guess, -(down.T @ guess)])))
+        to_guess[:, SIZE] = 0  # the one stays
         spread = to_guess[:, None, :] * m.weights
-        inputs = _summed(contexts.reshape(-1), spread.reshape(-1, SIZE), self.n + 1)
-        weights = np.einsum("bcd,bd->cd", given, to_guess)
-        for parameter, slope, square in zip((m.inputs, m.outputs, m.bias, m.weights), (inputs, outputs, bias, weights), self.squares):
-            slope = slope.astype(np.float32)
-            slope /= len(words)
-            square += slope * slope
-            parameter += RATE * slope / np.sqrt(square)
+        updates.append((0, contexts.reshape(-1), spread.reshape(-1, SIZE + 1)))
+        updates.append((3, np.arange(CONTEXT), np.einsum("bcd,bd->cd", given, to_guess)))
+        for k, index, values in updates:
+            self._move(k, index, values / len(words))
+
+    def _move(self, k: int, index: np.ndarray, values: np.ndarray) -> None:
+        """One step along the slopes added up by row; other rows are not touched."""
+        order = np.argsort(index)
+        ordered = index[order]
+        cuts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        rows, slope = ordered[cuts], np.add.reduceat(values[order], cuts, axis=0)
+        self.squares[k][rows] += slope * slope
+        self.m.tables()[k][rows] += RATE * slope / np.sqrt(self.squares[k][rows])
+        self.times[k][rows] += np.diff(cuts, append=len(index))
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -189,10 +221,24 @@ def head_of(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
     return [words[i] for i in order], n[order]
 
 
+def rare_symbols(words: pa.Array, rare: int) -> np.ndarray:
+    """The hashed symbol of each word, as ``rare_mass`` counts them."""
+    return np.array([zlib.crc32(w.encode()) % rare for w in words.to_pylist()], np.int64)
+
+
+def rare_mass(counts: DataFrame, head: list[str], n: np.ndarray, rare: int) -> np.ndarray:
+    """Smoothed count of each hashed symbol: all words without those of the model, and one unseen."""
+    mass = np.full(rare, 0.5)
+    at = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(rare))
+    for row in counts.groupBy(at.alias("at")).agg((F.sum("n") + 0.5 * F.count("*")).alias("mass")).collect():
+        mass[row["at"]] += row["mass"]
+    return mass - np.bincount(rare_symbols(pa.array(head, pa.string()), rare), n + 0.5, rare)
+
+
 class Sequences:
-    """Model symbols of a batch of texts with their contexts."""
+    """Model symbols of a batch of texts with their contexts; words beyond the model's are hashed."""
 
-    def __init__(self, texts: pa.Array, head: pa.Array, model_words: int):
+    def __init__(self, texts: pa.Array, head: pa.Array, model_words: int, rare: int):
         names, index, per_text = token_index(texts)
         self.names = names
         found = pc.fill_null(pc.index_in(names.cast(pa.string()), head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -207,8 +253,13 @@ class Sequences:
         self.word[~self.is_end] = index
         self.head = np.full(len(self.owner), -1 if end is None else end, np.int64)
         self.head[~self.is_end] = found[index]
-        self.symbol = np.where((self.head >= 0) & (self.head < model_words), self.head, model_words).astype(np.int64)
-        padded = np.full(len(self.owner) + CONTEXT * docs, model_words + 1, np.int64)
+        own = (found >= 0) & (found < model_words)
+        symbol_of = found.copy()
+        symbol_of[~own] = model_words + rare_symbols(names.filter(pa.array(~own)), rare)
+        end_symbol = end if end is not None and end < model_words else model_words + rare_symbols(pa.array([END]), rare)[0]
+        self.symbol = np.full(len(self.owner), end_symbol, np.int64)
+        self.symbol[~self.is_end] = symbol_of[index]
+        padded = np.full(len(self.owner) + CONTEXT * docs, model_words + rare, np.int64)
         self.at = np.arange(len(self.owner)) + CONTEXT * (self.owner + 1)
         padded[self.at] = self.symbol
         self.padded = padded
@@ -219,37 +270,47 @@ class Sequences:
 
 
 def train(docs: DataFrame, text: str, head: list[str], share: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """One pass over the documents, a slice of them per round, from the average of the last round."""
-    spark, n = docs.sparkSession, len(share)
-    model, words = Model.start(share), pa.array(head[:n - 1], pa.string())
+    """One pass over the documents, a slice of them per round, from the average of the last round.
+
+    ``head``: the model's words; the other symbols of ``share`` are hashed ones.  Tasks send the
+    moves of the rows they touched; a row's moves are averaged over the times it was touched.
+    """
+    spark, known, rare = docs.sparkSession, len(head), len(share) - len(head)
+    model = Model.start(share)
     for number in range(rounds):
-        start = model.rows()
+        sent = spark.sparkContext.broadcast((model, pa.array(head, pa.string()), share))  # bounded by MODEL_WORDS
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = None, 0
+            own, (start, words, shares) = None, sent.value
             for batch in portions(batches, 0):
-                own = own or Trainer(Model.from_rows(start.copy(), n), share, TaskContext.get().partitionId())
-                tokens = Sequences(batch.column(0), words, n - 1)
+                own = own or Trainer(start.copy(), shares, TaskContext.get().partitionId())
+                tokens = Sequences(batch.column(0), words, known, rare)
                 steps = -(-len(tokens.owner) // BATCH)
                 for _ in range(max(1, LEAST_STEPS // max(steps, 1))):
                     order = own.rng.permutation(len(tokens.owner))
                     for first in range(0, len(order), BATCH):
                         part = order[first:first + BATCH]
                         own.step(tokens.contexts(part), tokens.symbol[part])
-                seen += len(tokens.owner)
-            if own is not None and seen:
-                rows = own.m.rows().astype(np.float64) * seen
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, SIZE, dtype=np.int32)), pa.array(rows.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), seen)), values], ["row", "weight", "values"])
+            if own is not None:
+                offset = 0
+                for new, old, times in zip(own.m.tables(), start.tables(), own.times):
+                    rows = np.flatnonzero(times)
+                    moves = (new[rows] - old[rows]) * times[rows, None].astype(np.float32)
+                    values = pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, moves.size + 1, SIZE + 1, dtype=np.int32)), pa.array(moves.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows + offset), pa.array(times[rows]), values], ["row", "weight", "values"])
+                    offset += len(times)
 
         mine = docs.filter(F.pmod(F.xxhash64(ref(text)), F.lit(rounds)) == number).select(ref(text).cast("string").alias("text"))
-        learned = mine.mapInArrow(learn, "row long, weight long, values array<double>").groupBy("row").agg(
-            F.sum("weight").alias("weight"), *[F.sum(F.get("values", F.lit(k))).alias(f"v{k}") for k in range(SIZE)])
-        table = learned.select("row", *[(F.col(f"v{k}") / F.col("weight")).alias(f"v{k}") for k in range(SIZE)]).toArrow()
+        learned = mine.mapInArrow(learn, "row long, weight long, values array<float>").groupBy("row").agg(
+            F.sum("weight").alias("weight"), *[F.sum(F.get("values", F.lit(k))).alias(f"v{k}") for k in range(SIZE + 1)])
+        table = learned.select("row", *[(F.col(f"v{k}") / F.col("weight")).alias(f"v{k}") for k in range(SIZE + 1)]).toArrow()
         if table.num_rows:
-            order = np.argsort(table.column("row").to_numpy())
-            model = Model.from_rows(np.stack([table.column(f"v{k}").to_numpy() for k in range(SIZE)], 1)[order], n)
+            rows = np.concatenate(model.tables())
+            rows[table.column("row").to_numpy()] += np.stack([table.column(f"v{k}").to_numpy() for k in range(SIZE + 1)], 1).astype(np.float32)
+            model = Model(*np.split(rows, np.cumsum([len(t) for t in model.tables()])[:-1]))
+        sent.unpersist()
     return model
 
 
@@ -269,26 +330,29 @@ def score_documents(
     counts = count_words(learning, text)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head, n = head_of(counts, head_words)
-    model_words = min(model_words, len(head))
+    model_words = min(model_words, int((n >= LEAST_COUNT).sum()))
     mass = total + 0.5 * (distinct + 1)
-    known = n[:model_words] + 0.5
-    others = mass - known.sum()
-    share = np.append(known, others) / mass
-    model = train(learning, text, head, share, rounds) if total else Model.start(share)
+    rare = min(RARE, max(1, distinct - model_words))
+    others = rare_mass(counts, head[:model_words], n[:model_words], rare)
+    share = np.append(n[:model_words] + 0.5, others)
+    share /= share.sum()
+    model = train(learning, text, head[:model_words], share, rounds) if total else Model.start(share)
+    log_others = np.log10(others)
     sent = spark.sparkContext.broadcast((pa.array(head, pa.string()), n, model))  # bounded by head_words
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_of, own = sent.value
         for batch in portions(batches, 1):
-            tokens = Sequences(batch.column(1), words, model_words)
+            tokens = Sequences(batch.column(1), words, model_words, rare)
             docs_in, owner = batch.num_rows, tokens.owner
             guess = np.concatenate([
-                own.log_probabilities(tokens.contexts(slice(f, f + 65_536)), tokens.symbol[f:f + 65_536])
-                for f in range(0, len(owner), 65_536)]) / np.log(10)
+                own.log_probabilities(tokens.contexts(slice(f, f + SORTED)), tokens.symbol[f:f + SORTED])
+                for f in range(0, len(owner), SORTED)]) / np.log(10)
             counted = tokens.head >= 0
             c = np.where(counted, n_of[np.maximum(tokens.head, 0)] if len(n_of) else 0, 0)
             log_c = np.where(counted, np.log10(c + 0.5), 0.0)
-            rare = tokens.symbol == model_words
+            hashed = tokens.symbol >= model_words
+            log_shared = log_others[np.maximum(tokens.symbol - model_words, 0)]
             per = lambda v: np.bincount(owner, v, docs_in)
             # words beyond the head: counted per document here, looked up in the counts later
             away = np.flatnonzero(~counted & ~tokens.is_end)
@@ -301,7 +365,7 @@ def score_documents(
             unseen_end = per((tokens.is_end & ~counted) * 1.0) * np.log10(0.5)  # only when nothing was learned
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(tokens.per_text.astype(np.int64)), pa.array(per(counted * 1.0).astype(np.int64)),
-                pa.array(per(log_c) + unseen_end), pa.array(per(guess) + per(rare * (log_c - np.log10(others))) + unseen_end), lists,
+                pa.array(per(log_c) + unseen_end), pa.array(per(guess) + per(hashed * (log_c - log_shared)) + unseen_end), lists,
             ], ["doc_id", "n_tokens", "known_head", "log_c", "log_p", "rest"])
 
     schema = ("doc_id long, n_tokens long, known_head long, log_c double, log_p double, "

@@ -71,3 +71,22 @@ def test_head_cuts_no_tie(spark):
 def test_better_than_counts_alone(spark):
     rows = score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_rare_words_have_places(spark):
+    """Words beyond the most frequent 1,024, exchanged among their places, change the score."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    common, seen, rare = " ".join(f"f{i}" for i in range(1100)), " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    texts = [" ".join([common] * 3 + [seen] * (i < 30) + [rare] * (i < 4)) for i in range(40)]
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = list(zip(free, texts)) + list(zip(held, ["f1 x0 f2 x1", "f1 x1 f2 x0", "f1 y0 f2 y1", "f1 y1 f2 y0"]))
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, two, three, four = (got[h] for h in held)
+    assert one.base_score == pytest.approx(two.base_score) and abs(one.score - two.score) > 1e-3
+    assert three.base_score == pytest.approx(four.base_score) and abs(three.score - four.score) > 1e-3
+
+
+def test_classes_add_up():
+    share = np.random.default_rng(2).random(700)
+    model = Model.start(share / share.sum())
+    assert np.exp(model.log_probabilities(np.tile(np.arange(CONTEXT), (700, 1)), np.arange(700))).sum() == pytest.approx(1, abs=1e-4)
