@@ -27,8 +27,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ids per grammar, the count that makes a pair frequent, the factor within which counts are
 #: taken as equal, and the first nonterminal.
 SHARD_TOKENS = 1 << 19
-FREQUENT = 16
-CLASS = 64
+FREQUENT = 4
+CLASS = 4
 FIRST_RULE = 1 << 17
 #: Stands for a null document id in a shard.
 NO_ID = -(2**63)
@@ -125,7 +125,9 @@ def compress(ids: np.ndarray, begins: np.ndarray, frequent: int = FREQUENT) -> t
         fresh = np.flatnonzero(np.diff(run, prepend=-1))
         odd = (np.arange(len(at)) - fresh[run]) % 2 == 1
         at, spot = at[~odd], spot[~odd]
-        used, which = np.unique(spot, return_inverse=True)
+        seen = np.zeros(len(chosen), bool)
+        seen[spot] = True
+        used, which = np.flatnonzero(seen), (np.cumsum(seen) - 1)[spot]
         pairs = np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         size = np.where(pairs >= FIRST_RULE, lengths[np.maximum(pairs.astype(np.int64) - FIRST_RULE, 0)] if len(lengths) else 1, 1)
         symbols = symbols.copy()

@@ -88,6 +88,19 @@ def test_grammar_random_access(parts):
         assert [grammar.token_at(k, begins[i]) for k in range(len(part))] == part
 
 
+def test_grammar_takes_pairs_of_small_counts():
+    ids = np.concatenate([[1, 2, 100 + i] for i in range(5)]).astype(np.uint32)
+    grammar, _ = compress(ids, np.array([0]))
+    assert grammar.rules.tolist() == [[1, 2]] and len(grammar.symbols) == 10
+
+
+def test_grammar_takes_the_most_frequent_first():
+    ids = np.concatenate([[1 if i < 20 else 1000 + i, 2, 3] for i in range(200)]).astype(np.uint32)
+    grammar, _ = compress(ids, np.array([0]))
+    assert grammar.rules[0].tolist() == [2, 3] and [1, 2] not in grammar.rules.tolist()
+    assert grammar.expand().tolist() == ids.tolist()
+
+
 def check_packing(rows, whole, texts, capacity=4096):
     by_doc, by_seq = {}, {}
     for r in rows:
