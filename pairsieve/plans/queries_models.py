@@ -15,9 +15,10 @@ from pairsieve.operators.split import stratified_holdout
 from pairsieve.plans.registry import register, table
 from pairsieve.plans.views import pairs
 
-# Small models keep the catalogue quick; the operators take any size.
-TREES, DEPTH = 10, 5
-FEATURES = [C.NAME_FIRST, C.NAME_COUNT, C.MOTHER_COUNT, C.BIRTH_EQUAL, C.TOWN_EQUAL, "score_recall", "nome_x_mae"]
+
+def features(spark, sf_dir):
+    """Names of all model features."""
+    return [c for c in model_features(pairs(spark, sf_dir)).columns if c != "y"]
 
 
 def vectors(spark, sf_dir):
@@ -42,17 +43,17 @@ def _sizes(rows):
 @register("smote_sizes", """SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, CASE WHEN label = 0 THEN
  (SELECT GREATEST(COUNT(*) FILTER (WHERE label = 0), CAST(ROUND_EVEN(COUNT(*) FILTER (WHERE label <> 0) * 0.5, 0) AS BIGINT)) FROM embeddings) ELSE COUNT(*) END AS n FROM embeddings GROUP BY (label = 0)""")
 def smote_sizes(spark, sf_dir):
-    return _sizes(K.smote(vectors(spark, sf_dir), 0.5, 3))
+    return _sizes(K.smote(vectors(spark, sf_dir), 0.5))
 
 
 @register("borderline_smote_rows")
 def borderline_rows(spark, sf_dir):
-    return K.borderline_smote(vectors(spark, sf_dir), 0.5, 3).groupBy("y", "synthetic").agg(F.count("*").alias("n"))
+    return K.borderline_smote(vectors(spark, sf_dir)).groupBy("y", "synthetic").agg(F.count("*").alias("n"))
 
 
 @register("adasyn_rows")
 def adasyn_rows(spark, sf_dir):
-    return K.adasyn(vectors(spark, sf_dir), 0.5, 3).groupBy("y", "synthetic").agg(F.count("*").alias("n"))
+    return K.adasyn(vectors(spark, sf_dir)).groupBy("y", "synthetic").agg(F.count("*").alias("n"))
 
 
 @register("tomek_links", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
@@ -81,11 +82,11 @@ def knn_vote(spark, sf_dir):
 
 
 def training(spark, sf_dir):
-    """Hold-out train and test rows of the pair view with a short feature vector."""
+    """Hold-out train and test rows of the pair view with all features."""
     df = pairs(spark, sf_dir)
     wide = model_features(df, ["k"]).withColumn("y", F.col("y").cast("double"))
     wide = wide.join(df.select("k", rule_score(df).alias("rules")), "k")
-    rows = L.assemble(wide.withColumn("band", T.range_label(F.col("`nota final`"))), FEATURES, ["k", "y", "rules", "band"])
+    rows = L.assemble(wide.withColumn("band", T.range_label(F.col("`nota final`"))), features(spark, sf_dir), ["k", "y", "rules", "band"])
     split = stratified_holdout(rows.withColumn("id", F.col("k")), "y", "k")
     split = K.balanced_weights(split, "y").persist()
     return split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
@@ -102,8 +103,8 @@ def model_comparison(spark, sf_dir):
     train, test = training(spark, sf_dir)
     train = train.persist()
     jobs = {
-        "forest": L.forest(TREES, DEPTH), "boosted": L.boosted(5, 3), "logistic": L.scaled(L.logistic(weighted=True)),
-        "perceptron": L.perceptron(len(FEATURES), (8,), 20),
+        "forest": L.forest(), "boosted": L.boosted(), "logistic": L.scaled(L.logistic(weighted=True)),
+        "perceptron": L.perceptron(len(features(spark, sf_dir))),
     }
     out = None
     for name, job in jobs.items():
@@ -115,15 +116,15 @@ def model_comparison(spark, sf_dir):
 @register("forest_ranking_quality")
 def forest_ranking_quality(spark, sf_dir):
     train, test = training(spark, sf_dir)
-    return ranking_quality(L.scored(L.forest(TREES, DEPTH).fit(train), test), "p", "y")
+    return ranking_quality(L.scored(L.forest().fit(train), test), "p", "y")
 
 
 @register("ensemble_decisions")
 def ensemble_decisions(spark, sf_dir):
     """Soft vote, unanimity, majority, cascade and rule hybrids over two models."""
     train, test = training(spark, sf_dir)
-    both = L.scored(L.forest(TREES, DEPTH).fit(train), test, "a")
-    both = L.scored(L.boosted(5, 3).fit(train), both, "b")
+    both = L.scored(L.forest().fit(train), test, "a")
+    both = L.scored(L.boosted().fit(train), both, "b")
     vote = L.soft_vote(both, ["a", "b"], [2.0, 1.0])
     picks = {
         "soft vote": (vote >= 0.15).cast("int"), "unanimity": L.unanimity(["a", "b"])[0], "majority": L.majority(["a", "b"], 0.5),
@@ -137,50 +138,51 @@ def ensemble_decisions(spark, sf_dir):
 @register("stacked_model")
 def stacked_model(spark, sf_dir):
     train, test = training(spark, sf_dir)
-    jobs = {"forest": L.forest(5, 3), "logistic": L.logistic(weighted=True, rounds=10)}
-    return quality(L.stack(train.persist(), test, jobs, "k", folds=2), "stack")
+    jobs = {"forest": L.forest(), "logistic": L.logistic(weighted=True)}
+    return quality(L.stack(train.persist(), test, jobs, "k"), "stack")
 
 
 @register("adaptive_boosting")
 def adaptive_boosting(spark, sf_dir):
     train, test = training(spark, sf_dir)
-    return quality(L.AdaBoost(rounds=4, depth=2).fit(train).score(test), "adaboost")
+    return quality(L.AdaBoost().fit(train).score(test), "adaboost")
 
 
 @register("isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
     train, test = training(spark, sf_dir)
-    return quality(L.isotonic_forest(train, test, L.forest(5, 4), "k", folds=3), "isotonic")
+    return quality(L.isotonic_forest(train, test, L.forest(), "k"), "isotonic")
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     train, _ = training(spark, sf_dir)
-    return L.importances(L.forest(TREES, DEPTH).fit(train), FEATURES, spark)
+    return L.importances(L.forest().fit(train), features(spark, sf_dir), spark)
 
 
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir):
     train, test = training(spark, sf_dir)
-    return L.permutation_importance(L.forest(5, 3).fit(train), test, "k", len(FEATURES), FEATURES)
+    names = features(spark, sf_dir)
+    return L.permutation_importance(L.forest().fit(train), test, "k", len(names), names)
 
 
 @register("importance_by_band")
 def importance_by_band(spark, sf_dir):
-    df = model_features(pairs(spark, sf_dir), ["k"]).withColumn("band", T.range_label(F.col("`nota final`"), [(5, 7), (7, 8), (8, 9)]))
-    long = L.band_importances(df, FEATURES, "band", "y", L.forest(5, 4))
-    return T.importance_pivot(long, ["5-7", "7-8", "8-9"], 5)
+    df = model_features(pairs(spark, sf_dir), ["k"]).withColumn("band", T.range_label(F.col("`nota final`")))
+    long = L.band_importances(df, features(spark, sf_dir), "band", "y", L.forest())
+    return T.importance_pivot(long, [f"{a}+" if b is None else f"{a}-{b}" for a, b in T.REPORT_RANGES])
 
 
 @register("fold_study")
 def fold_study(spark, sf_dir):
-    """Three configurations over three folds, summarised."""
-    train, _ = training(spark, sf_dir)
-    train = train.persist()
+    """Three configurations over five folds of all rows, summarised."""
+    train, test = training(spark, sf_dir)
+    rows = train.unionByName(test).persist()
     builders = {
-        "forest": lambda rows: (lambda t, m=L.forest(5, 4).fit(rows): L.scored(m, t)),
-        "logistic": lambda rows: (lambda t, m=L.logistic(weighted=True, rounds=10).fit(rows): L.scored(m, t)),
+        "forest": lambda rows: (lambda t, m=L.forest().fit(rows): L.scored(m, t)),
+        "logistic": lambda rows: (lambda t, m=L.logistic(weighted=True).fit(rows): L.scored(m, t)),
         "rules>=7": lambda rows: (lambda t: t.withColumn("p", (F.col("rules") >= 7).cast("double"))),
     }
-    runs = L.fold_study(train, "k", builders, folds=3)
+    runs = L.fold_study(rows, "k", builders)
     return summarize_runs(runs, ["model"], ["precision", "recall", "f1"])
