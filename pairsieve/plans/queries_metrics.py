@@ -516,8 +516,8 @@ EXPECTED_SQL = ", ".join([
     _X.format(auto="NONMATCH", y=1, share="e_fn") + " AS exp_fn", _X.format(auto="NONMATCH", y=0, share="1 - e_fp") + " AS exp_tn"])
 
 
-def evaluation_columns(df):
-    out = df.select("seed", "llm_max", "n_test", "pos_test", "review_requested", "review_selected", "auto_coverage",
+def evaluation_columns(df, by=()):
+    out = df.select(*by, "seed", "llm_max", "n_test", "pos_test", "review_requested", "review_selected", "auto_coverage",
                     "auto_tp", "oracle_tp", "exp_tp", "exp_fp", "exp_fn", "exp_tn", "exp_precision", "exp_recall", "exp_fbeta")
     return round_all(out, ["auto_coverage", "exp_tp", "exp_fp", "exp_fn", "exp_tn", "exp_precision", "exp_recall", "exp_fbeta"])
 
@@ -568,15 +568,18 @@ RATIOS = [0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0]
 @register("cost_ratio_sensitivity")
 def cost_ratio_sensitivity(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
-    rows = E.calibrated_test_rows(base, SETTINGS, "k", [42], 0.3, "row", "stub")
-    records = E.cost_sensitivity(rows, SETTINGS, "k", "vigilancia", RATIOS)
+    ev, records = SETTINGS.evaluation, None
+    rows = E.calibrated_test_rows(base, SETTINGS, "k", list(ev.seeds), ev.test_size, ev.split_by, "platt", ev.group_stratify)
+    for mode in SETTINGS.modes:
+        record = E.cost_sensitivity(rows, SETTINGS, "k", mode, RATIOS)
+        records = record if records is None else records.unionByName(record)
     return E.mean_points(records, ["fp_fn_ratio", "mode"])
 
 
 @register("platt_evaluation")
 def platt_evaluation(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
-    return evaluation_columns(E.evaluate(base, SETTINGS, "k", ["confirmacao"], SEEDS, 0.3, "comprec", "platt"))
+    return evaluation_columns(E.evaluate(base, SETTINGS, "k", split_by="comprec"), ["mode"])
 
 
 @register("run_spread", f"""{SCORED_SQL}, r AS (SELECT passo, situence, AVG(p) AS m FROM scored GROUP BY passo, situence)

@@ -178,12 +178,12 @@ def reviewer_kappa(spark, sf_dir):
 
 @register("bootstrap_fbeta")
 def bootstrap_fbeta(spark, sf_dir):
-    """Percentile interval of F2 over 50 Poisson resamples, stratified by label."""
+    """Percentile interval of F2 over 1,000 Poisson resamples of the rows."""
     from pairsieve.operators.histograms import exact_quantiles
     from pairsieve.operators.metrics import add_rates, confusion
 
     rows = scored(spark, sf_dir).select("k", "target", (F.col("p") >= 0.5).cast("int").alias("hit"))
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(1000))))
     drawn = spread.withColumn("w", bootstrap_weights(F.col("k"), F.col("replicate")))
     counts = add_rates(confusion(drawn, "target", "hit", ["replicate"], "w"), beta=2.0)
     return exact_quantiles(counts, "fbeta", {"low": 0.025, "middle": 0.5, "high": 0.975})
