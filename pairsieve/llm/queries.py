@@ -9,6 +9,7 @@ from pairsieve.llm.exact import exact_dedup
 from pairsieve.llm.grammar import grammar_round_trip
 from pairsieve.llm.jaccard import jaccard_components
 from pairsieve.llm.langid import language_id
+from pairsieve.llm.licenses import scan_licenses
 from pairsieve.llm.lm import score_documents
 from pairsieve.llm.mixing import mix_sources
 from pairsieve.llm.packing import best_fit_packing
@@ -57,6 +58,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_mix_sources": op2_mix_sources,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_phrase_fingerprints": op10_phrase_fingerprints,
+    "op13_license_scan": op13_license_scan,
 }
 
 SQL = {
