@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairsieve.llm.common import documents
+from pairsieve.llm.conversations import repair_conversations
 from pairsieve.llm.exact import exact_dedup
 from pairsieve.llm.grammar import grammar_round_trip
 from pairsieve.llm.jaccard import jaccard_components
@@ -58,6 +59,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_phrase_fingerprints": op10_phrase_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_license_scan": op13_license_scan,
 }
 
