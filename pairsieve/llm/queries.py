@@ -17,6 +17,7 @@ from pairsieve.llm.packing import best_fit_packing
 from pairsieve.llm.phrases import fingerprints
 from pairsieve.llm.secrets import find_secrets
 from pairsieve.llm.suffixes import remove_repeats
+from pairsieve.llm.whitening import whiten
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_phrase_fingerprints": op10_phrase_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_license_scan": op13_license_scan,
 }
