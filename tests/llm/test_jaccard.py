@@ -9,7 +9,7 @@ import pytest
 
 from pairsieve.llm import jaccard
 from pairsieve.llm.components import components
-from pairsieve.llm.jaccard import Trie, jaccard_components, links_within, ranked, shingle_sets
+from pairsieve.llm.jaccard import Trie, jaccard_components, links_between, ranked, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,6 +88,32 @@ def test_one_large_family(spark):
     assert got == plain_components(rows)
 
 
+def test_common_passage(spark):
+    """Short texts around one passage: its shingles are common, and few of the texts are near."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}-{j}" for j in range(rng.choice([2, 4, 8, 12, 40]))]
+        rows.append((i, " ".join(rng.choice([passage + own, own + passage]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, cell=32).collect()}
+    assert got == plain_components(rows) and 1 < len({c for _, c in got.values()}) < 300
+
+
+def test_large_sets_of_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        cut = rng.randint(0, 60)
+        rows.append((i, " ".join([f"o{i}-{j}" for j in range(rng.randint(0, 70))] + passage[cut:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, cell=5).collect()}
+    assert got == plain_components(rows)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, None), (None, None)], "doc_id long, text string")
     rows = jaccard_components(docs).collect()
@@ -109,13 +135,37 @@ def test_trie(seed):
     ranks, width = ranked(sets)
     trie = Trie()
     for i, r in enumerate(ranks):
-        trie.add(r, i)
+        trie.add(r, i, i % 3)
     for i, r in enumerate(ranks):
         held = np.zeros(width, bool)
         held[r] = True
         assert sorted(trie.near(r, held)) == [j for j in range(60) if near(set(sets[i]), set(sets[j]))]
-    pairs = links_within(sets, [i % 3 for i in range(60)])
-    assert all(near(set(sets[a]), set(sets[b])) for a, b in pairs)
+    for i, r in enumerate(ranks[:10]):
+        held = np.zeros(width, bool)
+        held[r] = True
+        others = [j for j in range(60) if j % 3 != 1 and near(set(sets[i]), set(sets[j]))]
+        found = trie.near(r, held, settled=lambda side: side == 1)
+        assert set(others) <= set(found) and len(found) == len(set(found))
+
+
+@pytest.mark.parametrize("sides", [60, 3])
+def test_links_span(sides):
+    rng = np.random.default_rng(sides)
+    base = rng.choice(200, 60, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, 57, replace=False), rng.choice(400, 2)])) for _ in range(60)]
+    side = [i % sides for i in range(60)]
+    links = links_between(sets, side, sets, side)
+    assert len(links) < sides and all(near(set(sets[a]), set(sets[b])) for a, b in links)
+    at = {s: s for s in range(sides)}
+
+    def root(s):
+        return s if at[s] == s else root(at[s])
+
+    for a, b in links:
+        at[root(side[a])] = root(side[b])
+    for i in range(60):
+        for j in range(60):
+            assert root(side[i]) == root(side[j]) or not near(set(sets[i]), set(sets[j]))
 
 
 def test_shingle_hashes_follow_words():
