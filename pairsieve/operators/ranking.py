@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairsieve.functions.values import ref
+from pairsieve.session import materialise
 
 KEY_BINS_PER_E = 65_536
 # Value bins are stretches between this many quantiles of the distinct values.
@@ -140,11 +141,13 @@ def cutoff(rows: DataFrame, order: Column, k: int) -> DataFrame:
     """One row ``(last, taken)``: the k-th smallest order value and how many rows reach it.
 
     ``order`` must be unique per row.  The order values alone are range-partitioned across the
-    cluster; partition sizes say which partition holds the k-th, and only that one is sorted.
-    Both steps read the same exchange.  One path for every k.
+    cluster and written with their partition's number; partition sizes say which partition holds
+    the k-th, and only that one is sorted.  Range bounds are sampled anew by every exchange, so both
+    steps have to read what was written, whether exchanges are reused or stages run again.  One
+    path for every k.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.select(order.alias("o")).repartitionByRange(parts, "o").withColumn("p", F.spark_partition_id())
+    keys = materialise(rows.select(order.alias("o")).repartitionByRange(parts, "o").withColumn("p", F.spark_partition_id()))
     sizes = keys.groupBy("p").agg(F.count("*").alias("n"))
     running = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))

@@ -320,14 +320,24 @@ def contexts(spark, sf_dir):
 
 
 def evaluations(spark, sf_dir):
-    cited = contexts(spark, sf_dir)
+    marks = X.citation_marks(tex(spark, sf_dir))
     abstracts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("bib_key"), F.col("text").alias("abstract"))
-    claim = X.claim_type(F.col("sentence"))
-    _, score = X.keyword_verdict(X.topic_words(F.col("sentence")), X.topic_words(F.col("abstract")), claim)
-    return cited.join(abstracts, "bib_key").select("bib_key", score.alias("score")), abstracts
+    scored = X.keyword_scores(X.citations_of(marks), X.passages_of(marks), abstracts)
+    return scored.select("bib_key", "score", "citations"), abstracts
 
 
-@register("relevance_layer")
+_CLAIM_SQL = "CASE " + " ".join("WHEN REGEXP_MATCHES(text, '" + p.replace("(?iu)", "(?i)") + f"') THEN '{n}'" for n, p in X.CLAIMS) + " ELSE 'BACKGROUND' END"
+
+
+@register("relevance_layer", LINES_SQL.split(", l AS")[0] + rf""", s AS (SELECT doc_id, UNNEST(STRING_SPLIT(text, '.')) AS text, GENERATE_SUBSCRIPTS(STRING_SPLIT(text, '.'), 1) AS no FROM tex),
+c AS (SELECT DISTINCT doc_id, no, TRIM(UNNEST(STRING_SPLIT(keys, ','))) AS bib_key FROM (SELECT doc_id, no, UNNEST(REGEXP_EXTRACT_ALL(text, '\\cite[a-zA-Z]*\{{([^}}]+)\}}', 1)) AS keys FROM s) t),
+w AS (SELECT doc_id, no, {_WORDS.format(t='text')} AS w, {_CLAIM_SQL} IN ('BACKGROUND', 'TOOL', 'DATA_SOURCE') AS lenient FROM s),
+a AS (SELECT CONCAT('k', CAST(item_id AS VARCHAR)) AS bib_key, text, {_WORDS.format(t='text')} AS w FROM benchmark),
+o AS (SELECT c.bib_key, lenient, CAST(LEN(LIST_INTERSECT(w.w, a.w)) AS DOUBLE) / NULLIF(LEN(w.w), 0) AS share FROM c JOIN w USING (doc_id, no) JOIN a ON a.bib_key = c.bib_key),
+r AS (SELECT bib_key, MIN(CASE WHEN share >= CASE WHEN lenient THEN 0.25 ELSE 0.35 END THEN 9 WHEN share >= CASE WHEN lenient THEN 0.15 ELSE 0.20 END THEN {B.WORST['L3_WARN_PARTIAL']} ELSE {B.WORST['L3_WARN_INCONCLUSIVE']} END) AS worst FROM o GROUP BY 1),
+e AS (SELECT CONCAT('k', CAST(p_partkey AS VARCHAR)) AS bib_key FROM part)
+SELECT CASE WHEN r.worst IS NULL OR COALESCE(LENGTH(a.text), 0) = 0 THEN 'L3_NA' WHEN r.worst = 9 THEN 'L3_PASS' WHEN r.worst = {B.WORST['L3_WARN_PARTIAL']} THEN 'L3_WARN_PARTIAL' ELSE 'L3_WARN_INCONCLUSIVE' END AS l3_score,
+  COALESCE(LENGTH(a.text), 0) > 0 AS abstract_available, COUNT(*) AS n FROM e LEFT JOIN r USING (bib_key) LEFT JOIN a USING (bib_key) GROUP BY 1, 2""")
 def relevance_layer(spark, sf_dir):
     entries = B.normalise_entries(raw_entries(spark, sf_dir))
     return B.worst_case(entries, *evaluations(spark, sf_dir)).groupBy("l3_score", "abstract_available").agg(F.count("*").alias("n"))

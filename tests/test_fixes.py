@@ -100,3 +100,19 @@ def test_search_order_and_followed_identifier(spark):
     ], "m_doi string, m_title string, m_authors array<string>, m_year int, m_journal string, citation_count int, bib_key string, source string, rank int")
     got = {r.bib_key: r.m_title for r in match_metadata(entries, metadata).collect()}
     assert got["k1"] in ("Registered title", "Deep title of a work") and got["k2"] == "Another title here"
+
+
+def test_cutoff_without_exchange_reuse(spark):
+    from pairsieve.operators.ranking import cutoff, first_k
+
+    rows = spark.range(100_000).withColumn("o", F.struct(F.xxhash64("id").alias("h"), "id"))
+    values = sorted((r.o.h, r.o.id) for r in rows.collect())
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for k in (1, 60_000, 100_000, 200_000):
+            found = cutoff(rows.repartition(7), F.col("o"), k).first()
+            assert tuple(found["last"]) == values[min(k, 100_000) - 1] and found["taken"] == min(k, 100_000)
+        marked = first_k(rows, F.col("id") % 2 == 0, F.col("o"), 700, "taken").filter("taken").select("id").collect()
+        assert {r.id for r in marked} == {i for _, i in [v for v in values if v[1] % 2 == 0][:700]}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

@@ -76,8 +76,64 @@ def test_extract_and_validate(spark):
     assert got[4]["decision"] == "UNSURE" and got[4]["reason_codes"] == ["INSUFFICIENT_EVIDENCE"]
 
 
+def plain_citations(text):
+    """(key, line, sentence, paragraph, section) by looking around every citation."""
+    import re
+    from bisect import bisect_left, bisect_right
+
+    dots, blanks = [m.start() for m in re.finditer(r"\.", text)], [m.start() for m in re.finditer(r"\n(?=\n)", text)]
+    heads = [(m.end(), m[1].strip()) for m in re.finditer(X.SECTION, text)]
+    found = []
+    for m in re.finditer(X.CITE, text):
+        at = m.start()
+
+        def around(breaks, gap):
+            left, right = bisect_left(breaks, at), bisect_left(breaks, at)
+            start = breaks[left - 1] + 1 if left else 0
+            return " ".join(text[start:breaks[right] + gap if right < len(breaks) else len(text)].split())
+
+        head = bisect_right([e for e, _ in heads], at)
+        found += [(k.strip(), text.count("\n", 0, at) + 1, around(dots, 1), around(blanks, 0), heads[head - 1][1] if head else None)
+                  for k in m[1].split(",")]
+    return sorted(found, key=str)
+
+
+def cited(spark, rows, **named):
+    marks = X.citation_marks(spark.createDataFrame(rows, "doc_id long, text string, body string, k int"), **named)
+    sentences = X.passages_of(marks).select("doc_id", F.col("number").alias("sentence_no"), F.col("text").alias("sentence"))
+    paragraphs = X.passages_of(marks, "paragraph").select("doc_id", F.col("number").alias("paragraph_no"), F.col("text").alias("paragraph"))
+    joined = X.citations_of(marks).join(sentences, ["doc_id", "sentence_no"]).join(paragraphs, ["doc_id", "paragraph_no"])
+    got = {}
+    for r in joined.collect():
+        got.setdefault(r.doc_id, []).append((r.bib_key, r.line_number, r.sentence, r.paragraph, r.section))
+    return {d: sorted(v, key=str) for d, v in got.items()}
+
+
 def test_citation_fields(spark):
+    import random
+
     text = "\\section{One}\nFirst part. Second\nhas it \\cite[p. 2]{a, b} here. Third.\n\nNext \\citeonline{c} ends"
-    rows = X.citations(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
-    assert [(r["bib_key"], r["line_number"], r["section"]) for r in rows] == [("a", 3, "One"), ("b", 3, "One"), ("c", 5, "One")]
-    assert rows[0]["sentence"].startswith("Second has it \\cite[p.") and rows[2]["paragraph"] == "Next \\citeonline{c} ends"
+    rng = random.Random(6)
+    parts = ["\\cite{a}", "\\citep[see.][p. 3]{b,c}", "\\section{S one}", "\\subsection{T.\nx}", ".", ". ", "\n", "\n\n", "\n\n\n", "word", " é🙂 ", "\\cite{}", "\\cite {d }"]
+    texts = [text, "", None, "no citation. at all", "\\cite{x}" * 300] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    got = cited(spark, [(i, t, "x", 1) for i, t in enumerate(texts)])
+    assert got == {i: w for i, t in enumerate(texts) if (w := plain_citations(t or ""))}
+    assert [(k, n, s) for k, n, _, _, s in got[0]] == [("a", 3, "One"), ("b", 3, "One"), ("c", 5, "One")]
+
+
+def test_citation_output_is_linear(spark):
+    long = "word \\cite{k} " * 20_000  # no full stop, no blank line
+    marks = X.citation_marks(spark.createDataFrame([(1, long)], "doc_id long, text string"))
+    facts = marks.agg(F.sum(F.length("body")).alias("held"), F.count("*").alias("rows")).first()
+    assert facts.held < 3 * len(long) and facts.rows == 20_002
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keyword_scores(spark):
+    sentences = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (1, 1, "with"), (2, 0, "the software alpha")], "doc_id long, number int, text string")
+    cites = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (2, 0, "a"), (2, 0, "none")], "doc_id long, sentence_no int, bib_key string")
+    abstracts = spark.createDataFrame([("a", "Alpha, gamma and others"), ("b", "")], "bib_key string, abstract string")
+    got = {(r.doc_id, r.sentence_no, r.bib_key): (r.overlap, r.score, r.citations) for r in X.keyword_scores(cites, sentences, abstracts).collect()}
+    assert got == {(1, 0, "a"): (0.5, "L3_PASS", 2), (1, 0, "b"): (0.0, "L3_WARN_INCONCLUSIVE", 1), (1, 1, "a"): (None, "L3_WARN_INCONCLUSIVE", 1),
+                   (2, 0, "a"): (0.5, "L3_PASS", 1)}
