@@ -142,19 +142,56 @@ def temporal_split(df: DataFrame, date: str, last_train_year: int) -> DataFrame:
     return df.withColumn("split", side)
 
 
-def bootstrap_weights(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """A Poisson(1) resampling weight from the hash of row and replicate.
+#: Standard deviations beyond which a draw is not looked for; less than one in 10^18 lies there.
+TAIL = 9.0
 
-    The cut points are the cumulative Poisson probabilities, so every row draws its own weight
-    without a shuffle.
+
+def bootstrap_counts(cells: DataFrame, strata: list[str], hits: str, rows: str, replicates: int, seed: int = 0) -> DataFrame:
+    """Resampled hits of every stratum in every replicate: ``*strata, replicate, rows, drawn``.
+
+    ``cells`` has one row per stratum with its ``rows`` and how many of them are ``hits``.  Drawing
+    that many rows with replacement inside a stratum makes the hits binomial, so counts are drawn,
+    never rows: a hash of seed, stratum and replicate gives a number in [0, 1), and the draw is the
+    first count whose cumulative probability lies above it.  Probabilities come from their ratios,
+    each count over the one before, within ``TAIL`` standard deviations of the mean.  The work
+    follows the replicates and the root of the rows.
     """
-    from math import exp, factorial
-
-    u = hash_uniform(hashed(seed, key, replicate))
-    chain, total = None, 0.0
-    n = 0
-    while 1 - total > 16.0**-7:  # one step of the hash
-        total += exp(-1.0) / factorial(n)
-        chain = F.when(u < total, n) if chain is None else chain.when(u < total, n)
-        n += 1
-    return chain.otherwise(n)
+    by = [ref(c) for c in strata]
+    n, p = ref(rows).cast("double"), ref(hits).cast("double") / ref(rows)
+    reach = F.lit(TAIL) * (F.sqrt(n * p * (1 - p)) + 1)
+    inner = (ref(hits) > 0) & (ref(hits) < ref(rows))
+    known = cells.filter(ref(rows) > 0).select(
+        *by, ref(rows).cast("bigint").alias("rows"), ref(hits).cast("bigint").alias("_hits"), p.alias("_p"),
+        F.when(inner, F.greatest(F.lit(0), F.floor(n * p - reach))).otherwise(ref(hits)).cast("bigint").alias("_low"),
+        F.when(inner, F.least(ref(rows), F.ceil(n * p + reach))).otherwise(ref(hits)).cast("bigint").alias("_high"))
+    steps = known.withColumn("_k", F.explode(F.sequence("_low", "_high")))
+    ratio = F.when(F.col("_k") == F.col("_low"), 0.0).otherwise(
+        F.log((F.col("rows") - F.col("_k") + 1).cast("double") / F.col("_k")) + F.log(F.col("_p") / (1 - F.col("_p"))))
+    own = W.partitionBy(*by)
+    upto = own.orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
+    logs = steps.withColumn("_log", F.sum(ratio).over(upto))
+    weights = logs.withColumn("_w", F.exp(F.col("_log") - F.max("_log").over(own)))
+    table = weights.withColumn("_u", F.sum("_w").over(upto) / F.sum("_w").over(own))
+    draws = known.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
+        "_u", hash_uniform(hashed(seed, *[F.coalesce(c.cast("string"), F.lit("")) for c in by], F.col("replicate"))))
+    columns = [*strata, "rows", "_low", "_high", "_u"]
+    both = table.select(*[ref(c) for c in columns], F.lit(None).cast("int").alias("replicate")).unionByName(
+        draws.select(*[ref(c) for c in columns], "replicate"))
+    below = F.count(F.when(F.col("replicate").isNull(), 1)).over(
+        own.orderBy("_u", F.col("replicate").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("drawn", F.least(F.col("_low") + below, F.col("_high"))).filter("replicate IS NOT NULL").select(
+        *by, "replicate", "rows", "drawn")
+
+
+def bootstrap_confusion(df: DataFrame, label: str, predicted: str, strata: list[str] | None = None, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """``replicate, tp, fp, fn, tn`` of resamples stratified by the label and ``strata``."""
+    held = [ref(c).alias(f"_s{i}") for i, c in enumerate(strata or [])]
+    names = [f"_s{i}" for i in range(len(held))]
+    rows = df.select(*held, (ref(label) == 1).cast("int").alias("_y"), (ref(predicted) == 1).cast("int").alias("_hit"))
+    cells = rows.groupBy(*names, "_y").agg(F.count("*").alias("_rows"), F.sum("_hit").alias("_hits"))
+    drawn = bootstrap_counts(cells, [*names, "_y"], "_hits", "_rows", replicates, seed)
+    positive, missed = F.col("_y") == 1, F.col("rows") - F.col("drawn")
+    total = lambda c, value: F.coalesce(F.sum(F.when(c, value)), F.lit(0)).cast("bigint")
+    return drawn.groupBy("replicate").agg(
+        total(positive, F.col("drawn")).alias("tp"), total(~positive, F.col("drawn")).alias("fp"),
+        total(positive, missed).alias("fn"), total(~positive, missed).alias("tn"))

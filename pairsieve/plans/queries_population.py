@@ -10,7 +10,7 @@ from pairsieve.functions.values import ref
 from pairsieve.operators import drift as D
 from pairsieve.operators import fairness as N
 from pairsieve.operators import privacy as K
-from pairsieve.operators.split import bootstrap_weights
+from pairsieve.operators.split import bootstrap_confusion
 from pairsieve.plans.queries_features import WITH_PAIRS
 from pairsieve.plans.queries_metrics import SCORED_SQL, round_all, scored
 from pairsieve.plans.registry import register, table
@@ -176,17 +176,28 @@ def reviewer_kappa(spark, sf_dir):
     return round_all(N.kappa(rows, "a", "b"), ["observed", "expected", "kappa"])
 
 
-@register("bootstrap_fbeta")
+@register("bootstrap_fbeta", f"""{SCORED_SQL}, c AS (SELECT passo, target AS y, COUNT(*) AS n, SUM(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS h FROM scored GROUP BY 1, 2),
+d AS (SELECT *, CAST(h AS DOUBLE) / n AS p, 9.0E0 * (SQRT(n * (CAST(h AS DOUBLE) / n) * (1 - CAST(h AS DOUBLE) / n)) + 1) AS reach FROM c),
+w AS (SELECT *, CASE WHEN h > 0 AND h < n THEN CAST(GREATEST(0, FLOOR(n * p - reach)) AS BIGINT) ELSE CAST(h AS BIGINT) END AS low,
+  CASE WHEN h > 0 AND h < n THEN CAST(LEAST(n, CEIL(n * p + reach)) AS BIGINT) ELSE CAST(h AS BIGINT) END AS high FROM d),
+k AS (SELECT *, UNNEST(RANGE(low, high + 1)) AS k FROM w),
+l AS (SELECT *, SUM(CASE WHEN k = low THEN 0.0E0 ELSE LN(CAST(n - k + 1 AS DOUBLE) / k) + LN(p / (1 - p)) END) OVER (PARTITION BY passo, y ORDER BY k) AS lg FROM k),
+e AS (SELECT *, EXP(lg - MAX(lg) OVER (PARTITION BY passo, y)) AS v FROM l),
+t AS (SELECT *, SUM(v) OVER (PARTITION BY passo, y ORDER BY k) / SUM(v) OVER (PARTITION BY passo, y) AS cdf FROM e),
+u AS (SELECT passo, y, n, high, low, r, CAST(CAST('0x' || SUBSTR(MD5(CONCAT('0|', COALESCE(CAST(passo AS VARCHAR), ''), '|', CAST(y AS VARCHAR), '|', CAST(r AS VARCHAR))), 1, 7) AS BIGINT) AS DOUBLE) / 268435456.0E0 AS u
+  FROM (SELECT *, UNNEST(RANGE(1, 1001)) AS r FROM w) x),
+m AS (SELECT u.y, u.r, u.n, LEAST(u.low + (SELECT COUNT(*) FROM t WHERE t.passo IS NOT DISTINCT FROM u.passo AND t.y = u.y AND t.cdf <= u.u), u.high) AS drawn FROM u),
+f AS (SELECT r, SUM(CASE WHEN y = 1 THEN drawn ELSE 0 END) AS tp, SUM(CASE WHEN y = 0 THEN drawn ELSE 0 END) AS fp, SUM(CASE WHEN y = 1 THEN n - drawn ELSE 0 END) AS fn FROM m GROUP BY r),
+b AS (SELECT CASE WHEN 5 * tp + 4 * fn + fp > 0 THEN 5.0E0 * tp / (5 * tp + 4 * fn + fp) ELSE 0 END AS f FROM f)
+SELECT COUNT(*) AS n, ROUND(QUANTILE_CONT(f, 0.025), 6) AS low, ROUND(QUANTILE_CONT(f, 0.5), 6) AS middle, ROUND(QUANTILE_CONT(f, 0.975), 6) AS high FROM b""")
 def bootstrap_fbeta(spark, sf_dir):
-    """Percentile interval of F2 over 1,000 Poisson resamples of the rows."""
+    """Percentile interval of F2 over 1,000 resamples, stratified by step and label."""
     from pairsieve.operators.histograms import exact_quantiles
-    from pairsieve.operators.metrics import add_rates, confusion
+    from pairsieve.operators.metrics import add_rates
 
-    rows = scored(spark, sf_dir).select("k", "target", (F.col("p") >= 0.5).cast("int").alias("hit"))
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(1000))))
-    drawn = spread.withColumn("w", bootstrap_weights(F.col("k"), F.col("replicate")))
-    counts = add_rates(confusion(drawn, "target", "hit", ["replicate"], "w"), beta=2.0)
-    return exact_quantiles(counts, "fbeta", {"low": 0.025, "middle": 0.5, "high": 0.975})
+    rows = scored(spark, sf_dir).select("passo", "target", (F.col("p") >= 0.5).cast("int").alias("hit"))
+    counts = add_rates(bootstrap_confusion(rows, "target", "hit", ["passo"]), beta=2.0)
+    return round_all(exact_quantiles(counts, "fbeta", {"low": 0.025, "middle": 0.5, "high": 0.975}), ["low", "middle", "high"])
 
 
 # Drift: events before and from the sixteenth, values per event type.

@@ -94,3 +94,22 @@ def test_similarity(spark):
                     plain_text(F.lit("\\emph{Ação}~de  {Saúde}")).alias("p")).collect()
     assert got[0]["r"] == 75.0 and got[0]["t"] == 100.0 and got[1]["r"] == 0.0 and got[1]["t"] == 100.0
     assert got[0]["p"] == "acao de saude"
+
+
+def test_bootstrap_draws_are_binomial(spark):
+    import math
+
+    from pairsieve.operators.split import bootstrap_confusion, bootstrap_counts
+
+    cells = spark.createDataFrame([("a", 40, 10), ("b", 100_000, 70_000), ("c", 7, 0), ("d", 9, 9), (None, 1, 1), ("e", 0, 0)], "s string, n long, h long")
+    got = bootstrap_counts(cells, ["s"], "h", "n", 4000).groupBy("s").agg(
+        F.count("*").alias("r"), F.avg("drawn").alias("m"), F.stddev("drawn").alias("sd"), F.min("drawn").alias("lo"), F.max("drawn").alias("hi"))
+    found = {r.s: r for r in got.collect()}
+    assert set(found) == {"a", "b", "c", "d", None} and all(r.r == 4000 for r in found.values())
+    for name, n, p in (("a", 40, 0.25), ("b", 100_000, 0.7)):
+        sd = math.sqrt(n * p * (1 - p))
+        assert abs(found[name].m - n * p) < 5 * sd / math.sqrt(4000) and abs(found[name].sd / sd - 1) < 0.06
+    assert (found["c"].lo, found["c"].hi, found["d"].lo, found[None].hi) == (0, 0, 9, 1)
+    rows = spark.range(5000).select((F.col("id") % 5 == 0).cast("int").alias("y"), (F.col("id") % 3 == 0).cast("int").alias("hit"), (F.col("id") % 2).alias("s"))
+    sums = bootstrap_confusion(rows, "y", "hit", ["s"], 50).select((F.col("tp") + F.col("fn")).alias("p"), (F.col("fp") + F.col("tn")).alias("q"))
+    assert {tuple(r) for r in sums.collect()} == {(1000, 4000)}  # strata keep their size
