@@ -5,14 +5,25 @@ Rows carry ``id`` (whole number), ``x`` (array of doubles) and ``y``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairsieve.functions.values import ref
 from pairsieve.operators.ranking import hash_uniform, hashed, rank_by_hash
+from pairsieve.session import materialise
 
 BLOCK_ROWS = 20_000
+#: Pivots at most, so that a worker holds no more than their vectors.
+MOST_BLOCKS = 4096
+#: Rings of a cell that holds more rows than a block.
+RINGS = 16
+#: Vectors compared at once.
+STEP_ROWS = 512
+#: Relative rounding allowed to bounds, so that no equally near row is ruled out.
+SLACK = 1e-9
 
 
 def with_vector(df: DataFrame, features: list[str], key: str, label: str) -> DataFrame:
@@ -20,53 +31,140 @@ def with_vector(df: DataFrame, features: list[str], key: str, label: str) -> Dat
     return df.select(ref(key).alias("id"), values.alias("x"), ref(label).cast("int").alias("y"))
 
 
-def neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The exact k nearest pool rows of every query: ``id, rank, n_id, n_y, n_x, distance``.
+class Blocks:
+    """Balls around pivots that hold the pool: where they are, how far they reach, how many rows they have."""
 
-    Both sides are cut into hashed blocks of bounded size; each pair of blocks is one task that
-    emits only its best k per query, and the best of those are merged.  A row is not its own
-    neighbour.  Ties go to the smaller id.
-    """
-    n_blocks = max(1, -(-pool.count() // block_rows))
-    n_chunks = max(1, -(-queries.count() // block_rows))
+    def __init__(self, pivots: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray):
+        self.pivots, self.cell, self.low, self.high, self.rows = pivots, cell, low, high, rows
 
-    def placed(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        at = F.pmod(F.xxhash64(df.columns[0]), F.lit(n_own)).cast("int")
-        return df.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest distance from every vector to the rows of every block.
 
-    # New names on both sides: a pool may be derived from the same rows as the queries.
-    asked = queries.select(F.col("id").alias("q_id"), F.col("x").alias("q_x"))
-    offered = pool.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
-    left = placed(asked, "chunk", n_chunks, "block", n_blocks)
-    right = placed(offered, "block", n_blocks, "chunk", n_chunks)
+        A row at distance r from its pivot is at least ``|d - r|`` and at most ``d + r`` away from
+        a vector at distance d; as its pivot is its nearest one, it is also at least half as far
+        away as the vector is farther from that pivot than from its own nearest one.
+        """
+        to = distances(x, self.pivots)
+        near, own = to[:, self.cell], to.min(axis=1, keepdims=True)
+        least = np.maximum.reduce([near - self.high, self.low - near, (near - own) / 2, np.zeros_like(near)])
+        return least, near + self.high
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x])) if len(x) else np.zeros((0, len(y)))
+
+
+def pivot_blocks(pool: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Blocks]:
+    """The pool (``p_id, p_x, p_y``) with its ``block``, written once, and the table of blocks.
+
+    Rows go to the nearest of hashed pivots, one per ``block_rows`` rows.  A cell with more rows is
+    cut into rings by the distance from its pivot, and a ring with more, equal rows for instance,
+    by hash.  ``MOST_BLOCKS`` bounds what is held per worker; blocks grow beyond that many.
+    """
+    total = pool.count()
+    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
+    wanted = max(1, -(-total // block_rows))
+    drawn = pool.orderBy(F.xxhash64("p_id"), "p_id").limit(wanted).select("p_x").collect()
+    pivots = np.unique(np.array([r["p_x"] for r in drawn], float), axis=0)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), STEP_ROWS):
+                part = batch.iloc[start:start + STEP_ROWS]
+                to = distances(np.vstack(part["p_x"].to_numpy()), pivots)
+                yield part.assign(cell=to.argmin(axis=1).astype("int32"), away=to.min(axis=1))
+
+    placed = materialise(pool.mapInPandas(nearest, "p_id long, p_x array<double>, p_y int, cell int, away double"))
+    edges = placed.groupBy("cell").agg(F.count("*").alias("_n"), F.percentile_approx(
+        "away", F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)]), F.lit(1000)).alias("_edges"))
+    ring = F.when(F.col("_n") > block_rows, F.size(F.filter("_edges", lambda e: e < F.col("away")))).otherwise(0)
+    ringed = placed.join(F.broadcast(edges), "cell").withColumn("ring", ring).drop("_n", "_edges")  # a row per pivot
+    sizes = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_parts"))
+    parted = ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("p_id"), F.col("_parts")).cast("int"))
+    facts = parted.groupBy("cell", "ring", "part").agg(
+        F.count("*").alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")).orderBy("cell", "ring", "part").toPandas()
+    facts["block"] = np.arange(len(facts), dtype=np.int32)  # bounded by MOST_BLOCKS times the rings
+    numbers = pool.sparkSession.createDataFrame(facts[["cell", "ring", "part", "block"]].astype("int32"), "cell int, ring int, part int, block int")
+    found = parted.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("p_id", "p_x", "p_y", "block")
+    return found, Blocks(pivots, *(facts[c].to_numpy() for c in ("cell", "low", "high", "rows")))
+
+
+def visits(queries: DataFrame, blocks: Blocks, k: int, known: bool = False) -> DataFrame:
+    """``q_id, q_x, block``: the blocks a query (``q_id, q_x``) has to look at.
+
+    First those that surely hold k rows besides itself, nearest first.  Once these are ``known``,
+    with the k-th distance found in them as ``reach`` and their numbers as ``seen``, every other
+    block that can hold a nearer row, or an equally near one.
+    """
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), STEP_ROWS):
+                part = batch.iloc[start:start + STEP_ROWS]
+                least, most = blocks.bounds(np.vstack(part["q_x"].to_numpy()))
+                if known:
+                    wanted = least <= part["reach"].to_numpy()[:, None] * (1 + SLACK) + SLACK
+                    for i, seen in enumerate(part["seen"]):
+                        wanted[i, seen] = False
+                else:
+                    order = np.argsort(most, axis=1, kind="stable")
+                    before = np.cumsum(blocks.rows[order], axis=1) - blocks.rows[order]
+                    wanted = np.zeros(least.shape, bool)
+                    np.put_along_axis(wanted, order, before < k + 1, axis=1)
+                row, block = np.nonzero(wanted)
+                yield pd.DataFrame({"q_id": part["q_id"].to_numpy()[row], "q_x": part["q_x"].to_numpy()[row], "block": block.astype("int32")})
+
+    return queries.mapInPandas(choose, "q_id long, q_x array<double>, block int")
+
+
+def _searched(asked: DataFrame, placed: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The best k rows of each visited block for each query; many queries of a block are split."""
+    chunks = asked.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))  # a row per block
+    left = asked.join(F.broadcast(chunks), "block").select(
+        "q_id", "q_x", F.col("block").alias("q_block"), F.pmod(F.xxhash64("q_id"), F.col("chunks")).cast("int").alias("q_chunk"))
+    right = placed.join(F.broadcast(chunks), "block").select(
+        "p_id", "p_x", "p_y", F.col("block").alias("p_block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p_chunk"))
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "n_id", "n_y", "distance"]
-        if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({n: [] for n in names}).astype({"id": "int64", "n_id": "int64", "n_y": "int32", "distance": "float64"})
-        p = p.sort_values("p_id", kind="stable").reset_index(drop=True)
-        pool_x, pool_id = np.vstack(p["p_x"].to_numpy()), p["p_id"].to_numpy()
-        parts = []
-        for start in range(0, len(q), 512):
-            ids = q["q_id"].to_numpy()[start:start + 512]
-            rows = np.vstack(q["q_x"].to_numpy()[start:start + 512])
-            gap = np.stack([((pool_x - r) ** 2).sum(axis=1) for r in rows])
+        parts = [pd.DataFrame({"id": [], "block": [], "n_id": [], "n_y": [], "distance": []})]
+        p = p.sort_values("p_id", kind="stable")
+        for start in range(0, len(q) if len(p) else 0, STEP_ROWS):
+            part = q.iloc[start:start + STEP_ROWS]
+            gap = distances(np.vstack(part["q_x"].to_numpy()), np.vstack(p["p_x"].to_numpy()))
+            ids, pool_id = part["q_id"].to_numpy(), p["p_id"].to_numpy()
             gap[ids[:, None] == pool_id[None, :]] = np.inf
             order = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(gap, order, axis=1)
-            part = pd.DataFrame({
-                "id": np.repeat(ids, order.shape[1]), "n_id": pool_id[order].ravel(),
-                "n_y": p["p_y"].to_numpy()[order].ravel(), "distance": np.sqrt(near).ravel(),
-            })
-            parts.append(part[np.isfinite(part["distance"])])
-        return pd.concat(parts).astype({"n_y": "int32"})
-
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
-        best, "id long, n_id long, n_y int, distance double")
-    merged = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("distance", "n_id", "n_y"))), 1, k).alias("near"))
-    return merged.select("id", F.posexplode("near").alias("i", "n")).select(
-        "id", (F.col("i") + 1).alias("rank"), "n.n_id", "n.n_y", "n.distance")
+            near = np.take_along_axis(gap, order, axis=1).ravel()
+            parts.append(pd.DataFrame({
+                "id": np.repeat(ids, order.shape[1]), "block": np.repeat(part["q_block"].to_numpy(), order.shape[1]),
+                "n_id": pool_id[order].ravel(), "n_y": p["p_y"].to_numpy()[order].ravel(), "distance": near})[np.isfinite(near)])
+        return pd.concat(parts).astype({"id": "int64", "block": "int32", "n_id": "int64", "n_y": "int32", "distance": "float64"})
+
+    return left.groupBy("q_block", "q_chunk").cogroup(right.groupBy("p_block", "p_chunk")).applyInPandas(
+        best, "id long, block int, n_id long, n_y int, distance double")
+
+
+def neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The exact k nearest pool rows of every query: ``id, rank, n_id, n_y, distance``.
+
+    The pool is cut into balls around pivots.  A query first looks at the balls that surely hold k
+    rows; the k-th distance found there and the triangle inequality rule out most others.  Every
+    task emits its best k per query, and a limited rank keeps the best of them before and after
+    the shuffle.  A row is not its own neighbour.  Ties go to the smaller id.
+    """
+    # New names on both sides: a pool may be derived from the same rows as the queries.
+    asked = queries.select(F.col("id").alias("q_id"), F.col("x").alias("q_x"))
+    placed, blocks = pivot_blocks(pool.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y")), block_rows)
+    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "n_id"))
+    if not len(blocks.rows):
+        return queries.sparkSession.createDataFrame([], "id long, rank int, n_id long, n_y int, distance double")
+    first = materialise(_searched(visits(asked, blocks, k), placed, k, block_rows))
+    reach = first.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("id").agg(
+        F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("reach"))
+    seen = visits(asked, blocks, k).groupBy("q_id").agg(F.collect_set("block").alias("seen"))  # as many as hold k rows
+    open_queries = asked.join(seen, "q_id").join(reach, F.col("q_id") == F.col("id"), "left").select(
+        "q_id", "q_x", "seen", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    rest = _searched(visits(open_queries, blocks, k, known=True), placed, k, block_rows)
+    return first.unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "n_id", "n_y", "distance")
 
 
 def _spread(rows: DataFrame, near: DataFrame, minority: DataFrame, copies: DataFrame, k: int, seed: int) -> DataFrame:

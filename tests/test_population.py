@@ -113,3 +113,26 @@ def test_bootstrap_draws_are_binomial(spark):
     rows = spark.range(5000).select((F.col("id") % 5 == 0).cast("int").alias("y"), (F.col("id") % 3 == 0).cast("int").alias("hit"), (F.col("id") % 2).alias("s"))
     sums = bootstrap_confusion(rows, "y", "hit", ["s"], 50).select((F.col("tp") + F.col("fn")).alias("p"), (F.col("fp") + F.col("tn")).alias("q"))
     assert {tuple(r) for r in sums.collect()} == {(1000, 4000)}  # strata keep their size
+
+
+def test_pivots_skip_most_blocks(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((25, 6)) * 40
+    points = np.concatenate([centres[i % 25] + rng.standard_normal((1, 6)) for i in range(2500)])
+    points[1000:1400] = points[0]  # equal rows that no ball can tell apart
+    df = spark.createDataFrame([(i, [float(v) for v in x], int(i % 4 == 0)) for i, x in enumerate(points)], "id long, x array<double>, y int")
+    pool = df.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    placed, blocks = R.pivot_blocks(pool, 50)
+    assert placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 150 and placed.count() == 2500
+    asked = df.select(F.col("id").alias("q_id"), F.col("x").alias("q_x"), F.array().cast("array<int>").alias("seen"), F.lit(5.0).alias("reach"))
+    looked = R.visits(asked, blocks, 3, known=True).count()
+    assert looked < 0.25 * 2500 * len(blocks.rows)
+    got = {(r.id, r["rank"]): r.n_id for r in R.neighbours(df.filter("id % 7 = 0"), df, 3, 50).collect()}
+    for i in range(0, 2500, 7):
+        gap = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        gap[i] = np.inf
+        assert [got[i, r] for r in (1, 2, 3)] == np.lexsort((np.arange(2500), gap))[:3].tolist()
+    plan = R.neighbours(df, df, 3, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert R.neighbours(df, df.filter("id < 2"), 3, 50).groupBy("id").count().filter("count < 2").select("id").orderBy("id").collect()[0].id == 0
+    assert R.neighbours(df, df.filter("id < 0"), 3).count() == 0 and R.neighbours(df.filter("id < 0"), df, 3).count() == 0
