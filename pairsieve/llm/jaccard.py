@@ -39,14 +39,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsieve.functions.values import ref
 from pairsieve.llm.arrow import portions
-from pairsieve.llm.common import ascii_lower, join_facts, keep, maybe_in, not_in_filter, text_of
+from pairsieve.llm.common import HOT_SHARE, join_facts, keep, maybe_in, not_in_filter, text_of
 from pairsieve.llm.components import components
 from pairsieve.llm.lm import token_index
 
 WORDS = 5
 PERCENT = 80
 #: Share of the hash space whose shingles are counted; a prefix needs about a fifth of a set.
-REGION = 0.26
+REGION = 0.3
 #: Sets of so many shingles hand out all of them at once.
 SMALL = 128
 #: Members compared with one copy of their leader, and sets per side of a cell.
@@ -232,7 +232,7 @@ def _list_array(lists: list[np.ndarray | None]) -> pa.Array:
 
 
 def _text_key(text: str) -> Column:
-    return F.unhex(F.md5(ascii_lower(text_of(text)).cast("binary")))
+    return F.unhex(F.md5(text_of(text).cast("binary")))
 
 
 def _sets_of(docs: DataFrame, text: str, keys: DataFrame, width: int, name: str) -> DataFrame:
@@ -241,8 +241,7 @@ def _sets_of(docs: DataFrame, text: str, keys: DataFrame, width: int, name: str)
     A filter holds most other texts back before the shuffle; the join after it is exact.
     """
     passed = maybe_in(docs.select(text_of(text).alias("text"), _text_key(text).alias("key")), keys, "key")
-    lowered = passed.select("key", ascii_lower(F.col("text")).alias("text"))  # one row per key, then
-    texts = lowered.groupBy("key", "text").agg(F.lit(1).alias("one")).drop("one").join(keys, "key", "left_semi")
+    texts = passed.groupBy("key", "text").agg(F.lit(1).alias("one")).drop("one").join(keys, "key", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 1):
@@ -269,9 +268,22 @@ def _compare(sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
         compare, "a long, b long"), "links")
 
 
+def _meet(rows: DataFrame, facts: DataFrame, weight: str, total: int) -> DataFrame:
+    """Inner join on ``token`` with one row per shingle; shingles with a large share of the rows stay put.
+
+    A shingle is hot with more than one row in ``HOT_SHARE``, so there are fewer hot ones than that.
+    """
+    hot = [r["token"] for r in facts.filter(F.col(weight) * HOT_SHARE > total).select("token").take(HOT_SHARE)]
+    if not hot:
+        return rows.join(facts, "token")
+    is_hot = F.col("token").isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), "token").unionByName(
+        rows.filter(~is_hot).join(facts.filter(~is_hot), "token"))
+
+
 def _listed(rows: DataFrame, facts: DataFrame, total: int, order: Column) -> DataFrame:
     """Per row its shingles that others hold as well, in order, as ``hits``."""
-    return join_facts(rows, facts, ["token"], "df", total).groupBy("row").agg(F.array_sort(F.collect_list(order)).alias("hits"))
+    return _meet(rows, facts, "df", total).groupBy("row").agg(F.array_sort(F.collect_list(order)).alias("hits"))
 
 
 def _prefixes(docs: DataFrame, shingled: DataFrame, same: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -342,7 +354,7 @@ def jaccard_components(
     # one leader per node: the least node of its shingle groups, the one it meets most often
     leaders = keep(prefixes.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "tokens")
     size_ok = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
-    met = keep(join_facts(prefixes, leaders, ["token"], "members", entries), "met")
+    met = keep(_meet(prefixes, leaders, "members", entries), "met")
     sizes = met.filter("node = leader").select("leader", F.col("n").alias("leader_n")).distinct()
     meets = met.filter("node <> leader").groupBy("node", "n", "key", "leader").agg(F.count("*").alias("times")).join(sizes, "leader").filter(size_ok)
     chosen = keep(meets.groupBy("node", "n", "key").agg(
@@ -357,7 +369,7 @@ def jaccard_components(
         "component", F.coalesce("component", "node")), "placed")
     open_tokens = keep(placed.groupBy("token").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("token", "rows"), "open_tokens")
-    open_members = keep(join_facts(placed, open_tokens, ["token"], "rows", entries).drop("rows"), "open")
+    open_members = keep(_meet(placed, open_tokens, "rows", entries).drop("rows"), "open")
     # few documents on a shingle: pairs, thinned by how many prefix shingles they share
     few, many = open_members.filter(F.col("members") <= FEW), open_members.filter(F.col("members") > FEW)
     left = few.select("token", F.col("node").alias("leader"), F.col("component").alias("c"), F.col("n").alias("leader_n"))
@@ -391,7 +403,7 @@ def jaccard_components(
 def one_per_component(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents with one of each component left: the one with the least id.
 
-    A null id comes after any other; rows that agree in id and words count as repeats of one row, of
+    A null id comes after any other; rows that agree in id and text count as repeats of one row, of
     which one stays.  Only documents of components with several members are shuffled with their text.
     """
     rows = jaccard_components(docs, text, doc_id, **options).filter("n_shingles > 0")
