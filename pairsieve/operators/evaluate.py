@@ -12,17 +12,23 @@ from pairsieve import columns as C
 from pairsieve.config import Settings
 from pairsieve.functions.rates import f_beta, precision, recall
 from pairsieve.functions.values import ref
-from pairsieve.operators.calibrate import fit_platt, sigmoid, stub_probability
 from pairsieve.functions.values import clip
+from pairsieve.operators.bands import assign_bands
+from pairsieve.operators.calibrate import fit_platt, sigmoid, stub_probability
+from pairsieve.operators.features import BIRTH_DISTANCE, pair_features
+from pairsieve.operators.guardrails import apply_guardrails
 from pairsieve.operators.metrics import review_outcome_counts, summarize_runs
 from pairsieve.operators.ranking import rank_by_hash
 from pairsieve.operators.split import holdout_size
 from pairsieve.operators.triage import score_decisions, selection_rank
-from pairsieve.session import small_table
+from pairsieve.session import materialise, small_table
 
 # Weight of recall per mode; any other mode has weight 1.
 BETA = {"vigilancia": 2.0, "confirmacao": 0.5}
 
+#: What a group hold-out keeps together.
+GROUP_OF = {"comprec": C.LEFT, "refrec": C.RIGHT}
+
 
 def mode_beta(mode: str) -> float:
     return BETA.get(mode.strip().lower(), 1.0)
@@ -36,7 +42,7 @@ def seeded_splits(
 
     As for a single split, a class of one row and a missing group are errors.
     """
-    column = {"row": None, "comprec": C.LEFT, "refrec": C.RIGHT}[split_by]
+    column = None if split_by == "row" else GROUP_OF[split_by]
     seed_list = F.array(*[F.lit(int(s)) for s in seeds])
     if column is None:
         rows = df.withColumn("seed", F.explode(seed_list))
@@ -58,8 +64,12 @@ def calibrated_test_rows(
     df: DataFrame, settings: Settings, key: str, seeds: list[int], share: float, split_by: str,
     method: str = "stub", stratify: bool = True,
 ) -> DataFrame:
-    """Test rows of every seed with ``p_cal`` fitted on that seed's training rows."""
-    split = seeded_splits(df, C.TARGET, key, seeds, share, split_by, stratify)
+    """Test rows of every seed with ``p_cal`` fitted on that seed's training rows.
+
+    Only what decisions and their measures read is repeated per seed.
+    """
+    carried = [key, C.TARGET, C.SCORE, "band", "guardrail", *GROUP_OF.values()]
+    split = seeded_splits(df.select(*[ref(c) for c in dict.fromkeys(carried) if c in df.columns]), C.TARGET, key, seeds, share, split_by, stratify)
     test = split.filter("split = 'test'")
     cal = settings.calibration
     score = ref(C.SCORE)
@@ -162,8 +172,66 @@ def mean_points(records: DataFrame, by: list[str]) -> DataFrame:
     return summarize_runs(records, by, metrics)
 
 
-def without_birth_distance(df: DataFrame) -> DataFrame:
-    """Drop the birth-distance features, as an ablation with them off requires."""
-    from pairsieve.operators.features import BIRTH_DISTANCE
+VARIANT = ["seed", "calibration", "birth_distance", "guardrails"]
+
+
+def ablation(
+    pairs: DataFrame, settings: Settings, key: str, modes: list[str] | None = None, seeds: list[int] | None = None,
+    calibrations: tuple[str, ...] = ("stub", "platt"),
+) -> DataFrame:
+    """Records per calibration, with and without birth-distance features, with and without guardrails.
+
+    Without the features the table is built without them, so nothing can read them.  What is left
+    of a build is key, label, score, band and guardrail; the variants travel as columns, and each
+    mode ranks and counts all of them at once.  ``forest`` as a calibration fits one forest per
+    seed and build.
+    """
+    ev = settings.evaluation
+    seeds = list(seeds or ev.seeds)
+    rows = None
+    for birth in (True, False):
+        wide = assign_bands(pair_features(pairs, birth), settings)
+        if not birth:
+            wide = wide.drop(*BIRTH_DISTANCE)
+        built = apply_guardrails(wide, settings.guardrails)
+        for method in calibrations:
+            if method == "forest":
+                tests = _forest_test_rows(built, settings, key, seeds)
+            else:
+                tests = calibrated_test_rows(built, settings, key, seeds, ev.test_size, ev.split_by, method, ev.group_stratify)
+            part = tests.select("seed", ref(key), C.TARGET, "band", "p_cal", "guardrail").withColumns(
+                {"calibration": F.lit(method), "birth_distance": F.lit(birth)})
+            rows = part if rows is None else rows.unionByName(part)
+    both = materialise(rows).withColumn("guardrails", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "guardrail", F.when(F.col("guardrails"), F.col("guardrail")))
+    records = None
+    for mode in modes or list(settings.modes):
+        scored = score_decisions(both, settings.mode(mode), settings.band_errors())
+        record = run_records(selection_rank(scored, key, VARIANT), settings, mode, VARIANT, [settings.budget(mode)])
+        records = record if records is None else records.unionByName(record)
+    return records
+
+
+def _forest_test_rows(built: DataFrame, settings: Settings, key: str, seeds: list[int]) -> DataFrame:
+    from pairsieve.operators.models import CalibratedForest
 
-    return df.drop(*BIRTH_DISTANCE)
+    ev = settings.evaluation
+    split = seeded_splits(built, C.TARGET, key, seeds, ev.test_size, ev.split_by, ev.group_stratify)
+    rows = None
+    for seed in seeds:
+        own = split.filter(F.col("seed") == seed)
+        forest = CalibratedForest().fit(own.filter("split = 'train'").drop("seed", "split"), key)
+        part = forest.score(own.filter("split = 'test'"), "p_cal")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def repeated_holdout(
+    ready: DataFrame, settings: Settings, key: str, mode: str, repeats: int = 5, share: float = 0.2, method: str = "platt",
+    base_seed: int = 42,
+) -> DataFrame:
+    """Records of ``repeats`` hold-outs of one row in five, drawn with seeds that follow the base seed.
+
+    Each repeat draws anew, so a row may be tested more than once or never.
+    """
+    return evaluate(ready, settings, key, [mode], [base_seed + i for i in range(repeats)], share, "row", method)

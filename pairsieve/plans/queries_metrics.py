@@ -503,69 +503,120 @@ def anchor_fit(spark, sf_dir):
                     F.round(F.avg(F.when(low, F.col("p_cal"))), 6).alias("low_mean"))
 
 
-SEEDS = [42, 123, 456]
-EVAL_SQL = f"""WITH {GUARD_SQL}, seeds AS (SELECT UNNEST([42, 123, 456]) AS seed),
-spread AS (SELECT l.*, seed FROM labelled l, seeds),
-parts AS (SELECT s.*, CASE WHEN ROW_NUMBER() OVER (PARTITION BY seed, target ORDER BY MD5(CONCAT(CAST(seed AS VARCHAR), '|', CAST(k AS VARCHAR))), k)
-  <= GREATEST(1, LEAST(COUNT(*) OVER (PARTITION BY seed, target) - 1, ROUND_EVEN(COUNT(*) OVER (PARTITION BY seed, target) * 0.3E0, 0)))
-  THEN 'test' ELSE 'train' END AS split FROM spread s),
-tests AS (SELECT * FROM parts WHERE split = 'test'),"""
+SEEDS = list(SETTINGS.evaluation.seeds)
+
+
+def eval_sql(method: str = "platt", split_by: str = "row", seeds: list[int] = SEEDS, share: float = 0.3) -> str:
+    """CTEs up to ``tests``: every seed's test rows with ``p_cal``, fitted on that seed's training rows."""
+    size = "GREATEST(1, LEAST({n} - 1, ROUND_EVEN({n} * " + repr(share) + "E0, 0)))"
+    order = "MD5(CONCAT(CAST(seed AS VARCHAR), '|', CAST({key} AS VARCHAR))), {key}"
+    head = f"WITH RECURSIVE {GUARD_SQL}, seeds AS (SELECT UNNEST({seeds}) AS seed),"
+    if split_by == "row":
+        head += f"""
+parts AS (SELECT s.*, CASE WHEN ROW_NUMBER() OVER (PARTITION BY seed, target ORDER BY {order.format(key='k')})
+  <= {size.format(n='COUNT(*) OVER (PARTITION BY seed, target)')} THEN 'test' ELSE 'train' END AS split FROM (SELECT l.*, seed FROM labelled l, seeds) s),"""
+    else:
+        head += f"""
+groups AS (SELECT {split_by} AS g, MAX(target) AS y, seed FROM labelled, seeds GROUP BY 1, 3),
+sides AS (SELECT g, seed, ROW_NUMBER() OVER (PARTITION BY seed, y ORDER BY {order.format(key='CAST(g AS VARCHAR)')})
+  <= {size.format(n='COUNT(*) OVER (PARTITION BY seed, y)')} AS test FROM groups),
+parts AS (SELECT l.*, seed, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM labelled l JOIN sides ON g = {split_by}),"""
+    if method == "stub":
+        return head + " tests AS (SELECT * FROM parts WHERE split = 'test')"
+    return head + """
+th AS (SELECT seed, nota AS x, COUNT(*) AS n, SUM(target) AS pos FROM parts WHERE split = 'train' GROUP BY 1, 2),
+newton AS (SELECT seed, 0 AS step, LN(((SUM(pos) + 0.5E0) / (SUM(n) + 1.0E0)) / (1 - (SUM(pos) + 0.5E0) / (SUM(n) + 1.0E0))) AS w0, 0.0E0 AS w1 FROM th GROUP BY seed
+  UNION ALL SELECT seed, step + 1, w0 - (d * g0 - b * g1) / (a * d - b * b), w1 - (a * g1 - b * g0) / (a * d - b * b) FROM (
+    SELECT seed, step, w0, w1, SUM(n * pr - pos) AS g0, SUM((n * pr - pos) * x) + 0.001E0 * w1 AS g1,
+      SUM(n * pr * (1 - pr)) AS a, SUM(n * pr * (1 - pr) * x) AS b, SUM(n * pr * (1 - pr) * x * x) + 0.001E0 AS d
+    FROM (SELECT nt.*, h.x, h.n, h.pos, 1.0E0 / (1.0E0 + EXP(-(nt.w0 + nt.w1 * h.x))) AS pr FROM newton nt JOIN th h ON h.seed = nt.seed) q
+    GROUP BY seed, step, w0, w1) s WHERE step < 25),
+tests AS (SELECT p.* REPLACE (LEAST(GREATEST(1.0E0 / (1.0E0 + EXP(-(f.w0 + f.w1 * nota))), 0.000001E0), 0.999999E0) AS p_cal)
+  FROM parts p JOIN (SELECT * FROM newton WHERE step = 25) f ON f.seed = p.seed WHERE split = 'test')"""
+
+
+def runs_sql(mode: str, by: str = "seed", budgets: list[int] | None = None, source: str = "tests", cfp: str | None = None) -> str:
+    """One mode's runs over ``tests`` as a query: counts and qualities per group and budget."""
+    m, limits = SETTINGS.mode(mode), budgets or [SETTINGS.budget(mode)]
+    steps = triage_sql(source, m.false_positive, m.false_negative, m.review, m.min_auto_match, m.max_auto_nonmatch, 0, by)
+    if cfp:
+        steps = steps.replace(f"* {m.false_positive!r}E0", f"* {cfp}")
+    bb = E.mode_beta(mode) ** 2
+    return f"""(WITH {steps},
+acted AS (SELECT p.*, llm_max, CASE WHEN review_rank <= llm_max THEN 'LLM_REVIEW' WHEN guardrail = 'ALWAYS_MATCH' THEN 'MATCH'
+  WHEN guardrail = 'ALWAYS_NONMATCH' THEN 'NONMATCH' ELSE base_choice END AS action FROM picked p, (SELECT UNNEST({limits}) AS llm_max) b),
+counted AS (SELECT {by}, llm_max, COUNT(*) AS n_test, CAST(SUM(target) AS BIGINT) AS pos_test,
+  CAST(SUM(CASE WHEN review_requested THEN 1 ELSE 0 END) AS BIGINT) AS review_requested,
+  CAST(SUM(CASE WHEN action = 'LLM_REVIEW' THEN 1 ELSE 0 END) AS BIGINT) AS review_selected,
+  CAST(SUM(CASE WHEN action = 'MATCH' AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS auto_tp,
+  CAST(SUM(CASE WHEN action <> 'NONMATCH' AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS oracle_tp, {EXPECTED_SQL} FROM acted GROUP BY {by}, llm_max)
+SELECT '{mode}' AS mode, *, CAST(n_test - review_selected AS DOUBLE) / n_test AS auto_coverage,
+  COALESCE(exp_tp / NULLIF(exp_tp + exp_fp, 0), 0) AS exp_precision, COALESCE(exp_tp / NULLIF(exp_tp + exp_fn, 0), 0) AS exp_recall,
+  COALESCE(2 * exp_tp / NULLIF(2 * exp_tp + exp_fn + exp_fp, 0), 0) AS exp_f1,
+  COALESCE({1 + bb} * exp_tp / NULLIF({1 + bb} * exp_tp + {bb} * exp_fn + exp_fp, 0), 0) AS exp_fbeta FROM counted)"""
+
+
+def all_modes_sql(**options) -> str:
+    return "runs AS (" + " UNION ALL ".join(runs_sql(mode, **options) for mode in SETTINGS.modes) + ")"
+
+
 _X = """CAST(SUM(CASE WHEN action = '{auto}' AND target = {y} THEN 1 WHEN action = 'LLM_REVIEW' AND target = {y} THEN {share} ELSE 0 END) AS DOUBLE)"""
 EXPECTED_SQL = ", ".join([
     _X.format(auto="MATCH", y=1, share="1 - e_fn") + " AS exp_tp", _X.format(auto="MATCH", y=0, share="e_fp") + " AS exp_fp",
     _X.format(auto="NONMATCH", y=1, share="e_fn") + " AS exp_fn", _X.format(auto="NONMATCH", y=0, share="1 - e_fp") + " AS exp_tn"])
 
 
-def evaluation_columns(df, by=()):
-    out = df.select(*by, "seed", "llm_max", "n_test", "pos_test", "review_requested", "review_selected", "auto_coverage",
-                    "auto_tp", "oracle_tp", "exp_tp", "exp_fp", "exp_fn", "exp_tn", "exp_precision", "exp_recall", "exp_fbeta")
-    return round_all(out, ["auto_coverage", "exp_tp", "exp_fp", "exp_fn", "exp_tn", "exp_precision", "exp_recall", "exp_fbeta"])
+_ROUNDED = ["auto_coverage", "exp_tp", "exp_fp", "exp_fn", "exp_tn", "exp_precision", "exp_recall", "exp_fbeta"]
 
 
-def _eval_sql(budgets: list[int]) -> str:
-    limit = "(SELECT UNNEST([" + ", ".join(map(str, budgets)) + "]) AS llm_max)"
-    return f"""{EVAL_SQL} {triage_sql('tests', by='seed', budget=0)},
-acted AS (SELECT p.*, llm_max, CASE WHEN review_rank <= llm_max THEN 'LLM_REVIEW'
-  WHEN guardrail = 'ALWAYS_MATCH' THEN 'MATCH' WHEN guardrail = 'ALWAYS_NONMATCH' THEN 'NONMATCH' ELSE base_choice END AS action
-  FROM picked p, {limit} b),
-runs AS (SELECT seed, llm_max, COUNT(*) AS n_test, CAST(SUM(target) AS BIGINT) AS pos_test,
-  CAST(SUM(CASE WHEN review_requested THEN 1 ELSE 0 END) AS BIGINT) AS review_requested,
-  CAST(SUM(CASE WHEN action = 'LLM_REVIEW' THEN 1 ELSE 0 END) AS BIGINT) AS review_selected,
-  CAST(SUM(CASE WHEN action = 'MATCH' AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS auto_tp,
-  CAST(SUM(CASE WHEN action <> 'NONMATCH' AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS oracle_tp, {EXPECTED_SQL}
-FROM acted GROUP BY seed, llm_max)"""
+def evaluation_columns(df, by=("mode",)):
+    out = df.select(*by, "seed", "llm_max", "n_test", "pos_test", "review_requested", "review_selected", "auto_tp", "oracle_tp", *_ROUNDED)
+    return round_all(out, _ROUNDED)
+
+
+def evaluation_columns_sql(by: str = "mode") -> str:
+    return f"SELECT {by}, seed, llm_max, n_test, pos_test, review_requested, review_selected, auto_tp, oracle_tp, " + ", ".join(
+        f"ROUND({c}, 6) AS {c}" for c in _ROUNDED) + " FROM runs"
+
 
+_POINTS = ["exp_precision_mean", "exp_recall_mean", "exp_f1_mean", "exp_f1_std", "llm_used_mean"]
 
-@register("evaluation_runs", f"""{_eval_sql([2000])}
-SELECT seed, llm_max, n_test, pos_test, review_requested, review_selected, ROUND(CAST(n_test - review_selected AS DOUBLE) / n_test, 6) AS auto_coverage,
-  auto_tp, oracle_tp, ROUND(exp_tp, 6) AS exp_tp, ROUND(exp_fp, 6) AS exp_fp, ROUND(exp_fn, 6) AS exp_fn, ROUND(exp_tn, 6) AS exp_tn,
-  ROUND(exp_tp / (exp_tp + exp_fp), 6) AS exp_precision, ROUND(exp_tp / (exp_tp + exp_fn), 6) AS exp_recall,
-  ROUND(5 * exp_tp / (5 * exp_tp + 4 * exp_fn + exp_fp), 6) AS exp_fbeta FROM runs""")
+
+def points_sql(by: str) -> str:
+    return f"""SELECT {by}, ROUND(AVG(exp_precision), 6) AS exp_precision_mean, ROUND(AVG(exp_recall), 6) AS exp_recall_mean, ROUND(AVG(exp_f1), 6) AS exp_f1_mean,
+  ROUND(STDDEV_SAMP(exp_f1), 6) AS exp_f1_std, ROUND(AVG(review_selected), 6) AS llm_used_mean, COUNT(*) AS n_runs FROM runs GROUP BY {by}"""
+
+
+def points(records, by):
+    return round_all(E.mean_points(records, by).select(*by, *_POINTS, "n_runs"), _POINTS)
+
+
+@register("evaluation_runs", f"{eval_sql()}, {all_modes_sql()} {evaluation_columns_sql()}")
 def evaluation_runs(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
-    runs = E.evaluate(base, SETTINGS, "k", ["vigilancia"], SEEDS, 0.3, "row", "stub")
-    return evaluation_columns(runs)
+    return evaluation_columns(E.evaluate(base, SETTINGS, "k"))
 
 
 BUDGETS = [0, 50, 100, 200, 500, 1000, 2000, 5000]
 
 
-@register("budget_sensitivity", f"""{_eval_sql(BUDGETS)}, r AS (SELECT llm_max, exp_tp / (exp_tp + exp_fp) AS p, exp_tp / (exp_tp + exp_fn) AS r,
-  2 * exp_tp / (2 * exp_tp + exp_fn + exp_fp) AS f, review_selected FROM runs)
-SELECT llm_max, ROUND(AVG(p), 6) AS exp_precision_mean, ROUND(AVG(r), 6) AS exp_recall_mean, ROUND(AVG(f), 6) AS exp_f1_mean,
-  ROUND(STDDEV_SAMP(f), 6) AS exp_f1_std, ROUND(AVG(review_selected), 6) AS llm_used_mean, COUNT(*) AS n_runs FROM r GROUP BY llm_max""")
+@register("budget_sensitivity", f"{eval_sql()}, {all_modes_sql(budgets=BUDGETS)} {points_sql('mode, llm_max')}")
 def budget_sensitivity(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
-    runs = E.evaluate(base, SETTINGS, "k", ["vigilancia"], SEEDS, 0.3, "row", "stub", budgets=BUDGETS)
-    out = E.mean_points(runs, ["llm_max"]).select(
-        "llm_max", "exp_precision_mean", "exp_recall_mean", "exp_f1_mean", "exp_f1_std", "llm_used_mean", "n_runs")
-    return round_all(out, ["exp_precision_mean", "exp_recall_mean", "exp_f1_mean", "exp_f1_std", "llm_used_mean"])
+    return points(E.evaluate(base, SETTINGS, "k", budgets=BUDGETS), ["mode", "llm_max"])
 
 
 RATIOS = [0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0]
 
 
-@register("cost_ratio_sensitivity")
+def _ratio_sql() -> str:
+    rows = f"varied AS (SELECT t.*, fp_fn_ratio FROM tests t, (SELECT CAST(UNNEST({RATIOS}) AS DOUBLE) AS fp_fn_ratio) r)"
+    parts = " UNION ALL ".join(
+        runs_sql(mode, "seed, fp_fn_ratio", source="varied", cfp=f"(fp_fn_ratio * {SETTINGS.mode(mode).false_negative!r}E0)") for mode in SETTINGS.modes)
+    return f"{eval_sql()}, {rows}, runs AS ({parts}) {points_sql('fp_fn_ratio, mode')}"
+
+
+@register("cost_ratio_sensitivity", _ratio_sql())
 def cost_ratio_sensitivity(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
     ev, records = SETTINGS.evaluation, None
@@ -573,13 +624,35 @@ def cost_ratio_sensitivity(spark, sf_dir):
     for mode in SETTINGS.modes:
         record = E.cost_sensitivity(rows, SETTINGS, "k", mode, RATIOS)
         records = record if records is None else records.unionByName(record)
-    return E.mean_points(records, ["fp_fn_ratio", "mode"])
+    return points(records, ["fp_fn_ratio", "mode"])
 
 
-@register("platt_evaluation")
+@register("platt_evaluation", f"{eval_sql(split_by='comprec')}, {all_modes_sql()} {evaluation_columns_sql()}")
 def platt_evaluation(spark, sf_dir):
+    """Evaluation with left records held out as groups."""
+    base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
+    return evaluation_columns(E.evaluate(base, SETTINGS, "k", split_by="comprec"))
+
+
+def _ablation_sql() -> str:
+    platt = eval_sql()
+    stub = "LEAST(GREATEST(nota / 10, 0.000001E0), 0.999999E0)"
+    rows = f"""varied AS (SELECT t.* REPLACE (CASE WHEN calibration = 'stub' THEN {stub} ELSE p_cal END AS p_cal, CASE WHEN guardrails THEN guardrail END AS guardrail),
+  calibration, birth_distance, guardrails FROM tests t, (SELECT UNNEST(['stub', 'platt']) AS calibration) c, (SELECT UNNEST([TRUE, FALSE]) AS birth_distance) b, (SELECT UNNEST([TRUE, FALSE]) AS guardrails) g)"""
+    by = "seed, calibration, birth_distance, guardrails"
+    return f"{platt}, {rows}, {all_modes_sql(by=by, source='varied')} {evaluation_columns_sql('mode, calibration, birth_distance, guardrails')}"
+
+
+@register("component_ablation", _ablation_sql())
+def component_ablation(spark, sf_dir):
+    records = E.ablation(pairs(spark, sf_dir), SETTINGS, "k")
+    return evaluation_columns(records, ["mode", "calibration", "birth_distance", "guardrails"])
+
+
+@register("repeated_holdout", f"{eval_sql(seeds=[42, 43, 44, 45, 46], share=0.2)}, runs AS {runs_sql('vigilancia')} {evaluation_columns_sql()}")
+def repeated_holdout(spark, sf_dir):
     base = prepare(pairs(spark, sf_dir), SETTINGS, birth_distance=False)
-    return evaluation_columns(E.evaluate(base, SETTINGS, "k", split_by="comprec"), ["mode"])
+    return evaluation_columns(E.repeated_holdout(base, SETTINGS, "k", "vigilancia"))
 
 
 @register("run_spread", f"""{SCORED_SQL}, r AS (SELECT passo, situence, AVG(p) AS m FROM scored GROUP BY passo, situence)
