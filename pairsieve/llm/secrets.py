@@ -3,8 +3,8 @@
 Positions come from cutting the text at its matches: what lies between them and the matches
 themselves, added up, give every start.  Candidate strings for the entropy scan are maximal runs
 of one character class; a window moves over each, its symbol counts and the sum of c log c are
-updated by the symbol that enters and the one that leaves, and the stretch covered by windows of
-high entropy is a span unless the allow-list knows the string.
+updated by the symbol that enters and the one that leaves.  A window of high entropy counts unless
+it holds a string of the allow-list or touches a base span; windows that overlap make one span.
 """
 
 from __future__ import annotations
@@ -93,8 +93,15 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
     return F.when(F.regexp_like(text, F.lit(pattern)), spans_of.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def hot_stretch(value: Column, cls: CharacterClass) -> Column:
-    """(first, last): where the windows of high entropy begin and end in the string, else nulls."""
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def hot_stretches(value: Column, cls: CharacterClass, allowed: Column, taken: Column) -> Column:
+    """(start, end) of what windows of high entropy cover in the string.
+
+    ``allowed`` are the places of strings known not to be secrets, ``taken`` places found already,
+    both within the string: no window may hold one of the former or touch one of the latter.
+    """
     size = cls.window
     log = lambda c: c * F.log2(F.greatest(c, F.lit(1)))
     text = F.lower(value) if cls.kind == "entropy_hex" else value
@@ -104,8 +111,7 @@ def hot_stretch(value: Column, cls: CharacterClass) -> Column:
         leaving = F.concat(F.array_repeat(F.lit(-1), size), symbols)
         moves = F.slice(F.zip_with(symbols, leaving, lambda a, b: F.struct(a.alias("new"), b.alias("old"))), F.lit(1), F.size(symbols))
         start = F.struct(
-            F.array_repeat(F.lit(0), count).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"),
-            F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+            F.array_repeat(F.lit(0), count).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
         def move(s: Column, x: Column) -> Column:
             enter = F.get(s["counts"], x["new"])
@@ -116,59 +122,64 @@ def hot_stretch(value: Column, cls: CharacterClass) -> Column:
 
             def close(t: Column) -> Column:
                 high = (at >= size) & (F.lit(math.log2(size)) - t / size >= cls.bits - 1e-9)
-                return F.struct(
-                    counts.alias("counts"), t.alias("sum"), at.alias("at"),
-                    F.coalesce(s["first"], F.when(high, at - size)).alias("first"),
-                    F.when(high, at).otherwise(s["last"]).alias("last"))
+                known = F.exists(allowed, lambda m: (m["start"] >= at - size) & (m["end"] <= at))
+                found = F.exists(taken, lambda b: (b["start"] < at) & (b["end"] > at - size))
+                last = F.element_at(s["found"], -1)
+                goes_on = (F.size(s["found"]) > 0) & (F.get(s["found"], F.size(s["found"]) - 1)["end"] >= at - size)
+                grown = F.when(goes_on, F.concat(
+                    F.slice(s["found"], F.lit(1), F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), at.alias("end"))))
+                ).otherwise(F.concat(s["found"], F.array(F.struct((at - size).alias("start"), at.alias("end")))))
+                return F.struct(counts.alias("counts"), t.alias("sum"), at.alias("at"),
+                                F.when(high & ~known & ~found, grown).otherwise(s["found"]).cast(SPANS).alias("found"))
 
             return let(total, close)
 
-        return F.aggregate(moves, start, move, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        return F.aggregate(moves, start, move, lambda s: s["found"])
 
     return let(F.transform(F.split(text, "", -1), lambda c: F.position(c, F.lit(cls.alphabet)) - 1), scan)
 
 
-def entropy_spans(text: Column, cls: CharacterClass, allowed: str = ALLOWED) -> Column:
-    """(start, end) of high-entropy stretches in the class's candidate strings."""
+def entropy_spans(text: Column, cls: CharacterClass, base: Column, allowed: str = ALLOWED) -> Column:
+    """(start, end) of high-entropy stretches in the class's candidate strings, clear of the base spans."""
     def wanted(value: Column) -> Column:
-        ok = ~F.regexp_like(value, F.lit(allowed))
+        ok = F.lit(True)
         for need in cls.holds:
             ok = ok & F.regexp_like(value, F.lit(need))
         return ok
 
-    hot = F.transform(spans(text, cls.run, wanted), lambda s: let(hot_stretch(s["value"], cls), lambda h: F.struct(
-        (s["start"] + h["first"]).alias("start"), (s["start"] + h["last"]).alias("end"))))
-    return F.filter(hot, lambda s: s["start"].isNotNull())
+    def stretches(s: Column) -> Column:
+        inside = F.transform(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+                             lambda b: F.struct((b["start"] - s["start"]).alias("start"), (b["end"] - s["start"]).alias("end")))
+        hot = let(F.struct(spans(s["value"], allowed).alias("allowed"), inside.alias("taken")),
+                  lambda known: hot_stretches(s["value"], cls, known["allowed"], known["taken"]))
+        return F.transform(hot, lambda h: F.struct((s["start"] + h["start"]).alias("start"), (s["start"] + h["end"]).alias("end")))
+
+    return F.flatten(F.transform(spans(text, cls.run, wanted), stretches))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", allowed: str = ALLOWED) -> DataFrame:
     """One row per row of ``docs``: ids, counts, the digest of the base spans, and all spans.
 
     Spans are kind:start:end in code points with an exclusive end, by start, then by the order of
-    kinds, comma-joined.  Entropy spans that touch a base span are left out, since that place is
-    found already.  Null or empty text has none.
+    kinds, comma-joined.  Entropy spans never touch a base span.  Null or empty text has none, a
+    null id stays null, repeated rows are scanned one by one, an empty table gives no rows, and
+    other columns are not read.  A very long text is scanned whole, in one task: matches are
+    placed by running totals in blocks, windows by one pass.
     """
-    body = F.col("body")
-    frame = docs.select(ref(doc_id).alias("doc_id"), text_of(text).alias("body")).select(
-        "doc_id",
-        spans(body, ASSIGN, lambda v: F.length(v) >= ASSIGN_VALUE, 2).alias("assign"),
-        spans(body, ACCESS).alias("access"), spans(body, HEX).alias("hex"),
-        *[entropy_spans(body, c, allowed).alias(c.kind) for c in CLASSES],
-    )
-
-    def ranked(name: str, rank: int, of: Column | None = None) -> Column:
-        return F.transform(F.col(name) if of is None else of, lambda s: F.struct(
+    def ranked(of: Column, name: str, rank: int) -> Column:
+        return F.transform(of, lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(name).alias("kind")))
 
-    base = F.array_sort(F.concat(ranked("assign", 0), ranked("access", 1), ranked("hex", 2)))
-
-    def fresh(name: str) -> Column:
-        return F.filter(F.col(name), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    def found(t: Column) -> Column:
+        kinds = F.struct(spans(t, ASSIGN, lambda v: F.length(v) >= ASSIGN_VALUE, 2).alias("assign"), spans(t, ACCESS).alias("access"), spans(t, HEX).alias("hex"))
+        return let(kinds, lambda k: let(
+            F.array_sort(F.concat(*[ranked(k[name], name, i) for i, name in enumerate(("assign", "access", "hex"))])),
+            lambda base: F.struct(
+                *[F.size(k[name]).cast("long").alias(f"n_{name}") for name in ("assign", "access", "hex")], base.alias("base"),
+                F.concat(*[ranked(entropy_spans(t, c, base, allowed), c.kind, 3 + i) for i, c in enumerate(CLASSES)]).alias("added"))))
 
-    added = [ranked(c.kind, 3 + i, fresh(c.kind)) for i, c in enumerate(CLASSES)]
+    frame = docs.select(ref(doc_id).alias("doc_id"), let(text_of(text), found).alias("found"))
     joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return frame.withColumn("base", base).select(
-        "doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"),
-        F.size("hex").cast("long").alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat(F.col("base"), *added))).alias("spans"),
-    )
+    return frame.select(
+        "doc_id", "found.n_assign", "found.n_access", "found.n_hex", F.sha2(joined(F.col("found.base")), 256).alias("base_sha256"),
+        joined(F.array_sort(F.concat("found.base", "found.added"))).alias("spans"))

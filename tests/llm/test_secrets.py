@@ -26,14 +26,22 @@ def plain(text):
     for cls in CLASSES:
         for m in re.finditer(RUNS[cls.kind], text):
             value = m[0]
-            if re.search(ALLOWED, value) or not all(re.search(h, value) for h in cls.holds):
+            if not all(re.search(h, value) for h in cls.holds):
                 continue
             folded = value.lower() if cls.kind == "entropy_hex" else value
-            hits = [i for i in range(len(value) - cls.window + 1) if entropy(folded[i:i + cls.window]) >= cls.bits - 1e-9]
-            if hits:
-                start, end = m.start() + hits[0], m.start() + hits[-1] + cls.window
-                if not any(s < end and start < e for _, s, e in base):
-                    more.append((cls.kind, start, end))
+            known = [a.span() for a in re.finditer(ALLOWED, value)]
+            stretches = []
+            for i in range(len(value) - cls.window + 1):
+                end, at = i + cls.window, m.start() + i
+                if entropy(folded[i:end]) < cls.bits - 1e-9 or any(i <= s and e <= end for s, e in known):
+                    continue
+                if any(s < at + cls.window and at < e for _, s, e in base):
+                    continue
+                if stretches and stretches[-1][1] >= i:
+                    stretches[-1][1] = end
+                else:
+                    stretches.append([i, end])
+            more += [(cls.kind, m.start() + s, m.start() + e) for s, e in stretches]
     key = lambda s: (s[1], ORDER.index(s[0]))
     join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=key))
     count = Counter(k for k, _, _ in base)
@@ -64,3 +72,20 @@ def test_spans(spark):
     assert got == {i: plain(t) for i, t, *_ in data}
     assert any("entropy_base64" in g[4] for g in got.values()) and any("entropy_hex" in g[4] for g in got.values())
     assert find_secrets(docs.filter("doc_id < 0")).count() == 0
+
+
+KEY = "wJa3rXU5nFE9I8K7M2ENG6bPxRfi4CYzQk1LdV0t"
+
+
+def test_allow_list_and_base_spans_hide_no_key(spark):
+    """A sample's name or an access id in the same run takes away its own windows only."""
+    rows = [(0, f"key=/example/{KEY}"), (1, f"at /data/kubernetes/{KEY}"), (2, "AKIA" + "QWERTYUIOP123456" + "/" + KEY), (3, "sample-" * 9), (4, f"{KEY}/example/{KEY[::-1]}")]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: plain(t)[4] for i, t in rows}
+    for i, text in rows:
+        if i != 3:
+            spans = [s.split(":") for s in got[i].split(",")]
+            covered = [(int(a), int(b)) for kind, a, b in spans if kind.startswith("entropy")]
+            at = text.index(KEY)
+            assert any(a <= at + 8 and b >= at + len(KEY) for a, b in covered), (i, got[i])
+    assert got[2].startswith("access:0:20") and got[3] == ""
