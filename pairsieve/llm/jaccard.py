@@ -52,8 +52,10 @@ SMALL = 128
 #: Members compared with one copy of their leader, and sets per side of a cell.
 GROUP = 512
 CELL = 1024
-#: Shingles in a place, on average, whatever the number of sets.
-CELL_SHINGLES = 1 << 20
+#: Shingles per side of a place, on average, whatever the number of sets.
+CELL_SHINGLES = 1 << 18
+#: Bytes of text that are shingled at once.
+TEXT_BYTES = 1 << 20
 #: Documents on one prefix shingle up to which they are paired, and up to which it comes first.
 FEW = 64
 _FACTORS = np.random.default_rng(8).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,7 +206,7 @@ def _shingled(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     region, or all of them if the set is small."""
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for batch in portions(batches, 1):
+        for batch in portions(batches, 1, TEXT_BYTES):
             sizes, digests, lists = [], [], []
             for own in shingle_sets(batch.column(1), width):
                 sizes.append(len(own))
@@ -244,7 +246,7 @@ def _sets_of(docs: DataFrame, text: str, keys: DataFrame, width: int, name: str)
     texts = passed.groupBy("key", "text").agg(F.lit(1).alias("one")).drop("one").join(keys, "key", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 1):
+        for batch in portions(batches, 1, TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(shingle_sets(batch.column(1), width))], ["key", "tokens"])
 
     return keep(texts.select("key", "text").mapInArrow(shingle, "key binary, tokens array<long>"), name)
