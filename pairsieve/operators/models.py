@@ -6,7 +6,12 @@ Training rows carry ``id``, ``features`` (vector), ``y`` and an optional ``weigh
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -16,7 +21,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
 from pairsieve import columns as C
@@ -26,9 +31,9 @@ from pairsieve.operators.calibrate import Platt, fit_platt, sigmoid
 from pairsieve.operators.histograms import ranking_quality
 from pairsieve.operators.metrics import add_rates, confusion
 from pairsieve.operators.ranking import rank_by_hash
-from pairsieve.operators.resample import balanced_weights
+from pairsieve.operators.resample import adasyn, balanced_weights, borderline_smote, fixed_weight, smote, smote_tomek
 from pairsieve.operators.split import stratified_folds
-from pairsieve.session import materialise
+from pairsieve.session import materialise, small_table
 
 # Columns that describe or decide a pair and must not train on it.
 NOT_FEATURES = {
@@ -101,6 +106,36 @@ def median_filled(features: list[str], estimator) -> Pipeline:
     ])
 
 
+#: Fits that run at the same time; each is a Spark job of its own.
+PARALLEL = 4
+
+
+@dataclass(frozen=True)
+class Failed:
+    """What a job that did not end well leaves behind."""
+
+    error: str
+
+
+def run_all(jobs: dict[Any, Callable[[], Any]], parallel: int = PARALLEL, tolerate: bool = False) -> dict[Any, Any]:
+    """The results of independent jobs by name, several at a time.
+
+    With ``tolerate`` a job that raises leaves a ``Failed`` and the others go on; without it the
+    first error is raised once the running jobs have ended.
+    """
+    def safely(job: Callable[[], Any]) -> Any:
+        try:
+            return job()
+        except Exception as error:  # a job's failure is its result
+            if not tolerate:
+                raise
+            return Failed(str(error).strip().splitlines()[0][:300] if str(error).strip() else type(error).__name__)
+
+    with ThreadPoolExecutor(max(1, min(parallel, len(jobs) or 1))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(safely), job) for name, job in jobs.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 @dataclass
 class CalibratedForest:
     """Balanced random forest with cross-fitted logistic calibration, averaged over the folds."""
@@ -117,11 +152,13 @@ class CalibratedForest:
         rows = assemble(df.withColumn("y", ref(label).cast("double")), self.features, [key, "y"])
         rows = stratified_folds(balanced_weights(rows, "y"), "y", key, self.folds, self.seed).persist()
         try:
-            self.members = []
-            for fold in range(self.folds):
+            def member(fold: int):
                 model = forest(self.trees, self.depth, self.seed).fit(rows.filter(F.col("fold") != fold))
                 held = scored(model, rows.filter(F.col("fold") == fold))
-                self.members.append((model, fit_platt(held, "p", "y", Calibration())[()]))
+                return model, fit_platt(held, "p", "y", Calibration())[()]
+
+            found = run_all({fold: (lambda fold=fold: member(fold)) for fold in range(self.folds)})
+            self.members = [found[fold] for fold in range(self.folds)]
         finally:
             rows.unpersist()
         return self
@@ -157,11 +194,17 @@ class CalibratedForest:
 def isotonic_forest(rows: DataFrame, test: DataFrame, estimator, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Test probabilities averaged over folds, each calibrated by isotonic regression."""
     split = stratified_folds(rows, "y", key, folds, seed).persist()
-    out = test
-    for fold in range(folds):
+
+    def member(fold: int):
         model = estimator.fit(split.filter(F.col("fold") != fold))
         held = scored(model, split.filter(F.col("fold") == fold), "_raw")
-        curve = IsotonicRegression(labelCol="y", featuresCol="_raw", predictionCol="_cal").fit(held)
+        return model, IsotonicRegression(labelCol="y", featuresCol="_raw", predictionCol="_cal").fit(held)
+
+    members = run_all({fold: (lambda fold=fold: member(fold)) for fold in range(folds)})
+    split.unpersist()
+    out = test
+    for fold in range(folds):
+        model, curve = members[fold]
         out = curve.transform(scored(model, out, "_raw")).withColumnRenamed("_cal", f"_c{fold}").drop("_raw")
     mean = sum([F.col(f"_c{i}") for i in range(1, folds)], F.col("_c0")) / folds
     return out.withColumn("p", mean).drop(*[f"_c{i}" for i in range(folds)])
@@ -245,29 +288,39 @@ def hybrid(p: Column, rules: Column, how: str = "and", p_at: float = 0.5, rule_a
 
 def stack(rows: DataFrame, test: DataFrame, estimators: dict, key: str, folds: int = 5, passthrough: bool = True,
           seed: int = 42, l2: float = 0.0) -> DataFrame:
-    """Out-of-fold base probabilities train a logistic model that scores the test rows."""
-    split = stratified_folds(rows, "y", key, folds, seed).persist()
-    held = None
-    for fold in range(folds):
-        part = split.filter(F.col("fold") == fold)
-        for name, estimator in estimators.items():
-            part = scored(estimator.fit(split.filter(F.col("fold") != fold)), part, f"_{name}")
-        held = part if held is None else held.unionByName(part)
+    """Out-of-fold base probabilities train a logistic model that scores the test rows.
+
+    All base fits, those of the folds and those on all rows, are independent and run several at a
+    time.  The out-of-fold scores of a fold are written as soon as its models are there, so the
+    meta-model reads a table and repeats no fit.
+    """
+    split = materialise(stratified_folds(rows, "y", key, folds, seed))
+    jobs = {}
     for name, estimator in estimators.items():
-        test = scored(estimator.fit(rows), test, f"_{name}")
-    base = [f"_{n}" for n in estimators]
-    inputs = base + (["features"] if passthrough else [])
-    held = held.persist()
+        jobs[name, None] = lambda e=estimator: e.fit(split)
+        for fold in range(folds):
+            jobs[name, fold] = lambda e=estimator, f=fold: e.fit(split.filter(F.col("fold") != f))
+    models = run_all(jobs)
+
+    def out_of_fold(fold: int) -> DataFrame:
+        part = split.filter(F.col("fold") == fold)
+        for name in estimators:
+            part = scored(models[name, fold], part, f"_{name}")
+        return materialise(part)
+
+    parts = run_all({fold: (lambda fold=fold: out_of_fold(fold)) for fold in range(folds)})
+    held = parts[0]
+    for fold in range(1, folds):
+        held = held.unionByName(parts[fold])
+    for name in estimators:
+        test = scored(models[name, None], test, f"_{name}")
+    inputs = [f"_{n}" for n in estimators] + (["features"] if passthrough else [])
     meta = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_meta"), logistic(l2, column="_meta")]).fit(held)
-    held.unpersist()
-    split.unpersist()
     return scored(meta, test, "p").drop("_meta")
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
     """Impurity importance per feature."""
-    from pairsieve.session import small_table
-
     values = model.featureImportances.toArray().tolist()
     return small_table(spark, list(zip(features, map(float, values))), "feature string, importance double")
 
@@ -305,16 +358,90 @@ def permutation_importance(model, df: DataFrame, key: str, n_features: int, name
         "feature", (F.lit(base) - F.col("average_precision")).alias("importance"))
 
 
-def fold_study(rows: DataFrame, key: str, builders: dict, folds: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
-    """Counts and rates per model and fold; ``builders`` map a name to train -> scorer."""
-    split = stratified_folds(rows, "y", key, folds, seed).persist()
+def fold_study(
+    rows: DataFrame, key: str, builders: dict, configurations: dict[str, Column] | None = None, folds: int = 5, seed: int = 42,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Counts and rates per configuration and fold.
+
+    ``builders`` map a model's name to train -> scorer, a scorer adds ``p``.  ``configurations``
+    name a decision (a column of ``rows`` and of the models' probabilities ``p_<name>``); without
+    any, every model decides at ``threshold``.  A model is fitted once per fold, several at a
+    time, whatever the number of configurations that use it, and a fold's rows are scored and
+    counted for all of them at once.
+    """
+    chosen = configurations or {name: F.col(f"p_{name}") >= threshold for name in builders}
+    split = materialise(stratified_folds(rows, "y", key, folds, seed))
+    fits = run_all({(n, f): (lambda n=n, f=f: builders[n](split.filter(F.col("fold") != f))) for n in builders for f in range(folds)})
+
+    def counted(fold: int) -> list[tuple]:
+        tested = split.filter(F.col("fold") == fold)
+        for name in builders:
+            tested = fits[name, fold](tested).withColumnRenamed("p", f"p_{name}")
+        listed = F.array(*[F.struct(F.lit(n).alias("model"), c.cast("int").alias("hit")) for n, c in chosen.items()])
+        cells = confusion(tested.select("y", F.explode(listed).alias("m")).select("y", "m.model", "m.hit"), "y", "hit", ["model"])
+        return [(r["model"], fold, r["tp"], r["fp"], r["fn"], r["tn"]) for r in cells.collect()]  # a row per configuration
+
+    found = run_all({fold: (lambda fold=fold: counted(fold)) for fold in range(folds)})
+    table = [row for fold in range(folds) for row in found[fold]]
+    return add_rates(small_table(rows.sparkSession, table, "model string, fold int, tp long, fp long, fn long, tn long"))
+
+
+#: The strategies of the imbalance study: how training rows are grown, and whether classes are weighted.
+STRATEGIES: dict[str, tuple[Callable[[DataFrame], DataFrame] | None, bool]] = {
+    "none": (None, False),
+    "class weight": (None, True),
+    "smote 0.3": (lambda rows: smote(rows, 0.3, 3), False),
+    "smote 0.5": (lambda rows: smote(rows, 0.5, 3), False),
+    "smote 1.0": (lambda rows: smote(rows, 1.0, 3), False),
+    "borderline smote 0.3": (lambda rows: borderline_smote(rows, 0.3, 3), False),
+    "adasyn 0.3": (lambda rows: adasyn(rows, 0.3, 3), False),
+    "smote tomek 0.3": (lambda rows: smote_tomek(rows, 0.3, 3), False),
+    "class weight + smote 0.3": (lambda rows: smote(rows, 0.3, 3), True),
+}
+
+
+def imbalance_study(
+    rows: DataFrame, strategies: dict[str, tuple] | None = None, folds: int = 5, seed: int = 42, trees: int = 150, depth: int = 12,
+    threshold: float = 0.5, parallel: int = PARALLEL,
+) -> DataFrame:
+    """One row per strategy and fold of ``rows`` (``id, x, y``): sizes, counts and rates on the fold.
+
+    Each strategy and fold is a job of its own; they run several at a time.  One that fails, for
+    want of minority rows for instance, is recorded with its error and without counts, and the
+    others go on.
+    """
+    split = materialise(stratified_folds(rows.select("id", "x", F.col("y").cast("int").alias("y")), "y", "id", folds, seed))
+    chosen = STRATEGIES if strategies is None else strategies
+
+    def one(name: str, fold: int) -> tuple:
+        grow, weighted = chosen[name]
+        real = split.filter(F.col("fold") != fold).drop("fold")
+        grown = grow(real) if grow else real.withColumn("synthetic", F.lit(False))
+        vectors = materialise(grown.select(F.col("y").cast("double").alias("y"), "synthetic", array_to_vector("x").alias("features")))
+        vectors = balanced_weights(vectors, "y") if weighted else fixed_weight(vectors, "y", 1.0)
+        sizes = vectors.agg(F.count(F.when(~F.col("synthetic"), 1)), F.count(F.when(~F.col("synthetic") & (F.col("y") == 1), 1)),
+                            F.count(F.when(F.col("synthetic"), 1))).first()
+        model = forest(trees, depth, seed).fit(vectors)
+        tested = split.filter(F.col("fold") == fold).select(F.col("y").cast("double").alias("y"), array_to_vector("x").alias("features"))
+        hits = scored(model, tested).withColumn("hit", (F.col("p") >= threshold).cast("int"))
+        counts = confusion(hits, "y", "hit").first()
+        return (*sizes, *[counts[c] for c in ("tp", "fp", "fn", "tn")], None)
+
+    found = run_all({(n, f): (lambda n=n, f=f: one(n, f)) for n in chosen for f in range(folds)}, parallel, tolerate=True)
+    table = [(n, f, *(([None] * 7 + [r.error]) if isinstance(r, Failed) else r)) for (n, f), r in found.items()]
+    return add_rates(small_table(
+        rows.sparkSession, table,
+        "strategy string, fold int, real_rows long, real_positives long, synthetic_rows long, tp long, fp long, fn long, tn long, error string"))
+
+
+def union_importances(parts: dict[str, DataFrame]) -> DataFrame:
+    """Feature importances of several models with the model's name and each feature's rank in it."""
     out = None
-    for fold in range(folds):
-        train, test = split.filter(F.col("fold") != fold), split.filter(F.col("fold") == fold)
-        for name, build in builders.items():
-            p = build(train)(test).withColumn("hit", (F.col("p") >= threshold).cast("int"))
-            part = add_rates(confusion(p, "y", "hit")).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
-            out = part if out is None else out.unionByName(part)
+    for name, part in parts.items():
+        rank = F.row_number().over(W.partitionBy("model").orderBy(F.desc("importance"), "feature"))  # one row per feature
+        ranked = part.select("feature", "importance").withColumn("model", F.lit(name)).withColumn("rank", rank)
+        out = ranked if out is None else out.unionByName(ranked)
     return out
 
 

@@ -14,25 +14,32 @@ from pairsieve.functions.values import ref
 from pairsieve.session import materialise
 
 KEY_BINS_PER_E = 65_536
-# Value bins are stretches between this many quantiles of the distinct values.
-BINS = 1024
+# Bins follow the rows, about so many each, up to the most that are worth a lookup.
+ROWS_PER_BIN = 20_000
+MOST_BINS = 10_000
 
 
 def value_bin(rows: DataFrame, value: str, out: str = "_vb") -> DataFrame:
     """Add a monotone integer bin: how many quantiles of the column are not above the value.
 
     The quantiles come from the rows themselves, in one small aggregate, so every bin holds a
-    like share of them whatever their scale, and infinities are values like any other.
+    like share of them whatever their scale, and infinities are values like any other.  The same
+    aggregate counts the rows: twice as many rows make twice as many bins, up to ``MOST_BINS``.
     """
-    points = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    edges = rows.agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(ref(value).cast("double"), points, F.lit(8 * BINS)))).alias("edges")).scalar()
-    steps = F.array(*[F.lit(1 << i) for i in range(BINS.bit_length() - 1, -1, -1)])
+    # one literal instead of an expression per point
+    points = F.split(F.lit(",".join(str(i / MOST_BINS) for i in range(1, MOST_BINS))), ",").cast("array<double>")
+    facts = rows.agg(F.count("*").alias("n"), F.percentile_approx(ref(value).cast("double"), points, F.lit(8 * MOST_BINS)).alias("all"))
+    nth = F.greatest(F.lit(1), F.floor(F.lit(MOST_BINS * ROWS_PER_BIN) / F.greatest(F.col("n"), F.lit(1)))).alias("nth")
+    edges = F.array_sort(F.array_distinct(F.expr("filter(all, (x, i) -> (i + 1) % nth = 0)"))).alias("edges")
+    steps = F.expr("transform(sequence(cast(floor(log2(greatest(coalesce(size(edges), 0), 0) + 1)) as int), 0, -1), s -> shiftleft(1, s))").alias("steps")
+    bins = facts.select("all", nth).select(edges).select("edges", steps)
+    one = bins.select(F.struct("steps", "edges")).scalar()
 
     def climb(at: Column, step: Column) -> Column:
-        return F.when(F.get(F.col("_edges"), at + step - 1) <= ref(value), at + step).otherwise(at)
+        return F.when(F.get(F.col("_bins")["edges"], at + step - 1) <= ref(value), at + step).otherwise(at)
 
-    return rows.withColumn("_edges", edges).withColumn(out, F.aggregate(steps, F.lit(0), climb)).drop("_edges")
+    return rows.withColumn("_bins", one).withColumn(
+        out, F.coalesce(F.aggregate(F.col("_bins")["steps"], F.lit(0), climb), F.lit(0))).drop("_bins")
 
 
 def hashed(seed: int | str | Column, *keys: Column) -> Column:
@@ -52,12 +59,12 @@ def rank_by_hash(
 ) -> DataFrame:
     """Exact 1-based position of every row in the hashed order of its group.
 
-    One shuffle on (group, first three hex digits); the counts table has at most 4096 rows per
-    group.  ``size_out`` adds the group's row count.
+    One shuffle on (group, first hex digits); there are as many digits as leave about
+    ``ROWS_PER_BIN`` rows of the table with the same ones.  ``size_out`` adds the group's row count.
     """
-    hashed_rows = df.withColumn("_h", hashed(seed, ref(key))).withColumn(
-        "_hb", F.substring("_h", 1, 3)
-    )
+    rows = df.agg(F.count("*").alias("n")).scalar()
+    digits = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(rows, F.lit(1)) / ROWS_PER_BIN) / 4).cast("int")))
+    hashed_rows = df.withColumn("_h", hashed(seed, ref(key))).withColumn("_hb", F.substring(F.col("_h"), F.lit(1), digits))
     by = [*groups, "_hb"]
     per_bin = hashed_rows.groupBy(*[ref(c) for c in by]).agg(F.count("*").alias("_n"))
     group_window = W.partitionBy(*[ref(c) for c in groups]) if groups else W.partitionBy(F.lit(0))

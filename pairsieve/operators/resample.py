@@ -239,7 +239,7 @@ def without_tomek_links(rows: DataFrame) -> DataFrame:
     Every such pair holds a minority row, so only those and their partners are searched.
     """
     minority = rows.filter("y = 1")
-    first = neighbours(minority, rows, 1).filter("n_y = 0").select("id", "n_id")
+    first = materialise(neighbours(minority, rows, 1).filter("n_y = 0").select("id", "n_id"))
     partners = rows.join(first.select(F.col("n_id").alias("id")).distinct(), "id", "left_semi")
     back = neighbours(partners, rows, 1).select(F.col("id").alias("n_id"), F.col("n_id").alias("_back"))
     links = first.join(back, "n_id").filter(F.col("_back") == F.col("id"))
@@ -255,7 +255,7 @@ def smote_tomek(rows: DataFrame, ratio: float = 1.0, k: int = 5, seed: int = 42)
     """
     new, most = _grown(rows, ratio, k, seed)
     numbered = new.withColumn("id", -(F.col("id") * (most + 1) + F.col("copy")) - 1)
-    return without_tomek_links(_with_real(rows, numbered))
+    return without_tomek_links(materialise(_with_real(rows, numbered)))  # read many times there
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pairsieve import columns as C
@@ -12,8 +15,11 @@ from pairsieve.operators.features import model_features, rule_score
 from pairsieve.operators.histograms import ranking_quality
 from pairsieve.operators.metrics import add_rates, confusion, summarize_runs
 from pairsieve.operators.split import stratified_holdout
+from pairsieve.config import default_settings
 from pairsieve.plans.registry import register, table
-from pairsieve.plans.views import pairs
+from pairsieve.plans.run import decide
+from pairsieve.plans.views import FEATURES_SQL, pairs
+from pairsieve.session import checkpoint_folder, materialise
 
 
 def features(spark, sf_dir):
@@ -121,13 +127,16 @@ def forest_ranking_quality(spark, sf_dir):
 
 @register("ensemble_decisions")
 def ensemble_decisions(spark, sf_dir):
-    """Soft vote, unanimity, majority, cascade and rule hybrids over two models."""
+    """Soft vote, unanimity, majority, cascade and rule hybrids over four models."""
     train, test = training(spark, sf_dir)
-    both = L.scored(L.forest().fit(train), test, "a")
-    both = L.scored(L.boosted().fit(train), both, "b")
-    vote = L.soft_vote(both, ["a", "b"], [2.0, 1.0])
+    jobs = {"a": L.forest(), "b": L.boosted(), "c": L.scaled(L.logistic(weighted=True)), "d": L.perceptron(len(features(spark, sf_dir)))}
+    models = L.run_all({name: (lambda j=job: j.fit(train)) for name, job in jobs.items()})
+    both, names = test, list(jobs)
+    for name in names:
+        both = L.scored(models[name], both, name)
+    vote = L.soft_vote(both, names, [2.0, 1.0, 1.0, 1.0])
     picks = {
-        "soft vote": (vote >= 0.15).cast("int"), "unanimity": L.unanimity(["a", "b"])[0], "majority": L.majority(["a", "b"], 0.5),
+        "soft vote": (vote >= 0.15).cast("int"), "unanimity": L.unanimity(names)[0], "majority": L.majority(names, 0.5),
         "cascade": L.cascade(F.col("a"), F.col("b"))[0], "hybrid and": L.hybrid(vote, F.col("rules"), "and")[0],
         "hybrid or": L.hybrid(vote, F.col("rules"), "or")[0],
     }
@@ -174,15 +183,120 @@ def importance_by_band(spark, sf_dir):
     return T.importance_pivot(long, [f"{a}+" if b is None else f"{a}-{b}" for a, b in T.REPORT_RANGES])
 
 
-@register("fold_study")
-def fold_study(spark, sf_dir):
-    """Three configurations over five folds of all rows, summarised."""
+def study_rows(spark, sf_dir):
+    """All pairs with features, class weight, rule score and the linkage score."""
     train, test = training(spark, sf_dir)
-    rows = train.unionByName(test).persist()
-    builders = {
-        "forest": lambda rows: (lambda t, m=L.forest().fit(rows): L.scored(m, t)),
-        "logistic": lambda rows: (lambda t, m=L.logistic(weighted=True).fit(rows): L.scored(m, t)),
-        "rules>=7": lambda rows: (lambda t: t.withColumn("p", (F.col("rules") >= 7).cast("double"))),
+    nota = pairs(spark, sf_dir).select("k", F.col("`nota final`").alias("nota"))
+    return train.unionByName(test).join(nota, "k")
+
+
+def grown_forest(ratio: float, k: int, trees: int, depth: int):
+    """A forest on rows grown by SMOTE."""
+    def build(train):
+        rows = train.select("id", vector_to_array("features").alias("x"), F.col("y").cast("int").alias("y"))
+        grown = K.smote(rows, ratio, k).select(F.col("y").cast("double").alias("y"), array_to_vector("x").alias("features"))
+        model = L.forest(trees, depth, weighted=False).fit(grown)
+        return lambda tested: L.scored(model, tested)
+    return build
+
+
+def fitted(estimator):
+    def build(train):
+        model = estimator.fit(train)
+        return lambda tested: L.scored(model, tested)
+    return build
+
+
+def configurations():
+    forest, boosted, rules, score = F.col("p_forest"), F.col("p_boosted"), F.col("rules"), F.col("nota")
+    return {
+        "forest+smote >= 0.5": forest >= 0.5, "boosted >= 0.5": boosted >= 0.5, "rules >= 7": rules >= 7,
+        "forest+smote >= 0.5 and rules >= 7": (forest >= 0.5) & (rules >= 7),
+        "boosted >= 0.6 and rules >= 6": (boosted >= 0.6) & (rules >= 6),
+        "forest+smote >= 0.7 or rules >= 8": (forest >= 0.7) | (rules >= 8), "score >= 8": score >= 8,
     }
-    runs = L.fold_study(rows, "k", builders)
+
+
+_FOLD_SQL = "CAST((ROW_NUMBER() OVER (PARTITION BY {y} ORDER BY MD5(CONCAT('42|', CAST({key} AS VARCHAR))), {key}) - 1) % 5 AS INT)"
+
+
+@register("fold_study", f"""WITH {FEATURES_SQL}, f AS (SELECT target, rules, nota, {_FOLD_SQL.format(y='target', key='k')} AS fold FROM features),
+c AS (SELECT *, UNNEST(['forest+smote >= 0.5', 'boosted >= 0.5', 'rules >= 7', 'forest+smote >= 0.5 and rules >= 7', 'boosted >= 0.6 and rules >= 6', 'forest+smote >= 0.7 or rules >= 8', 'score >= 8']) AS model FROM f),
+h AS (SELECT *, CASE model WHEN 'rules >= 7' THEN rules >= 7 WHEN 'score >= 8' THEN nota >= 8 END AS hit FROM c)
+SELECT model, fold, COUNT(*) AS n, CAST(SUM(target) AS BIGINT) AS positives, CAST(SUM(CASE WHEN hit AND target = 1 THEN 1 WHEN hit IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS tp,
+  CAST(SUM(CASE WHEN hit AND target = 0 THEN 1 WHEN hit IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS fp, TRUE AS rates_in_range FROM h GROUP BY 1, 2""")
+def fold_study(spark, sf_dir):
+    """Seven configurations over five folds of all rows.
+
+    Counts of what is decided without a model are shown as they are; those of fitted models, which
+    no other engine repeats, by the sizes of their folds and the range of their rates.
+    """
+    builders = {"forest": grown_forest(0.3, 3, 150, 12), "boosted": fitted(L.boosted())}
+    runs = L.fold_study(study_rows(spark, sf_dir), "k", builders, configurations=configurations())
+    exact = F.col("model").isin("rules >= 7", "score >= 8")
+    inside = lambda c: F.coalesce(F.col(c), F.lit(0.0)).between(0, 1)
+    return runs.select(
+        "model", "fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), (F.col("tp") + F.col("fn")).alias("positives"),
+        *[F.when(exact, F.col(c)).alias(c) for c in ("tp", "fp")], (inside("precision") & inside("recall") & inside("f1")).alias("rates_in_range"))
+
+
+@register("fold_summary")
+def fold_summary(spark, sf_dir):
+    """The seven configurations, mean and spread of their rates over the folds."""
+    builders = {"forest": grown_forest(0.3, 3, 150, 12), "boosted": fitted(L.boosted())}
+    runs = L.fold_study(study_rows(spark, sf_dir), "k", builders, configurations=configurations())
     return summarize_runs(runs, ["model"], ["precision", "recall", "f1"])
+
+
+_GROWN = {"none": 0.0, "class weight": 0.0, "smote 0.3": 0.3, "smote 0.5": 0.5, "smote 1.0": 1.0, "class weight + smote 0.3": 0.3}
+
+
+@register("imbalance_study", f"""WITH f AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, {_FOLD_SQL.format(y='(label = 0)', key='vec_id')} AS fold FROM embeddings),
+s AS (SELECT UNNEST([{', '.join(f"'{n}'" for n in L.STRATEGIES)}]) AS strategy, UNNEST([{', '.join(str(_GROWN.get(n, 'NULL')) for n in L.STRATEGIES)}]) AS ratio),
+n AS (SELECT g.fold, SUM(CASE WHEN f.fold <> g.fold THEN 1 ELSE 0 END) AS rows, SUM(CASE WHEN f.fold <> g.fold THEN y ELSE 0 END) AS pos,
+  SUM(CASE WHEN f.fold = g.fold THEN 1 ELSE 0 END) AS tests, SUM(CASE WHEN f.fold = g.fold THEN y ELSE 0 END) AS test_pos FROM f, (SELECT DISTINCT fold FROM f) g GROUP BY g.fold)
+SELECT strategy, fold, CAST(tests AS BIGINT) AS test_rows, CAST(test_pos AS BIGINT) AS test_positives, CASE WHEN strategy <> 'smote tomek 0.3' THEN CAST(rows AS BIGINT) END AS real_rows,
+  CASE WHEN ratio IS NOT NULL THEN CAST(GREATEST(0, CASE WHEN ratio > 0 THEN ROUND_EVEN((rows - pos) * ratio, 0) ELSE 0 END - CASE WHEN ratio > 0 THEN pos ELSE 0 END) AS BIGINT) END AS synthetic_rows,
+  TRUE AS ended FROM n, s""")
+def imbalance_study(spark, sf_dir):
+    """Nine strategies over five folds; the sizes that follow from the strategy alone, and that every job ended."""
+    runs = L.imbalance_study(vectors(spark, sf_dir))
+    return runs.select(
+        "strategy", "fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("test_rows"), (F.col("tp") + F.col("fn")).alias("test_positives"),
+        F.when(F.col("strategy") != "smote tomek 0.3", F.col("real_rows")).alias("real_rows"),
+        F.when(F.col("strategy").isin(*_GROWN), F.col("synthetic_rows")).alias("synthetic_rows"), F.col("error").isNull().alias("ended"))
+
+
+@register("importance_union", """SELECT model, 58 AS features, TRUE AS ranked, TRUE AS sums_to_one FROM (SELECT UNNEST(['boosted', 'forest']) AS model) t""")
+def importance_union(spark, sf_dir):
+    """Impurity importances of two models in one table: how many features, whole ranks, and their sum."""
+    train, _ = training(spark, sf_dir)
+    names = features(spark, sf_dir)
+    models = L.run_all({"forest": lambda: L.forest().fit(train), "boosted": lambda: L.boosted().fit(train)})
+    table_ = L.union_importances({name: L.importances(model, names, spark) for name, model in models.items()})
+    return table_.groupBy("model").agg(
+        F.count("*").cast("int").alias("features"), (F.sum("rank") == F.lit(58 * 59 // 2)).alias("ranked"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"))
+
+
+_METHODS = ["stub", "fit_platt", "load_platt", "fit_forest", "load_forest"]
+
+
+@register("calibration_methods", f"""SELECT method, n_rows, TRUE AS in_range, TRUE AS same_when_loaded
+FROM (SELECT UNNEST([{', '.join(f"'{m}'" for m in _METHODS)}]) AS method) m, (SELECT COUNT(*) AS n_rows FROM lineitem) c""")
+def calibration_methods(spark, sf_dir):
+    """Decisions under all five calibrations; a model that was saved gives the probabilities it gave when fitted."""
+    rows, folder = pairs(spark, sf_dir), f"{checkpoint_folder(spark)}/models-{uuid.uuid4().hex}"
+    parts = None
+    for method in _METHODS:
+        kind = method.split("_")[-1]
+        done = decide(rows, default_settings(), "vigilancia", "k", method, check=False,
+                      save_to=f"{folder}/{kind}" if method.startswith("fit") else None, model_path=f"{folder}/{kind}" if method.startswith("load") else None)
+        part = done.pairs.select(F.lit(method).alias("method"), "k", "p_cal")
+        parts = part if parts is None else parts.unionByName(part)
+    kept = materialise(parts)
+    fitted_ = kept.select(F.regexp_replace("method", "fit", "load").alias("method"), "k", F.col("p_cal").alias("other"))
+    both = kept.join(fitted_, ["method", "k"], "left")
+    return both.groupBy("method").agg(
+        F.count("*").alias("n_rows"), F.min(F.col("p_cal").between(0, 1)).alias("in_range"),
+        F.min((F.abs(F.col("p_cal") - F.coalesce("other", "p_cal")) < 1e-12)).alias("same_when_loaded"))

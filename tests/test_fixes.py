@@ -116,3 +116,19 @@ def test_cutoff_without_exchange_reuse(spark):
         assert {r.id for r in marked} == {i for _, i in [v for v in values if v[1] % 2 == 0][:700]}
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_bins_follow_the_rows(spark, monkeypatch):
+    from pairsieve.operators import ranking
+
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 40_000) / 100.0).alias("v"))
+    counts = []
+    for per in (40_000, 4_000, 100):
+        monkeypatch.setattr(ranking, "ROWS_PER_BIN", per)
+        bins = value_bin(rows, "v").groupBy("_vb").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_vb").collect()
+        assert all(a.hi < b.lo for a, b in zip(bins, bins[1:])) and sum(b.n for b in bins) == 40_000
+        counts.append(len(bins))
+        ranked = ranking.rank_by_hash(rows, [], 1, "id", "r").agg(F.count_distinct("r").alias("d"), F.max("r").alias("m")).first()
+        assert (ranked.d, ranked.m) == (40_000, 40_000)
+    assert counts[0] <= 2 < counts[1] < 20 and counts[2] > 200
+    assert value_bin(rows.filter("id < 0"), "v").count() == 0
