@@ -10,12 +10,14 @@ from pairsieve.functions.values import (
     total,
 )
 
+# Names of the birth-distance features.
 BIRTH_DISTANCE = [
     "macd_nasc_diff_capped", "macd_nasc_year_match", "macd_nasc_month_match",
     "macd_nasc_day_match", "macd_nasc_partial_overlap", "macd_nasc_close",
     "macd_nasc_very_close", "macd_nome_perf_x_date_far", "macd_nome_perf_x_year_diff",
 ]
-CASCADE_STUDY = [
+# Names of the engineered features of the model table, in their order.
+ENGINEERED = [
     "nome_total", "mae_total", "dtnasc_total", "endereco_total", "local_total", "score_recall",
     "nome_x_dtnasc", "nome_x_mae", "nome_x_local", "dtnasc_x_local", "nome_x_endereco",
     "nome_bom", "nome_prim_ok", "dtnasc_ok", "dtnasc_parcial", "mae_presente", "local_ok",
@@ -23,7 +25,7 @@ CASCADE_STUDY = [
     "ratio_nome_nota", "obito_sinan", "obito_tb", "diff_ano_nasc", "diff_ano_ok",
     "nome_squared", "dtnasc_squared", "nota_squared",
 ]
-MODEL_FEATURES = C.ALL_SCORES + CASCADE_STUDY
+MODEL_FEATURES = C.ALL_SCORES + ENGINEERED
 
 
 def _weighted_name(df: DataFrame, count: str, first: str, last: str) -> str:

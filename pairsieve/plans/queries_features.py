@@ -8,7 +8,6 @@ from pairsieve import columns as C
 from pairsieve.functions import values as V
 from pairsieve.functions.values import ref
 from pairsieve.operators import features as X
-from pairsieve.operators.bands import assign_bands
 from pairsieve.operators.dossier import config_label, pair_id
 from pairsieve.plans.registry import register, table
 from pairsieve.plans.views import FEATURES_SQL, PAIRS_SQL, dates_as_text, pairs
@@ -144,8 +143,8 @@ SELECT k, CASE WHEN par IN (1, 2) THEN 1 ELSE 0 END AS y, ROUND(m, 6) AS mae_qtd
 {', '.join((f'ROUND({e}, 6)' if n in REAL else e) + f' AS {n}' for n, e in ENGINEERED.items())} FROM p""")
 def model_feature_rows(spark, sf_dir):
     wide = X.model_features(pairs(spark, sf_dir), ["k"])
-    out = wide.select("k", "y", ref(C.MOTHER_COUNT).alias("mae_qtd"), ref(C.SCORE).alias("nota"), *X.CASCADE_STUDY)
-    return rounded(out, ["mae_qtd", "nota", *[n for n in X.CASCADE_STUDY if n in REAL]])
+    out = wide.select("k", "y", ref(C.MOTHER_COUNT).alias("mae_qtd"), ref(C.SCORE).alias("nota"), *X.ENGINEERED)
+    return rounded(out, ["mae_qtd", "nota", *[n for n in X.ENGINEERED if n in REAL]])
 
 
 @register("first_study_features", f"""{WITH_PAIRS}, p AS (SELECT pairs.*, COALESCE(mae_qtd, 0.0E0) AS m FROM pairs)
@@ -271,6 +270,3 @@ def header_resolution(spark, sf_dir):
     named = add_tidy_aliases(canonical_columns(typed, C.PREFIXED))
     return named.agg(F.count("*").alias("n_rows"), F.sum("COMPREC").alias("left_sum"),
                      F.round(F.sum("nota_final"), 2).alias("score_sum"))
-
-
-__all__ = ["assign_bands"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairsieve import columns as C
-from pairsieve.config import default_settings
 from pairsieve.functions.values import ref
 from pairsieve.operators import evaluate as E
 from pairsieve.operators import histograms as H
@@ -13,9 +12,8 @@ from pairsieve.operators import metrics as M
 from pairsieve.operators import split as S
 from pairsieve.operators import study as T
 from pairsieve.operators.calibrate import fit_anchors, fit_platt
-from pairsieve.operators.features import model_features, pair_features, rule_score
+from pairsieve.operators.features import pair_features, rule_score
 from pairsieve.operators.ranking import rank_by_value
-from pairsieve.operators.triage import score_decisions
 from pairsieve.plans.queries_features import WITH_PAIRS
 from pairsieve.plans.queries_triage import SETTINGS, ready
 from pairsieve.plans.registry import register
@@ -703,6 +701,3 @@ def invalid_rows(spark, sf_dir):
     M.check_binary(df, C.TARGET, C.SCORE, "band")
     missing = {"no_label": C.LABEL, "no_score": C.SCORE, "no_mother": C.MOTHER_COUNT}
     return df.agg(*[F.sum(ref(c).isNull().cast("bigint")).alias(n) for n, c in missing.items()])
-
-
-__all__ = ["default_settings", "model_features", "score_decisions"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairsieve.config import Monitoring, default_settings
+from pairsieve.config import Monitoring
 from pairsieve.functions import intervals as I
 from pairsieve.functions.values import ref
 from pairsieve.operators import drift as D
@@ -324,6 +324,3 @@ def schema_search(spark, sf_dir):
 @register("generalisation_ladder")
 def generalisation_ladder(spark, sf_dir):
     return K.generalisation_ladder(pairs(spark, sf_dir).withColumnRenamed("PASSO", "passo"), "k", "passo")
-
-
-__all__ = ["default_settings"]

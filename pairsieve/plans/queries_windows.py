@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairsieve.operators.drift import after_drift
 from pairsieve.plans.queries_triage import SETTINGS, ready
 from pairsieve.plans.registry import register
 from pairsieve.plans.views import GUARD_SQL, triage_sql
@@ -29,6 +28,3 @@ def window_budgets(spark, sf_dir):
 WHERE r_dtobito > DATE '1997-06-30' - 28 AND r_dtobito <= DATE '1997-06-30' GROUP BY band""")
 def look_back_rows(spark, sf_dir):
     return look_back(ready(spark, sf_dir), "R_DTOBITO", "1997-06-30").groupBy("band").agg(F.count("*").alias("n"))
-
-
-__all__ = ["after_drift"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairsieve import columns as C
 from pairsieve.config import Settings
-from pairsieve.functions.values import number, ref
+from pairsieve.functions.values import ref
 from pairsieve.operators.bands import assign_bands
 from pairsieve.operators.calibrate import Platt, fit_platt, load_platt, save_platt, with_probability
 from pairsieve.operators.features import pair_features
@@ -93,4 +93,4 @@ def run_summary(decided: DataFrame, method: str = "stub") -> DataFrame:
     return counts("action", "action").unionByName(counts("guardrail", "guardrail")).unionByName(requested)
 
 
-__all__ = ["prepare", "decide", "run_summary", "Decided", "number"]
+__all__ = ["prepare", "decide", "run_summary", "Decided"]
