@@ -11,6 +11,7 @@ from pairsieve.operators import text as X
 from pairsieve.plans.queries_metrics import round_all
 from pairsieve.plans.queries_triage import decided
 from pairsieve.plans.registry import register, table
+from pairsieve.session import small_table
 from pairsieve.plans.views import GUARD_SQL, PAIRS_SQL, answers_sql, pairs, triage_sql
 from pairsieve.sources.scans import not_yet_done
 
@@ -280,11 +281,14 @@ def metadata(spark, sf_dir):
     title = F.concat(F.lower("p_name"), F.lit(" of "), F.lower("p_type"), F.lit(" "), k.cast("string"))
     altered = F.when(k % 6 == 2, F.concat(title, F.lit(" appendix"))).when(k % 6 == 4, F.reverse(title)).otherwise(F.translate(title, "o", "0"))
     cited = ((k * 7) % 500).cast("int")
+    brand = F.concat(F.lit("ournal of "), F.lower("p_brand"))
+    venue = F.when(k % 5 == 0, "The Lancet").when(k % 5 == 1, "Saude Publica, Cadernos").when(k % 5 == 2, F.concat(F.lit("J"), brand)).when(
+        k % 5 == 3, F.concat(F.lit("{J} "), brand))
     people = F.array(F.concat(F.lit("Silva"), (k % 40).cast("string"), F.lit(" Ana")), F.lit("Other Person"))
     def rows(key, rank, title, doi):
         return base.select(key.alias("bib_key"), F.lit("s").alias("source"), F.lit(rank).alias("rank"), doi.alias("m_doi"),
                            title.alias("m_title"), people.alias("m_authors"), (1990 + k % 30 + k % 5 - 2).cast("int").alias("m_year"),
-                           F.lit("The Lancet").alias("m_journal"), cited.alias("citation_count"))
+                           venue.alias("m_journal"), cited.alias("citation_count"))
     none = F.lit(None).cast("string")
     doi = F.when(k % 9 == 0, F.concat(F.lit("10.1000/"), k.cast("string")))
     return rows(F.concat(F.lit("k"), k.cast("string")), 1, altered, none).unionByName(
@@ -306,8 +310,30 @@ JOURNALS = [("the lancet", "Q1"), ("bmj", "Q1"), ("plos one", "Q1"), ("cadernos
             ("revista de saude publica", "Q2"), ("epidemiologia e servicos de saude", "Q3")]
 
 
+def journals(spark, sf_dir):
+    """The listed journals, and one per brand."""
+    brands = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("journal of "), F.lower("p_brand")).alias("name"), F.concat(F.lit("Q"), (F.substring("p_brand", -1, 1).cast("int") % 4 + 1).cast("string")).alias("quartile")).distinct()
+    return small_table(spark, JOURNALS, "name string, quartile string").unionByName(brands)
+
+
 def second_layer(spark, sf_dir, first):
-    return B.evidence(B.journal_lookup(first, JOURNALS, "m_journal"))
+    return B.evidence(B.journal_lookup(first, journals(spark, sf_dir), "m_journal"))
+
+
+@register("journal_matches", """SELECT p_partkey AS k, CASE WHEN p_partkey % 6 < 4 THEN CONCAT('journal of ', LOWER(p_brand)) WHEN p_partkey % 6 = 4 THEN 'cadernos de saude publica' END AS known_journal,
+  CASE WHEN p_partkey % 6 < 4 THEN CONCAT('Q', CAST(CAST(RIGHT(p_brand, 1) AS INT) % 4 + 1 AS VARCHAR)) WHEN p_partkey % 6 = 4 THEN 'Q2' END AS quartile,
+  CASE WHEN p_partkey % 6 < 2 THEN 100.0E0 WHEN p_partkey % 6 = 2 THEN ROUND(200.0E0 * (LENGTH(p_brand) + 10) / (2 * LENGTH(p_brand) + 21), 6)
+       WHEN p_partkey % 6 = 3 THEN ROUND(200.0E0 * (LENGTH(p_brand) + 11) / (2 * LENGTH(p_brand) + 23), 6) WHEN p_partkey % 6 = 4 THEN ROUND(200.0E0 * 24 / 49, 6) END AS similarity FROM part""")
+def journal_matches(spark, sf_dir):
+    """Names written as listed, with words moved, a letter left out or put in, and unknown ones."""
+    k, brand = F.col("p_partkey"), F.lower("p_brand")
+    written = (
+        F.when(k % 6 == 0, F.concat(F.lit(" {Journal} of "), F.col("p_brand"))).when(k % 6 == 1, F.concat(brand, F.lit(" journal of")))
+        .when(k % 6 == 2, F.concat(F.lit("jornal of "), brand)).when(k % 6 == 3, F.concat(F.lit("journal off "), brand))
+        .when(k % 6 == 4, "Cadernos de Saude Pblica").otherwise(F.concat(F.lit("zq xw "), k.cast("string"))))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), written.alias("journal"))
+    return B.journal_lookup(names, journals(spark, sf_dir)).select("k", "known_journal", "quartile", F.round("journal_similarity", 6).alias("similarity"))
 
 
 @register("journal_layer")

@@ -132,3 +132,31 @@ def test_bins_follow_the_rows(spark, monkeypatch):
         assert (ranked.d, ranked.m) == (40_000, 40_000)
     assert counts[0] <= 2 < counts[1] < 20 and counts[2] > 200
     assert value_bin(rows.filter("id < 0"), "v").count() == 0
+
+
+def test_similar_names_against_all_pairs(spark):
+    import random
+
+    from pairsieve.operators.biblio import journal_lookup, similar_names
+    from pairsieve.functions.similarity import indel_ratio
+
+    rng = random.Random(11)
+    words = ["journal", "of", "health", "saude", "publica", "bmj", "ab", "a", "lancet", "q", "epidemiologia", "clinical"]
+    known = sorted({" ".join(sorted(rng.choice(words) for _ in range(rng.randint(1, 4)))) for _ in range(60)})
+    asked = set(known[:20])
+    while len(asked) < 160:
+        text = list(rng.choice(known))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(text) + 1)
+            text[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "o"])
+        if text:
+            asked.add("".join(text))
+    left = spark.createDataFrame([(t,) for t in sorted(asked)], "text string")
+    right = spark.createDataFrame([(t,) for t in known], "known string")
+    every = left.crossJoin(right).withColumn("r", indel_ratio(F.col("text"), F.col("known"))).filter("r >= 80")
+    want = {(r.text, r.known) for r in every.collect()}
+    assert {(r.text, r.known) for r in similar_names(left, right).collect()} == want and len(want) > 100
+    names = spark.createDataFrame([("The {Lancet}",), ("lancet the",), ("The Lanzet",), (None,), ("",), ("nothing alike",)], "journal string")
+    found = {r.journal: (r.known_journal, r.quartile) for r in journal_lookup(names, [("the lancet", "Q1"), ("bmj", "Q2")]).collect()}
+    assert found == {"The {Lancet}": ("the lancet", "Q1"), "lancet the": ("the lancet", "Q1"), "The Lanzet": ("the lancet", "Q1"), None: (None, None),
+                     "": (None, None), "nothing alike": (None, None)}
