@@ -12,7 +12,9 @@ from pairsieve.operators import fairness as N
 from pairsieve.operators import privacy as K
 from pairsieve.operators.split import bootstrap_confusion
 from pairsieve.plans.queries_features import WITH_PAIRS
+from pairsieve.plans.queries_triage import SETTINGS
 from pairsieve.plans.queries_metrics import SCORED_SQL, round_all, scored
+from pairsieve.session import small_table
 from pairsieve.plans.registry import register, table
 from pairsieve.plans.views import FEATURES_SQL, pairs
 
@@ -246,19 +248,42 @@ MONITOR = Monitoring(True, {"ks": {"threshold_warn": 0.02, "threshold_critical":
                             "psi": {"threshold_warn": 0.01, "threshold_critical": 0.25}}, ("event_type",), ("value", "absent"))
 
 
-@register("drift_report", f"""{DRIFT_SQL}, {_KS.format(g='', p='1')}
-SELECT 'value' AS feature, 'global' AS slice_name, 'all' AS slice_value, ROUND(MAX(ABS(fb - fc)), 6) AS value,
-  CASE WHEN MAX(ABS(fb - fc)) >= 0.2 THEN 'critical' WHEN MAX(ABS(fb - fc)) >= 0.02 THEN 'warning' ELSE 'ok' END AS status FROM w""")
+def drift_rows_sql(slices: bool) -> str:
+    """Both statistics with their status, for all events or per event type."""
+    sides = DRIFT_SQL if slices else DRIFT_SQL.replace("SELECT event_type,", "SELECT 'all' AS event_type,")
+    values = {
+        "ks": f"{sides}, {_KS.format(g='event_type,', p='event_type')} SELECT event_type, MAX(ABS(fb - fc)) AS v FROM w GROUP BY event_type",
+        "psi": PSI_SQL.replace(DRIFT_SQL, sides).replace("ROUND(SUM((fa - fe) * LN(fa / fe)), 6) AS psi", "SUM((fa - fe) * LN(fa / fe)) AS v"),
+    }
+    limit = lambda metric, name: MONITOR.metrics[metric][f"threshold_{name}"]
+    return " UNION ALL ".join(
+        f"""SELECT '{metric}' AS metric, v AS value, CASE WHEN v >= {limit(metric, 'critical')} THEN 'critical' WHEN v >= {limit(metric, 'warn')} THEN 'warning' ELSE 'ok' END AS status,
+  'value' AS feature, '{'event_type' if slices else 'global'}' AS slice_name, event_type AS slice_value FROM ({sql}) {metric}""" for metric, sql in values.items())
+
+
+@register("drift_report", f"SELECT metric, feature, slice_name, slice_value, ROUND(value, 6) AS value, status FROM ({drift_rows_sql(False)} UNION ALL {drift_rows_sql(True)}) d")
 def drift_report(spark, sf_dir):
-    out = D.check_drift(*drift_sides(spark, sf_dir), MONITOR).filter("metric = 'ks'").drop("metric")
-    return round_all(out, ["value"])
+    return round_all(D.check_drift(*drift_sides(spark, sf_dir), MONITOR, ["event_type"]), ["value"])
 
 
-@register("drift_alerts")
+@register("drift_alerts", f"""SELECT feature, metric, CONCAT('Drift alert: ', UPPER(metric), ' for value is ', PRINTF('%.3f', value), ' (', status, ')') AS alert
+FROM ({drift_rows_sql(False)} UNION ALL {drift_rows_sql(True)}) d WHERE status IN ('warning', 'critical')""")
 def drift_alerts(spark, sf_dir):
     return D.alerts(D.check_drift(*drift_sides(spark, sf_dir), MONITOR, ["event_type"]))
 
 
+@register("drift_actions", f"""WITH c AS (SELECT COALESCE(MAX(CASE WHEN status = 'critical' THEN 1 ELSE 0 END), 0) AS hit FROM ({drift_rows_sql(False)}) d)
+SELECT 'vigilancia' AS mode, CASE WHEN hit = 1 THEN 0.90E0 ELSE 0.85E0 END AS min_auto_match, CASE WHEN hit = 1 THEN 0.10E0 ELSE 0.15E0 END AS max_auto_nonmatch,
+  hit = 1 AS frozen FROM c""")
+def drift_actions(spark, sf_dir):
+    """What the next window's thresholds are after the drift found in the events."""
+    metrics = D.check_drift(*drift_sides(spark, sf_dir), MONITOR)
+    monitor = Monitoring(True, MONITOR.metrics, (), MONITOR.fields, ("tighten_auto_thresholds", "freeze_calibration"))
+    mode, frozen = D.after_drift(SETTINGS.mode("vigilancia"), monitor, D.critical(metrics))
+    return small_table(spark, [("vigilancia", round(mode.min_auto_match, 6), round(mode.max_auto_nonmatch, 6), frozen)],
+                       "mode string, min_auto_match double, max_auto_nonmatch double, frozen boolean")
+
+
 VALUES, QS = K.FAMILIES, [2, 3, 4]
 _SUMS = {
     "nome_total": "nome_prim + nome_ult + nome_qtd + nome_parec",

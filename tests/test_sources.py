@@ -65,6 +65,33 @@ def test_stream_replays_spend_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
 
 
+def test_critical_drift_changes_the_next_batches_only(spark, tmp_path):
+    from pairsieve import columns as C
+    from pairsieve.config import Monitoring
+
+    rows = dates_as_text(pairs(spark, SMALL)).filter("k % 4 = 0").cache()
+    score = f"`{C.SCORE}`"
+    shifted = rows.withColumn(C.SCORE, F.expr(f"least(12D, {score} + 3)"))
+    monitoring = Monitoring(True, {"ks": {"threshold_warn": 0.1, "threshold_critical": 0.2}, "psi": {"threshold_warn": 5.0, "threshold_critical": 9.0}},
+                            (), (C.SCORE,), ("tighten_auto_thresholds", "increase_llm_budget_if_possible", "freeze_calibration"))
+    control = S.DriftControl(rows, monitoring, str(tmp_path / "limits"))
+    s = default_settings()
+    writer = S.batch_writer(s, "vigilancia", "k", lambda: F.year("R_DTOBITO_dt"), str(tmp_path / "ledger"), str(tmp_path / "out"), control=control, refit=True)
+    at = lambda before: S.current_thresholds(spark, control.path, "vigilancia", s.mode("vigilancia"), before)
+    assert at(0) == (s.mode("vigilancia"), False, None)
+    for number, batch in enumerate([rows, shifted, rows]):
+        writer(batch, number)
+    first, second, third = at(1), at(2), at(3)
+    assert first[0] == s.mode("vigilancia") and not first[1]
+    assert second[1] and abs(second[0].min_auto_match - 0.9) < 1e-9 and abs(second[0].max_auto_nonmatch - 0.1) < 1e-9
+    assert second[0].budget == int(s.mode("vigilancia").budget * 1.5)
+    assert third[1] and third[2] == second[2] != first[2]  # frozen: the calibration of the second batch stays
+    before = spark.read.parquet(str(tmp_path / "out")).filter("batch = 1").agg(F.bit_xor(F.xxhash64("k", "action"))).first()[0]
+    writer(shifted, 1)  # a replay sees the thresholds it saw the first time
+    assert spark.read.parquet(str(tmp_path / "out")).filter("batch = 1").agg(F.bit_xor(F.xxhash64("k", "action"))).first()[0] == before
+    assert at(2) == second and at(3) == third
+
+
 def test_extract_and_validate(spark):
     raw = ['{"decision": "match", "confidence": 2}', '<think>{x}</think>ok ```json\n{"decision":"NONMATCH","reason_codes":["NAME_WEAK","X"]}\n```',
            'a {not json} then {"decision": "MATCH", "confidence": "high"} and }', "nothing", '{"decision": "PERHAPS"}']
