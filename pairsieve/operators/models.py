@@ -253,6 +253,25 @@ class AdaBoost:
         return rows.withColumn(out, sigmoid(2.0 * F.col("_s") / max(total, 1e-12))).drop("_s")
 
 
+def join_scores(rows: DataFrame, scores: dict[str, DataFrame], key: str) -> DataFrame:
+    """``rows`` with one probability column per model, from score tables (``key``, ``p``) met by key.
+
+    Every table must score exactly the rows: as many lines, each key once.  Anything else is an
+    error, since scores would be missing or stand beside the wrong row.
+    """
+    wanted = rows.agg(F.count("*").alias("n"), F.count_distinct(ref(key)).alias("keys")).first()
+    if wanted["n"] != wanted["keys"]:
+        raise ValueError(f"{key} does not tell the rows apart")
+    out = rows
+    for name, table in scores.items():
+        part = table.select(ref(key), F.col("p").alias(name))
+        met = part.agg(F.count("*").alias("n"), F.count_distinct(ref(key)).alias("keys")).first()
+        if tuple(met) != tuple(wanted) or part.join(rows.select(ref(key)), key, "left_anti").limit(1).count():
+            raise ValueError(f"{name} scores {met['keys']} rows in {met['n']} lines, not the {wanted['n']} rows given")
+        out = out.join(part, key)
+    return out
+
+
 def soft_vote(df: DataFrame, probabilities: list[str], weights: list[float] | None = None) -> Column:
     weights = weights or [1.0] * len(probabilities)
     parts = [F.col(p) * w for p, w in zip(probabilities, weights)]

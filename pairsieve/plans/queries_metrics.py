@@ -13,6 +13,7 @@ from pairsieve.operators import split as S
 from pairsieve.operators import study as T
 from pairsieve.operators.calibrate import fit_anchors, fit_platt
 from pairsieve.operators.features import pair_features, rule_score
+from pairsieve.operators.models import join_scores, soft_vote, unanimity
 from pairsieve.operators.ranking import rank_by_value
 from pairsieve.plans.queries_features import WITH_PAIRS
 from pairsieve.plans.queries_triage import SETTINGS, ready
@@ -653,6 +654,14 @@ def repeated_holdout(spark, sf_dir):
     return evaluation_columns(E.repeated_holdout(base, SETTINGS, "k", "vigilancia"))
 
 
+@register("aligned_scores", f"""{SCORED_SQL} SELECT k, ROUND((2.0E0 * p + q) / 3.0E0, 6) AS vote, CASE WHEN p >= 0.7 AND q >= 0.7 THEN 1 ELSE 0 END AS unanimous FROM scored""")
+def aligned_scores(spark, sf_dir):
+    """Scores of two models from tables of their own, met by key, and what they decide together."""
+    rows = scored(spark, sf_dir)
+    both = join_scores(rows.select("k"), {"a": rows.select("k", "p"), "b": rows.select("k", F.col("q").alias("p"))}, "k")
+    return both.select("k", F.round(soft_vote(both, ["a", "b"], [2.0, 1.0]), 6).alias("vote"), unanimity(["a", "b"])[0].alias("unanimous"))
+
+
 @register("run_spread", f"""{SCORED_SQL}, r AS (SELECT passo, situence, AVG(p) AS m FROM scored GROUP BY passo, situence)
 SELECT passo, ROUND(AVG(m), 6) AS m_mean, ROUND(STDDEV_SAMP(m), 6) AS m_std, COUNT(*) AS n_runs FROM r GROUP BY passo""")
 def run_spread(spark, sf_dir):

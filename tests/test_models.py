@@ -97,3 +97,13 @@ def test_importances_are_joined_with_ranks(spark):
 def test_weights(spark):
     rows = small_rows(spark)
     assert {(r.y, r.weight) for r in K.fixed_weight(rows, "y", 7).select("y", "weight").distinct().collect()} == {(1, 7.0), (0, 1.0)}
+
+
+def test_scores_must_fit_the_rows(spark):
+    rows = spark.range(6).select(F.col("id").alias("k"))
+    good = rows.select("k", (F.col("k") / 10).alias("p"))
+    joined = L.join_scores(rows, {"a": good, "b": good.withColumn("p", 1 - F.col("p"))}, "k").orderBy("k").collect()
+    assert [(r.k, round(r.a + r.b, 9)) for r in joined] == [(i, 1.0) for i in range(6)]
+    for wrong in (good.filter("k < 5"), good.unionByName(good.filter("k = 1")), good.withColumn("k", F.col("k") + 1)):
+        with pytest.raises(ValueError):
+            L.join_scores(rows, {"a": wrong}, "k")
