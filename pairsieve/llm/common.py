@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -24,13 +26,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there and lost executors cost nothing."""
+_scratch: list[list[str]] = []
+
+
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends there and lost executors cost nothing.
+
+    Inside ``scratch`` the table goes when the block ends, unless it is ``lasting``.
+    """
     path = shared_path(df.sparkSession, name)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept in this block are removed at its end; nothing may read them after that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for name in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(ref(column).cast("string"), F.lit(""))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsieve.functions.values import ref
 from pairsieve.llm.arrow import portions
-from pairsieve.llm.common import HOT_SHARE, join_facts, keep, maybe_in, not_in_filter, text_of
+from pairsieve.llm.common import HOT_SHARE, join_facts, keep, maybe_in, not_in_filter, scratch, text_of
 from pairsieve.llm.components import components
 from pairsieve.llm.lm import token_index
 
@@ -336,20 +336,8 @@ def _first(percent: int, index: bool = False) -> Column:
     return F.expr(f"n - {kept} + 1")
 
 
-def jaccard_components(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, percent: int = PERCENT,
-    group: int = GROUP, cell: int = CELL,
-) -> DataFrame:
-    """One row per row of ``docs``: ``row``, ``doc_id``, ``n_shingles``, ``component``, ``component_id``.
-
-    Documents whose shingle sets have a Jaccard similarity of at least ``percent`` are linked;
-    ``component_id`` is the least id that links reach.  Documents without words are linked with
-    nothing.  ``component`` tells apart components whose ids are all null.
-    """
-    shingled = _shingled(docs, text, doc_id, width)
-    total = shingled.count()
-    same = keep(shingled.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("node"), F.count("*").alias("copies")), "classes")
+def _joined(docs: DataFrame, shingled: DataFrame, same: DataFrame, text: str, width: int, percent: int, group: int, cell: int) -> DataFrame:
+    """``at``, ``component`` of every set that is linked with another one."""
     prefixes = _prefixes(docs, shingled, same, text, width, percent)
     entries = prefixes.count()
 
@@ -388,7 +376,25 @@ def jaccard_components(
 
     # many documents on a shingle: its index sets against the others of like size
     more = pairwise.unionByName(_compare(sets, _cells(keep(many, "many"), cell, percent), percent))
-    final = components(links.unionByName(more), "final").withColumnRenamed("node", "at")
+    return components(links.unionByName(more), "final").withColumnRenamed("node", "at")
+
+
+def jaccard_components(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, percent: int = PERCENT,
+    group: int = GROUP, cell: int = CELL,
+) -> DataFrame:
+    """One row per row of ``docs``: ``row``, ``doc_id``, ``n_shingles``, ``component``, ``component_id``.
+
+    Documents whose shingle sets have a Jaccard similarity of at least ``percent`` are linked;
+    ``component_id`` is the least id that links reach.  Documents without words are linked with
+    nothing.  ``component`` tells apart components whose ids are all null.
+    """
+    shingled = _shingled(docs, text, doc_id, width)
+    total = shingled.count()
+    same = keep(shingled.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("node"), F.count("*").alias("copies")), "classes")
+    with scratch(docs.sparkSession):
+        final = keep(_joined(docs, shingled, same, text, width, percent, group, cell), "final", lasting=True)
 
     rows = join_facts(
         shingled.filter("digest IS NOT NULL").select("row", "doc_id", "n", "key", "digest"), same, ["digest"], "copies", total)
