@@ -266,10 +266,19 @@ def best_by_metric(spark, sf_dir):
 SELECT model, ROUND(f1_mean, 6) AS f1_mean, ROUND(f1_std, 6) AS f1_std, n_runs,
   CAST(ROW_NUMBER() OVER (ORDER BY f1_mean DESC, precision_mean DESC, recall_mean DESC, model) AS INT) AS rank FROM m""")
 def model_ranking(spark, sf_dir):
-    runs = study(spark, sf_dir).withColumnRenamed("category", "model")
-    summary = M.summarize_runs(runs, ["model"], ["f1", "precision", "recall"], population=True)
-    ranked = M.rank_models(summary, ["f1_mean", "precision_mean", "recall_mean"])
-    return round_all(ranked.select("model", "f1_mean", "f1_std", "n_runs", "rank"), ["f1_mean", "f1_std"])
+    return ranked_models(study(spark, sf_dir).withColumnRenamed("category", "model"))
+
+
+def ranked_models(runs):
+    """Models by their mean rates.
+
+    The rates have six digits, so they are averaged as decimals: sums of doubles depend on the
+    order of the rows, and a mean that ends in a half then falls to either side.
+    """
+    exact = runs.withColumns({n: ref(n).cast("decimal(22,12)") for n in RATE_NAMES})
+    ranked = M.rank_models(M.summarize_runs(exact, ["model"], ["f1", "precision", "recall"], population=True), ["f1_mean", "precision_mean", "recall_mean"])
+    doubles = ranked.withColumn("f1_mean", F.col("f1_mean").cast("double"))
+    return round_all(doubles.select("model", "f1_mean", "f1_std", "n_runs", "rank"), ["f1_mean", "f1_std"])
 
 
 METHODS = {
