@@ -35,3 +35,17 @@ def test_screened_neighbours_are_the_exact_ones():
     assert len(gap) and gap.max() <= 2.0
     found, _ = R.Screen(spread, k).candidates(spread[asked], np.full(len(asked), np.inf), asked)
     assert len(found) < 100 * len(asked)
+
+
+def test_titles_and_names_are_normalised_once(spark):
+    from pairsieve.functions.similarity import plain_text, title_similarity
+    from pairsieve.operators.biblio import author_match
+
+    rows = spark.createDataFrame([("A b", "b C", ["Silva, Ana"], ["Silvo Ana"]), ("x", None, [], None), ("x", "y", ["Others"], ["B C"]), ("x", "y", ["Lee, B"], ["Ray C"])],
+                                 "a string, b string, authors array<string>, m_authors array<string>").withColumn("bib_key", F.lit("k"))
+    similar = rows.select(title_similarity(plain_text(F.col("a")), plain_text(F.col("b"))).alias("s"))
+    assert similar._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+    assert [round(r.s, 4) for r in similar.collect()] == [66.6667, 0.0, 0.0, 0.0]
+    matched = author_match(rows)
+    assert "Join" not in matched._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.author_match for r in matched.collect()] == [False, True, True, False]
