@@ -30,6 +30,9 @@ SHARD_TOKENS = 1 << 19
 FREQUENT = 4
 CLASS = 4
 FIRST_RULE = 1 << 17
+#: Pairs are counted by slot before they are sorted: odd factors, and the bits that leave as many slots.
+_FIRST_FACTOR, _SECOND_FACTOR, _SLOT_SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(14)
+_SLOTS = 1 << 18
 #: Stands for a null document id in a shard.
 NO_ID = -(2**63)
 SHARDS = ("part int, shard int, part_start long, n_tokens long, doc_ids binary, doc_tokens binary, doc_symbols binary, "
@@ -97,28 +100,46 @@ def compress(ids: np.ndarray, begins: np.ndarray, frequent: int = FREQUENT) -> t
     Each pass takes the pairs within a factor ``CLASS`` of the most frequent one together, replaces
     them from left to right without overlap, and counts anew.
     """
-    symbols = ids.astype(np.uint32)
-    starts = np.zeros(len(symbols) + 1, bool)
-    starts[begins] = True
-    starts = starts[:len(symbols)]
+    symbols, places = ids.astype(np.uint32), np.unique(begins).astype(np.int64)
+    places = places[places < len(symbols)]
+    room = np.empty((2, len(symbols)), np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     while len(symbols) > 1:
-        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = ~starts[1:]
-        found = np.sort(codes[inside])
-        if not len(found):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]]))
-        counts = np.diff(edge)
-        most = counts.max()
+        # equal pairs share a slot: only pairs in slots of so many rows can be so frequent
+        slots, more = room[:, :len(symbols) - 1]
+        np.multiply(symbols[:-1], _FIRST_FACTOR, out=slots)
+        np.multiply(symbols[1:], _SECOND_FACTOR, out=more)
+        np.right_shift(np.add(slots, more, out=slots), _SLOT_SHIFT, out=slots)
+        across = places[places > 0] - 1  # pairs of two documents
+        held = np.bincount(slots, minlength=_SLOTS)
+        np.subtract.at(held, slots[across], 1)
+        least = max(frequent, int(held.max()) // (2 * CLASS))
+        while True:
+            hit = (held >= least).take(slots)
+            hit[across] = False
+            at = np.flatnonzero(hit)
+            codes = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+            found = np.sort(codes)
+            edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else np.zeros(1, np.int64)
+            counts = np.diff(edge)
+            most = int(counts.max(initial=0))
+            if least == frequent or most // CLASS >= least:
+                break
+            least = max(frequent, min(most // CLASS, least // CLASS))
         if most < frequent:
             break
         chosen = found[edge[:-1]][counts >= max(frequent, most // CLASS)]
-        firsts, seconds = np.zeros((2, FIRST_RULE + len(rules)), bool)
-        firsts[chosen >> np.uint64(32)] = seconds[chosen & np.uint64(0xFFFFFFFF)] = True
-        at = np.flatnonzero(firsts[symbols[:-1]] & seconds[symbols[1:]] & inside)
-        spot = np.minimum(np.searchsorted(chosen, codes[at]), len(chosen) - 1)
-        real = chosen[spot] == codes[at]
+        # a slot names its last chosen pair; what meets another pair there is looked up
+        own = (((chosen >> np.uint64(32)).astype(np.uint32) * _FIRST_FACTOR + chosen.astype(np.uint32) * _SECOND_FACTOR) >> _SLOT_SHIFT)
+        named = np.full(_SLOTS, -1, np.int32)
+        named[own] = np.arange(len(chosen))
+        spot = named.take(slots[at])
+        near = np.flatnonzero(spot >= 0)
+        at, codes, spot = at[near], codes[near], spot[near]
+        real = chosen.take(spot) == codes
+        if len(other := np.flatnonzero(~real)):
+            spot[other] = np.minimum(np.searchsorted(chosen, codes[other]), len(chosen) - 1)
+            real[other] = chosen[spot[other]] == codes[other]
         at, spot = at[real], spot[real]
         # in a run of neighbouring hits every other one is replaced
         run = np.cumsum(np.diff(at, prepend=-2) != 1) - 1
@@ -130,13 +151,12 @@ def compress(ids: np.ndarray, begins: np.ndarray, frequent: int = FREQUENT) -> t
         used, which = np.flatnonzero(seen), (np.cumsum(seen) - 1)[spot]
         pairs = np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         size = np.where(pairs >= FIRST_RULE, lengths[np.maximum(pairs.astype(np.int64) - FIRST_RULE, 0)] if len(lengths) else 1, 1)
-        symbols = symbols.copy()
         symbols[at] = FIRST_RULE + len(rules) + which
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, starts = symbols[stay], starts[stay]
+        symbols, places = symbols[stay], places - np.searchsorted(at + 1, places)
         rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, size.sum(1).astype(np.uint32)])
-    return Grammar(symbols, rules, lengths), np.flatnonzero(starts)
+    return Grammar(symbols, rules, lengths), places
 
 
 def write_grammars(
