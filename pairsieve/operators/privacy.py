@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairsieve import columns as C
 from pairsieve.functions.values import number, ref, total
 from pairsieve.operators.histograms import histogram, running_totals, with_totals
-from pairsieve.operators.ranking import rank_by_value
+from pairsieve.operators.ranking import value_bin
 from pairsieve.session import materialise
 
+#: Distinct values of a column whose bins are sent to all tasks; with more of them they meet the rows by a shuffle.
+MOST_SENT = 100_000
+
 FAMILIES = ["nome_total", "mae_total", "dtnasc_total", "local_total", "endereco_total", "nota_final"]
 
 
@@ -42,11 +45,11 @@ def bin_facts(df: DataFrame, values: list[str], key: str, counts: list[int]) ->
     """Per column and distinct value: the bin of its first row and the keys where bins change.
 
     A column's rank bins are decided by its value counts alone, except for the few values that
-    straddle a cut (at most one per cut).  Only for those the rows are ranked by key, to find
-    the last key before each cut.
+    straddle a cut (at most one per cut).  For those, rows are counted per stretch of keys, and only
+    the stretches that hold a cut are ranked, to find the last key before each cut.
     """
     cells = ", ".join(f"struct('{v}' AS col, coalesce(CAST({v} AS DOUBLE), 0D) AS v)" for v in values)
-    long = df.select(ref(key), F.expr(f"inline(array({cells}))"))
+    long = value_bin(df, key, "_kb").select(ref(key), "_kb", F.expr(f"inline(array({cells}))"))
     hist = running_totals(histogram(long, "v", ["col"]), ["col"], ["n"], False)
     hist = with_totals(hist.withColumn("one", F.lit(1)), ["col"], ["n", "one"])
     last, first, size = F.col("n_to"), F.col("n_to") - F.col("n") + 1, F.col("n_all")
@@ -62,10 +65,18 @@ def bin_facts(df: DataFrame, values: list[str], key: str, counts: list[int]) ->
     for q in counts:
         part = facts.select("col", "value", F.lit(q).alias("q"), F.explode(f"cut{q}").alias("_rank"))
         wanted = part if wanted is None else wanted.unionByName(part)
-    straddling = wanted.select("col", F.col("value").alias("v")).distinct()
-    rows = long.join(straddling, ["col", "v"], "left_semi")
-    ranked = rank_by_value(rows.withColumn("value", F.col("v")), ["col", "value"], "v", key, "_rank")
-    keys = ranked.join(wanted, ["col", "value", "_rank"]).groupBy("col", "value").agg(*[
+    # at most one value per cut straddles it; which stretch of keys holds a cut is told by counts alone
+    straddling = F.broadcast(wanted.select("col", F.col("value").alias("v")).distinct())
+    rows = long.join(straddling, ["col", "v"])
+    stretches = rows.groupBy("col", F.col("v").alias("value"), "_kb").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("col", "value").orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    stretches = stretches.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    holds = (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n"))
+    wanted = materialise(stretches.join(F.broadcast(wanted), ["col", "value"]).filter(holds).select(
+        "col", "value", "q", "_kb", (F.col("_rank") - F.col("_before")).alias("_at")))
+    near = rows.withColumnRenamed("v", "value").join(F.broadcast(wanted.select("col", "value", "_kb").distinct()), ["col", "value", "_kb"])
+    ranked = near.withColumn("_at", F.row_number().over(W.partitionBy("col", "value", "_kb").orderBy(ref(key))))
+    keys = ranked.join(F.broadcast(wanted), ["col", "value", "_kb", "_at"]).groupBy("col", "value").agg(*[
         F.collect_list(F.when(F.col("q") == q, ref(key))).alias(f"k{q}") for q in counts
     ])
     return materialise(facts.join(keys, ["col", "value"], "left").select(
@@ -80,11 +91,14 @@ def rank_bins(df: DataFrame, values: list[str], key: str, counts: list[int]) ->
     key order.
     """
     facts = bin_facts(df, values, key, counts)
+    sizes = {r["col"]: r["count"] for r in facts.groupBy("col").count().collect()}  # a row per column
     out = df
     for value in values:
         mine = facts.filter(F.col("col") == value).select(
             F.col("value").alias("_v"), *[F.col(f"{c}{q}").alias(f"_{c}{q}") for q in counts for c in "ak"]
         )
+        # few values mean many rows each, which a shuffle would bring together in one task
+        mine = F.broadcast(mine) if sizes.get(value, 0) <= MOST_SENT else mine
         out = out.join(mine, F.coalesce(ref(value).cast("double"), F.lit(0.0)) == F.col("_v"))
         labels = {
             f"{value}_q{q}": F.concat(F.lit("Q"), (
