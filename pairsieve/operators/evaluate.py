@@ -18,7 +18,7 @@ from pairsieve.operators.calibrate import fit_platt, sigmoid, stub_probability
 from pairsieve.operators.features import BIRTH_DISTANCE, pair_features
 from pairsieve.operators.guardrails import apply_guardrails
 from pairsieve.operators.metrics import review_outcome_counts, summarize_runs
-from pairsieve.operators.ranking import rank_by_hash
+from pairsieve.operators.ranking import _null_safe_join, hash_cuts, hashed, rank_by_hash
 from pairsieve.operators.split import holdout_size
 from pairsieve.operators.triage import score_decisions, selection_rank
 from pairsieve.session import materialise, small_table
@@ -46,10 +46,12 @@ def seeded_splits(
     seed_list = F.array(*[F.lit(int(s)) for s in seeds])
     if column is None:
         rows = df.withColumn("seed", F.explode(seed_list))
-        ranked = rank_by_hash(rows, ["seed", label], F.col("seed"), key, "_rank", "_size")
+        # a row per seed and class travels to the rows, which stay where they are
+        cuts = hash_cuts(rows.select("seed", ref(label), ref(key)), ["seed", label], F.col("seed"), key, lambda n: holdout_size(n, share))
+        met = _null_safe_join(rows, F.broadcast(cuts), ["seed", label])
         lone = F.when(F.col("_size") < 2, F.raise_error(F.lit("a class needs at least two rows")))
-        test = F.col("_rank") <= F.coalesce(lone.cast("bigint"), holdout_size(F.col("_size"), share))
-        return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_size")
+        test = F.coalesce(lone.cast("boolean"), F.struct(hashed(F.col("seed"), ref(key)).alias("_h"), ref(key).alias("_k")) <= F.col("_last"))
+        return met.withColumn("split", F.when(test, "test").otherwise("train")).drop("_last", "_size")
     named = F.when(ref(column).isNull(), F.raise_error(F.lit("a group is missing"))).otherwise(ref(column).cast("string"))
     groups = df.groupBy(named.alias("_g")).agg(F.max(ref(label)).alias("_y"))
     groups = groups.withColumn("seed", F.explode(seed_list))
