@@ -90,8 +90,9 @@ def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> Da
     to the valid ones.  ``binary``: anything but MATCH is NONMATCH, confidence defaults to 0 and
     codes stay as given.
     """
-    a = F.from_json(ref(json), ANSWER_SCHEMA)
-    rows = answers.filter(ref(json).isNotNull()).withColumn("_a", a)
+    # Exploded, not filtered: a filter on the JSON would be moved below its extraction and do it again.
+    a = F.array(F.from_json(ref(json), ANSWER_SCHEMA))
+    rows = answers.withColumn("_a", F.explode(F.when(ref(json).isNotNull(), a)))
     said = F.upper(F.trim(F.col("_a.decision")))
     number = F.col("_a.confidence").try_cast("double")
     clipped = F.least(F.greatest(F.nanvl(number, F.lit(None).cast("double")), F.lit(0.0)), F.lit(1.0))
@@ -119,18 +120,18 @@ def validate(answers: DataFrame, json: str = "json", binary: bool = False) -> Da
 def _side_by_side(parsed: DataFrame, key: str, agents: tuple[str, str, str]) -> DataFrame:
     """Each pair's three last answers as prefixed columns: one shuffle, one mergeable aggregate.
 
-    The last is the one with the greatest ``attempt``, where that column exists.
+    The last is the one with the greatest ``attempt``, where that column exists.  Every column is an
+    aggregate of its own (all of a reviewer's follow one order, so they take the same row): those that
+    nothing reads are neither worked out nor shuffled.
     """
     names = ["confidence", "decision", "reason_codes", "evidence_summary", "quality_flags", "latency_s", "tokens"]
     names = [n for n in names if n in parsed.columns]
-    answer = F.struct(*names)
     latest = F.col("attempt") if "attempt" in parsed.columns else F.lit(0)
-    rows = parsed.groupBy(key).agg(*[
-        F.max_by(answer, F.when(F.col("agent") == who, latest)).alias(f"_{p}")
-        for who, p in zip(agents, ("a", "b", "arb"))
-    ])
-    both = rows.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    return both.select(key, *[F.col(f"_{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b", "arb") for n in names])
+    order = {p: F.when(F.col("agent") == who, latest) for who, p in zip(agents, ("a", "b", "arb"))}
+    rows = parsed.groupBy(key).agg(
+        *[F.max(order[p].isNotNull()).alias(f"_{p}") for p in ("a", "b")],
+        *[F.max_by(n, by).alias(f"{p}_{n}") for p, by in order.items() for n in names])
+    return rows.filter("_a AND _b").drop("_a", "_b")
 
 
 def consensus(
