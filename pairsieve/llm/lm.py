@@ -11,8 +11,9 @@ The model's vocabulary follows the counts: every word seen ``LEAST_COUNT`` times
 and output vector, up to ``MODEL_WORDS`` words, which bounds a task's model to some 40 MB.  All
 other words share up to ``RARE`` hashed symbols, each with vectors of its own; such a word has its
 symbol's probability times its smoothed share of the symbol's counts.  Symbols lie in classes of
-``CLASS`` in order of frequency.  A probability is that of the class times that of the symbol within
-the class, so normalising costs two short matrix products.  Exact counts of all words are kept in a
+``CLASS`` in order of frequency, classes in groups of ``GROUP``.  A probability is that of the group
+times that of the class within it times that of the symbol within the class, so normalising costs
+three short matrix products.  Exact counts of all words are kept in a
 table: those of the most frequent ones travel to the tasks, the others meet their occurrences by a
 shuffle.
 """
@@ -39,9 +40,10 @@ END = ""
 #: Words with vectors of their own: those seen so often, and at most so many.
 LEAST_COUNT = 4
 MODEL_WORDS = 1 << 17
-#: Hashed symbols for all other words, and symbols per class.
+#: Hashed symbols for all other words, symbols per class, and classes per group.
 RARE = 4096
-CLASS = 256
+CLASS = 96
+GROUP = 38
 #: Words whose counts are sent to every task: at most so many.
 HEAD_WORDS = 1 << 19
 CONTEXT = 4
@@ -79,7 +81,7 @@ def _log_softmax(guess: np.ndarray, table: np.ndarray, own: np.ndarray) -> np.nd
 
 @dataclass
 class Model:
-    """Input vectors (symbols, the start), output vectors of symbols and classes, position weights.
+    """Input vectors (symbols, the start), output vectors of symbols, classes and groups, position weights.
 
     The last number of a predicted vector is always one, so the last of an output vector is a bias.
     """
@@ -87,87 +89,122 @@ class Model:
     inputs: np.ndarray
     outputs: np.ndarray
     classes: np.ndarray
+    groups: np.ndarray
     weights: np.ndarray
 
     @classmethod
     def start(cls, share: np.ndarray, seed: int = 7) -> "Model":
         rng, n = np.random.default_rng(seed), len(share)
         draw = lambda last: np.column_stack([rng.normal(0, 0.1, (len(last), SIZE)), last]).astype(np.float32)
-        return cls(draw(np.full(n + 1, 1 / CONTEXT)), draw(np.log(share)), draw(np.log(class_shares(share))),
+        return cls(draw(np.full(n + 1, 1 / CONTEXT)), *[draw(np.log(shares_of(share, size))) for size in LEVELS],
                    np.ones((CONTEXT, SIZE + 1), np.float32))
 
     def tables(self) -> list[np.ndarray]:
-        return [self.inputs, self.outputs, self.classes, self.weights]
+        return [self.inputs, self.outputs, self.classes, self.groups, self.weights]
 
     def copy(self) -> "Model":
         return Model(*[t.copy() for t in self.tables()])
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return np.einsum("bcd,cd->bd", self.inputs[contexts], self.weights)
+        return self.inputs.take(contexts.reshape(-1), axis=0).reshape(len(contexts), -1) @ self.mixing()
+
+    def mixing(self) -> np.ndarray:
+        """The position weights as a matrix from the context's vectors, side by side, to their sum."""
+        return (np.eye(SIZE + 1, dtype=np.float32) * self.weights[:, None, :]).reshape(-1, SIZE + 1)
 
     def log_probabilities(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the normalised probability of each symbol after its context."""
+        order = np.argsort((words // CLASS).astype(np.uint16), kind="stable")
+        contexts, words = contexts.take(order, axis=0), words[order]
         guess = np.empty((len(words), SIZE + 1), np.float32)
         for first in range(0, len(words), 1 << 14):
             guess[first:first + (1 << 14)] = self.predicted(contexts[first:first + (1 << 14)])
-        kinds = words // CLASS
-        out = _log_softmax(guess, self.classes, kinds)
-        order = np.argsort(kinds.astype(np.uint16), kind="stable")
-        cuts = np.flatnonzero(np.diff(kinds[order], prepend=-1))
-        for begin, end in zip(cuts, [*cuts[1:], len(words)]):
-            part = order[begin:end]
-            first = int(kinds[part[0]]) * CLASS
-            out[part] += _log_softmax(guess[part], self.outputs[first:first + CLASS], words[part] - first)
+        sums = _log_softmax(guess, self.groups, words // (CLASS * GROUP))
+        for table, size, unit in ((self.classes, CLASS * GROUP, CLASS), (self.outputs, CLASS, 1)):
+            cuts = np.flatnonzero(np.diff(words // size, prepend=-1))
+            for begin, end in zip(cuts, [*cuts[1:], len(words)]):
+                first = int(words[begin]) // size * size // unit
+                sums[begin:end] += _log_softmax(guess[begin:end], table[first:first + size // unit], words[begin:end] // unit - first)
+        out = np.empty(len(words))
+        out[order] = sums
         return out
 
 
-def class_shares(share: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(share, np.arange(0, len(share), CLASS))
+#: Symbols that one row of each output table stands for.
+LEVELS = (1, CLASS, CLASS * GROUP)
+
+
+def shares_of(share: np.ndarray, size: int) -> np.ndarray:
+    """Shares of stretches of ``size`` symbols."""
+    return np.add.reduceat(share, np.arange(0, len(share), size))
 
 
 class Trainer:
-    """Noise-contrastive estimation of symbols and of classes, with per-parameter step sizes."""
+    """Noise-contrastive estimation of symbols, classes and groups, with per-parameter step sizes."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        shares = [share, class_shares(share)]
+        shares = [shares_of(share, size) for size in LEVELS]
         self.log_noise = [np.log(s * NOISE).astype(np.float32) for s in shares]
         self.cumulative = [np.cumsum(s) for s in shares]
         self.squares = [np.full(t.shape, SQUARE, np.float32) for t in model.tables()]
         #: How often each row of each table was part of a step.
         self.times = [np.zeros(len(t), np.int64) for t in model.tables()]
+        self.place = np.zeros(len(model.inputs), np.int64)
+        self.room = np.empty((BATCH, len(LEVELS) * NOISE), np.float32)
 
     def step(self, contexts: np.ndarray, words: np.ndarray) -> None:
         m = self.m
-        given = m.inputs[contexts]
-        guess = np.einsum("bcd,cd->bd", given, m.weights)
-        to_guess, updates = np.zeros_like(guess), []
-        for k, (table, mine) in enumerate(((m.outputs, words), (m.classes, words // CLASS))):
-            log_noise, cumulative = self.log_noise[k], self.cumulative[k]
-            noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(table) - 1)
-            own, others = table[mine], table[noise]
-            true = np.einsum("bd,bd->b", guess, own) - log_noise[mine]
-            false = guess @ others.T - log_noise[noise]
-            up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-            down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
-            to_guess += up[:, None] * own - down @ others
-            updates.append((k + 1, np.concatenate([mine, noise]), np.concatenate([up[:, None] * guess, -(down.T @ guess)])))
+        given = m.inputs.take(contexts.reshape(-1), axis=0).reshape(len(words), -1)
+        mixing = m.mixing()
+        guess = given @ mixing
+        # noise of all levels at once; the one at the end of a guess takes in the noise's own log
+        noises = [np.minimum(np.searchsorted(c, self.rng.random(NOISE)), len(c) - 1) for c in self.cumulative]
+        tables = (m.outputs, m.classes, m.groups)
+        others = np.concatenate([table[noise] for table, noise in zip(tables, noises)])
+        shifted = others.copy()
+        shifted[:, SIZE] -= np.concatenate([log[noise] for log, noise in zip(self.log_noise, noises)])
+        if len(self.room) < len(words):
+            self.room = np.empty((len(words), len(others)), np.float32)
+        down = np.matmul(guess, -shifted.T, out=self.room[:len(words)])
+        np.exp(np.minimum(down, 30, out=down), out=down)
+        np.divide(1, np.add(down, 1, out=down), out=down)
+        to_guess, to_others, updates = -(down @ others), -(down.T @ guess), []
+        for k, (table, noise, size) in enumerate(zip(tables, noises, LEVELS)):
+            mine = words // size
+            own = table.take(mine, axis=0)
+            true = np.einsum("bd,bd->b", guess, own) - self.log_noise[k][mine]
+            up = (1 / (1 + np.exp(np.clip(true, -30, 30))))[:, None]
+            to_guess += up * own
+            updates.append((k + 1, np.concatenate([mine, noise]), np.concatenate([up * guess, to_others[k * NOISE:(k + 1) * NOISE]])))
         to_guess[:, SIZE] = 0  # the one stays
-        spread = to_guess[:, None, :] * m.weights
-        updates.append((0, contexts.reshape(-1), spread.reshape(-1, SIZE + 1)))
-        updates.append((3, np.arange(CONTEXT), np.einsum("bcd,bd->cd", given, to_guess)))
+        updates.append((0, contexts.reshape(-1), (to_guess @ mixing.T).reshape(-1, SIZE + 1)))
+        updates.append((4, np.arange(CONTEXT), np.einsum("bcd,bd->cd", given.reshape(-1, CONTEXT, SIZE + 1), to_guess)))
         for k, index, values in updates:
-            self._move(k, index, values / len(words))
-
-    def _move(self, k: int, index: np.ndarray, values: np.ndarray) -> None:
-        """One step along the slopes added up by row; other rows are not touched."""
-        order = np.argsort(index)
-        ordered = index[order]
-        cuts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        rows, slope = ordered[cuts], np.add.reduceat(values[order], cuts, axis=0)
-        self.squares[k][rows] += slope * slope
-        self.m.tables()[k][rows] += RATE * slope / np.sqrt(self.squares[k][rows])
-        self.times[k][rows] += np.diff(cuts, append=len(index))
+            self._move(k, index, values, len(words))
+
+    def _move(self, k: int, index: np.ndarray, values: np.ndarray, size: int) -> None:
+        """One step along the slopes added up by row, over ``size``; other rows are not touched."""
+        # one place of each row stands for it, so nothing is sorted
+        places = np.arange(len(index))
+        self.place[index] = places
+        rows = index[self.place[index] == places]
+        self.place[rows] = places[:len(rows)]
+        at, width = self.place[index], values.shape[1]
+        cells = np.arange(len(rows) * width).reshape(-1, width).take(at, axis=0)
+        slope = np.bincount(cells.reshape(-1), values.reshape(-1), len(rows) * width)
+        slope = (slope / size).astype(np.float32).reshape(-1, width)
+        table, squares = self.m.tables()[k], self.squares[k]
+        square = squares.take(rows, axis=0) + slope * slope
+        moved = table.take(rows, axis=0) + np.float32(RATE) * slope / np.sqrt(square)
+        whole_rows(squares)[rows] = whole_rows(square)
+        whole_rows(table)[rows] = whole_rows(moved)
+        self.times[k][rows] += np.bincount(at, minlength=len(rows))
+
+
+def whole_rows(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as single items, which are put in place several times faster."""
+    return table.view(np.dtype((np.void, table.strides[0]))).reshape(-1)
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -223,7 +260,7 @@ def head_of(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
 
 def rare_symbols(words: pa.Array, rare: int) -> np.ndarray:
     """The hashed symbol of each word, as ``rare_mass`` counts them."""
-    return np.array([zlib.crc32(w.encode()) % rare for w in words.to_pylist()], np.int64)
+    return np.fromiter(map(zlib.crc32, words.cast(pa.large_binary()).to_pylist()), np.int64, len(words)) % rare
 
 
 def rare_mass(counts: DataFrame, head: list[str], n: np.ndarray, rare: int) -> np.ndarray:
@@ -241,8 +278,10 @@ class Sequences:
     def __init__(self, texts: pa.Array, head: pa.Array, model_words: int, rare: int):
         names, index, per_text = token_index(texts)
         self.names = names
-        found = pc.fill_null(pc.index_in(names.cast(pa.string()), head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        end = pc.index_in(pa.array([END]), head)[0].as_py()
+        # the end is looked up with the words, since each look-up lays out the whole head
+        sought = pa.concat_arrays([names.cast(pa.string()), pa.array([END])])
+        found = pc.fill_null(pc.index_in(sought, head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, end = found[:-1], int(found[-1]) if found[-1] >= 0 else None
         docs = len(per_text)
         self.per_text = per_text + 1
         self.owner = np.repeat(np.arange(docs), self.per_text)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pairsieve.llm import lm
 from pairsieve.llm.lm import CONTEXT, Model, Trainer, head_of, score_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,3 +91,30 @@ def test_classes_add_up():
     share = np.random.default_rng(2).random(700)
     model = Model.start(share / share.sum())
     assert np.exp(model.log_probabilities(np.tile(np.arange(CONTEXT), (700, 1)), np.arange(700))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_three_levels_add_up(monkeypatch):
+    """op1: a place costs its group, its class and its word, not all classes; probabilities still add up."""
+    rng, n = np.random.default_rng(2), 50
+    for name, value in (("CLASS", 4), ("GROUP", 3), ("LEVELS", (1, 4, 12))):
+        monkeypatch.setattr(lm, name, value)
+    model = Model.start(rng.dirichlet(np.ones(n)))
+    assert [len(t) for t in model.tables()[1:4]] == [50, 13, 5]
+    contexts = np.tile(rng.integers(0, n, (1, CONTEXT)), (n, 1))
+    trainer = Trainer(model, np.full(n, 1 / n), 3)
+    for _ in range(5):
+        trainer.step(rng.integers(0, n, (3000, CONTEXT)), rng.integers(0, n, 3000))
+    assert np.exp(model.log_probabilities(contexts, np.arange(n))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_a_step_adds_up_repeated_rows():
+    share = np.full(6, 1 / 6)
+    trainer = Trainer(Model.start(share), share, 1)
+    old, index = trainer.m.inputs.copy(), np.array([3, 1, 3, 3, 5])
+    values = np.random.default_rng(4).normal(0, 1, (5, old.shape[1])).astype(np.float32)
+    trainer._move(0, index, values, 2)
+    for row in range(6):
+        slope = values[index == row].sum(0) / 2
+        moved = lm.RATE * slope / np.sqrt(lm.SQUARE + slope * slope)
+        assert np.allclose(trainer.m.inputs[row], old[row] + moved, atol=1e-5)
+    assert trainer.times[0].tolist() == [0, 1, 0, 3, 0, 1, 0]
