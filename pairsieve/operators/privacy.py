@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairsieve import columns as C
 from pairsieve.functions.values import number, ref, total
 from pairsieve.operators.histograms import histogram, running_totals, with_totals
-from pairsieve.operators.ranking import value_bin
+from pairsieve.operators.ranking import value_bin, value_edges
 from pairsieve.session import materialise
 
 #: Distinct values of a column whose bins are sent to all tasks; with more of them they meet the rows by a shuffle.
@@ -49,7 +49,8 @@ def bin_facts(df: DataFrame, values: list[str], key: str, counts: list[int]) ->
     the stretches that hold a cut are ranked, to find the last key before each cut.
     """
     cells = ", ".join(f"struct('{v}' AS col, coalesce(CAST({v} AS DOUBLE), 0D) AS v)" for v in values)
-    long = value_bin(df, key, "_kb").select(ref(key), "_kb", F.expr(f"inline(array({cells}))"))
+    edges = materialise(value_edges(df, key))  # two jobs read the stretches
+    long = value_bin(df, key, "_kb", edges).select(ref(key), "_kb", F.expr(f"inline(array({cells}))"))
     hist = running_totals(histogram(long, "v", ["col"]), ["col"], ["n"], False)
     hist = with_totals(hist.withColumn("one", F.lit(1)), ["col"], ["n", "one"])
     last, first, size = F.col("n_to"), F.col("n_to") - F.col("n") + 1, F.col("n_all")
